@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secrets, shard
+from . import bpe, language, mixing, quality, secrets, shard
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op3_language_id": language.op3_language_id,
+        "op5_quality_rules": quality.op5_quality_rules,
         "op6_shard_bytes": shard.op6_shard_bytes,
         "op7_bpe": bpe.op7_bpe,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op5_quality_rules": quality.SQL, "op10_mix_sources": mixing.SQL}
