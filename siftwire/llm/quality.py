@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, small_join, stored, table
 
 #: Measures that get adaptive limits, and the least distance of a limit from the median (so a constant measure rejects nothing).
-MEASURES = {"mean_word_chars": 0.5, "symbols_per_word": 0.1, "dup_line_share": 0.1, "repeat_word_share": 0.1}
+MEASURES = {"mean_word_chars": 0.5, "symbols_per_word": 0.1, "dup_line_share": 0.4, "repeat_word_share": 0.2}
 #: Measures with a lower limit too.
 TWO_SIDED = ("mean_word_chars",)
 

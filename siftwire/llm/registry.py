@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, quality, secrets, shard
+from . import bpe, language, mixing, quality, secrets, shard, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op3_language_id": language.op3_language_id,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_shard_bytes": shard.op6_shard_bytes,
         "op7_bpe": bpe.op7_bpe,
