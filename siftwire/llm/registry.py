@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, quality, secrets, shard, toxicity
+from . import bpe, jaccard, language, mixing, quality, secrets, shard, toxicity
 
 
 def queries() -> dict:
@@ -13,9 +13,10 @@ def queries() -> dict:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_shard_bytes": shard.op6_shard_bytes,
         "op7_bpe": bpe.op7_bpe,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_quality_rules": quality.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op5_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op10_mix_sources": mixing.SQL}
