@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, mixing, quality, secrets, shard, toxicity
+from . import bpe, jaccard, language, mixing, quality, secrets, shard, toxicity, vectors
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op6_shard_bytes": shard.op6_shard_bytes,
         "op7_bpe": bpe.op7_bpe,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
+        "op9_near_vectors": vectors.op9_near_vectors,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op5_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op9_near_vectors": vectors.SQL, "op10_mix_sources": mixing.SQL}
