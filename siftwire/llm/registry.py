@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, mixing, quality, secrets, shard, toxicity, vectors
+from . import bpe, jaccard, language, lm, mixing, quality, secrets, shard, toxicity, vectors
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_lm_score": lm.op2_lm_score,
         "op3_language_id": language.op3_language_id,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
