@@ -30,7 +30,7 @@ def offset(source) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(source, F.lit("\x00null")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Copies of each document so that each source's words come near its target.
 
     Within a source each document expects target/source_size copies. In the order of size, then md5 of the id, these
@@ -39,11 +39,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     and their counts (no source is kept in one task). Null text: 0 words. A source without words has target 0 and takes
     no words. Repeated rows count as rows of their own; an empty table gives no rows; other columns are not read.
 
-    Returns doc_id, size, source_size, target, copies, taken."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = stored(docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")))
+    Returns doc_id, size, source_size, target, taken, copies, and the column `row_col` (which tells repeated rows apart)."""
+    text, own = F.coalesce(F.col(text_col), F.lit("")), [row_col] if row_col else []
+    base = stored(docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *own))
     order = base.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    rows = ranked(order, "source", "size", "h", "doc_id").drop("h")
+    rows = ranked(order, "source", "size", "h", "doc_id", *own).drop("h")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("row").alias("first"))
     goal = targets(per.select("source", "source_size"), weights, share, cap)
     per = per.drop("source_size").withColumnRenamed("source", "s").join(goal, F.col("s").eqNullSafe(goal["source"])).drop("s")
@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     k = F.col("row") - F.col("first")
     copies = F.floor(F.col("e") * (k + 1) + F.col("u")) - F.floor(F.col("e") * k + F.col("u"))
     out = out.withColumn("copies", F.least(copies, F.lit(int(cap))).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *own)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

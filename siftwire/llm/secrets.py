@@ -103,12 +103,13 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     return np.log(p / q)
 
 
-def scan_secrets(docs: DataFrame, llr: np.ndarray | None, least: float = 12.0, each: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, llr: np.ndarray | None, least: float = 12.0, each: float = 0.8, id_col: str = "doc_id", text_col: str = "text", redact: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Finds secrets in each whole text: the base patterns, and strings of 16 or more characters with a digit and
     a letter whose log-likelihood ratio is `least` or more in all and `each` or more a character and which no base span meets.
 
-    Null and empty texts have no spans; repeated rows are scanned each; an empty table gives no rows; other columns are
-    not read. Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov, secrets (the strings found)."""
+    Null and empty texts have no spans; repeated rows are scanned each; an empty table gives no rows; other columns are not
+    read but for `keep`, which are passed on. Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov,
+    secrets (the strings found); with `redact` also redacted, the text with that string in place of each stretch of spans."""
 
     def make(batches):
         pat, lut = Patterns(), lookup()
@@ -132,12 +133,27 @@ def scan_secrets(docs: DataFrame, llr: np.ndarray | None, least: float = 12.0, e
                 said = [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
                 n = np.bincount([k for _, k, _ in found], minlength=4)
                 rows.append((*map(int, n[:3]), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found), int(n[3]), [text[s:e] for s, _, e in found]))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov", "secrets"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), make, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long, secrets array<string>")
+                if redact is not None:
+                    rows[-1] += (without(text, found, redact) if found else text,)
+            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov", "secrets", *["redacted"] * (redact is not None)]
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], *[b.column(2 + i) for i in range(len(keep))]], ["doc_id", *names, *keep])
+
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    schema = f"doc_id {kind(id_col)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long, secrets array<string>"
+    schema += ", redacted string" * (redact is not None) + "".join(f", {c} {kind(c)}" for c in keep)
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col), *keep), make, schema)
+
+
+def without(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with `mark` for each stretch that the sorted spans cover."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

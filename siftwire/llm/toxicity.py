@@ -146,14 +146,14 @@ def evidence(docs: DataFrame, model: dict, alpha: float = 0.05, keep: tuple[str,
     return map_arrow(docs.select(F.col(id_col), F.col(text_col), *keep), make, schema)
 
 
-def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.7, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """evidence() with score (0 to 1) and predicted (1 where score >= `threshold`).
 
     Null and empty texts have no tokens and get the score of no evidence, as does any text when nothing was learned. Repeated
     rows are scored each; an empty table gives no rows; labels and other columns are not read."""
     slope, base = model["fit"]
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.log1p("evidence") + F.lit(base))))
-    return evidence(docs, model, id_col=id_col, text_col=text_col).withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return evidence(docs, model, keep=keep, id_col=id_col, text_col=text_col).withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
