@@ -71,7 +71,7 @@ def limits(measured: DataFrame, least_rows: int = 30, k: int = 4000) -> DataFram
 def _within(m: str, margin: float, spread: float) -> Column:
     """Whether measure `m` lies within its limits: the median plus `spread` interquartile ranges plus the margin, wider for
     short texts, whose means vary more."""
-    width = (F.lit(spread) * (F.col(f"{m}_75") - F.col(f"{m}_25")) + F.lit(margin)) * F.sqrt(1 + F.lit(200.0) / F.col("n_words"))
+    width = (F.lit(spread) * (F.col(f"{m}_75") - F.col(f"{m}_25")) + F.lit(margin)) * F.sqrt(1 + F.lit(200.0) / F.greatest(F.col("n_words"), F.lit(1)))
     off = F.col(m) - F.col(f"{m}_50")
     return F.coalesce((F.abs(off) if m in TWO_SIDED else off) <= width, F.lit(True))
 

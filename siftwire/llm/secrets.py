@@ -99,7 +99,9 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     # Random strings: a transition model drawn towards its own letter frequencies, as few samples may be at hand.
     share = n[1].sum(0) + 0.5
     p = (n[1] + 20 * share / share.sum()) / (n[1].sum(1, keepdims=True) + 20)
-    q = (n[0] + 0.05) / (n[0].sum(1, keepdims=True) + 0.05 * K)
+    # Ordinary text: a transition seen once may come from the very string in question, so one count is taken off each.
+    usual = n[0].sum(0) + 0.5
+    q = (np.maximum(n[0] - 1, 0) + 20 * usual / usual.sum()) / (n[0].sum(1, keepdims=True) + 20)
     return np.log(p / q)
 
 
