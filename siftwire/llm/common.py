@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,16 +84,18 @@ def small_join(left: DataFrame, right: DataFrame, keys: list[str], bound: int =
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each end of `edges` (a, b): component is the smallest node of the connected component.
 
-    Smallest label of the neighbours, then one pointer jump, until nothing changes; each round is stored. Aggregates
-    combine before the shuffle, and the joins are plain equi-joins that adaptive execution splits on hot nodes."""
+    Smallest label of the neighbours, then one pointer jump, until nothing changes. Labels are persisted a round (a lost part is computed
+    again) and stored every fifth round. Aggregates combine before the shuffle, and the joins are plain equi-joins that adaptive
+    execution splits on hot nodes."""
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         jump = step.join(labels.select(F.col("node").alias("c"), F.col("component").alias("up")), "c", "left")
-        new = stored(jump.select("node", "was", F.least("c", F.coalesce("up", "c")).alias("component")))
+        new = jump.select("node", "was", F.least("c", F.coalesce("up", "c")).alias("component"))
+        new = new.persist(StorageLevel.MEMORY_AND_DISK) if i % 5 else stored(new)
         changed = new.where("was <> component").limit(1).count()
         labels = new.select("node", "component")
         if not changed:
@@ -99,6 +103,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: still changing after {rounds} rounds")
 
 
+class Forest:
+    """Edges of a few rows, reduced to one edge a row: (row's id, least id it is joined to)."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.root = ids, np.arange(len(ids))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            p, q = self.find(i), self.find(j)
+            if p != q:
+                p, q = (p, q) if self.ids[p] < self.ids[q] else (q, p)
+                self.root[q] = p
+
+    def edges(self) -> pa.RecordBatch:
+        top = np.array([self.find(i) for i in range(len(self.ids))], np.int64)
+        far = top != np.arange(len(self.ids))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[top[far]]), pa.array(self.ids[far])], ["a", "b"])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, stored, table
+from .common import Forest, components, map_arrow, stored, table
 
 WORDS64 = 16  # 64-bit words of a bitmap
 
@@ -97,8 +97,15 @@ def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    bits = np.zeros(WORDS64 * 64, np.uint8)
+    bits[(s >> np.uint64(7)).astype(np.int64) % (WORDS64 * 64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def shingled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, f1, f2, keys) of each document: the set's size, a 128-bit fingerprint of the set, its tile keys."""
+    """(doc_id, n, f1, f2, keys, bits) of each document: the set's size, a 128-bit fingerprint of the set, its tile keys and a
+    bitmap of the set."""
 
     def make(batches):
         sets, bands = Shingler(width), Bands(percent)
@@ -107,43 +114,103 @@ def shingled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
             for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = sets(raw)
                 f = [int(x) for x in np.array([s.sum(), mix(s + np.uint64(77)).sum()], np.uint64).view(np.int64)]
-                rows.append((len(s), *f, tile_keys(s, bands).view(np.int64)))
-            n, f1, f2, keys = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "keys"])
+                rows.append((len(s), *f, tile_keys(s, bands).view(np.int64), bitmap(s) if len(s) else None))
+            n, f1, f2, keys, bits = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "f1", "f2", "keys", "bits"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), make, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), make, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary")
 
 
-def tile_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that join the members of each tile to its first: rows sorted over range partitions by key and member, so
-    that a tile of any size spreads; tiles that a partition's end parts are joined by one row a partition."""
+def tile_rows(classes: DataFrame) -> DataFrame:
+    """(key, rep) of the tiles that have two members or more. Rows are sorted over range partitions by key and member, so a tile of
+    any size spreads; a partition's first and last tiles are given out in any case, as they may go on in the next."""
     rows = classes.select(F.explode("keys").alias("key"), "rep")
 
     def runs(batches):
-        import pyspark
-
-        part = pyspark.TaskContext.get().partitionId()
-        last, pivot, first = None, 0, None
+        first, last, given = True, None, False  # last: key of the latest run; given: whether its rows are out
+        held = np.zeros((0, 2), np.int64)  # the only row so far of the latest run, if not out
         for b in batches:
-            key, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
+            if not b.num_rows:
                 continue
-            head = np.r_[key[0] != last, key[1:] != key[:-1]]
-            start = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-            pivots = np.where(start < 0, pivot, rep[np.maximum(start, 0)])
-            if first is None:
-                first = (int(key[0]), int(rep[0]))
-            last, pivot = key[-1], pivots[-1]
-            keep = pivots != rep
-            pairs = np.unique(np.stack([pivots[keep], rep[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())], ["a", "b", "key", "p"])
-        if first is not None:
-            ends = [(first[1], first[0]), (int(pivot), int(last))]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], pa.int64()), pa.nulls(2, pa.int64()), pa.array([e[1] for e in ends], pa.int64()), pa.array([part] * 2, pa.int32())], ["a", "b", "key", "p"])
-
-    found = stored(rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(runs, "a long, b long, key long, p int"))
-    ends = found.where("p is not null").select("a", "key").groupBy("key").agg(F.min("a").alias("least"), F.collect_set("a").alias("all"))
-    return found.where("p is null").select("a", "b").unionByName(ends.select(F.col("least").alias("a"), F.explode("all").alias("b")).where("a <> b"))
+            new = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+            both = np.concatenate([held, new])
+            key = both[:, 0]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            out = size > 1
+            out[0] |= first or (given and key[0] == last)
+            keep = np.repeat(out, size)
+            first, last, given = False, key[-1], bool(out[-1])
+            if not given:
+                keep[-1] = False
+            held = both[len(both) :] if given else both[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(both[keep, 0]), pa.array(both[keep, 1])], ["key", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["key", "rep"])
+
+    return rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(runs, "key long, rep long")
+
+
+def tile_edges(classes: DataFrame, percent: int, block: int = 128, most_blocks: int = 24) -> DataFrame:
+    """Edges (a, b), enough to join all sets of a tile whose bitmaps do not rule out a link. Large tiles are compared in pairs of blocks
+    of bounded size, each in a group of its own."""
+    rows = stored(tile_rows(classes))
+    large = rows.groupBy("key").count().where(F.col("count") > block)
+    k = F.greatest(F.least(F.ceil(F.col("count") / block), F.lit(most_blocks)), F.ceil(F.col("count") / 8192)).cast("int")
+    df = rows.join(large.select("key", k.alias("k")), "key", "left").withColumn("m", F.pmod(F.xxhash64("rep"), F.coalesce("k", F.lit(1))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), lambda y: F.struct(F.least("m", y).alias("x"), F.greatest("m", y).alias("y"), (F.col("m") > y).cast("int").alias("side")))
+    df = df.join(classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "rep").withColumn("e", F.explode(pairs))
+    df = df.select(F.xxhash64("key", "e.x", "e.y").alias("h"), (F.col("e.x") != F.col("e.y")).alias("cross"), "e.side", "rep", "n", "bits")
+
+    def compare(batches):
+        def done(t):
+            h, cross, side, rep, n = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "cross", "side", "rep", "n"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS64)
+            left, right = [], []
+            for d in range(1, len(h)):
+                i = np.flatnonzero(h[:-d] == h[d:])
+                if not len(i):
+                    break
+                j = i + d
+                fit = (rep[i] != rep[j]) & (~cross[i] | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[fit], j[fit]
+                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                left.append(rep[i[ok]])
+                right.append(rep[j[ok]])
+            if not left:
+                return None
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+            ids, at = np.unique(pairs, return_inverse=True)
+            forest = Forest(ids)
+            at = at.reshape(-1, 2)
+            forest.join(at[:, 0], at[:, 1])
+            return forest.edges()
+
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            h = t.column("h").to_numpy()
+            end = int(np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1]) if len(h) else 0
+            if end and (e := done(t.slice(0, end).combine_chunks())) is not None:
+                yield e
+            held = t.slice(end)
+        if held is not None and (e := done(held.combine_chunks())) is not None:
+            yield e
+
+    return df.repartition("h").sortWithinPartitions("h", "rep").mapInArrow(compare, "a long, b long")
+
+
+def membership(members: DataFrame, id_col: str, most_bits: int = 1 << 26, hashes: int = 3):
+    """(broadcast bits, column of bit places): a Bloom filter of the ids, so that texts of other documents stay out of the
+    shuffle. At most `most_bits` bits, whatever the number of ids: past that it lets more through, and the join decides."""
+    bits = max(1 << 13, min(most_bits, 1 << (12 * members.count()).bit_length()))
+    places = F.array(*[F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.lit(bits)) for i in range(hashes)])
+    at = members.select(F.explode(places).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(one).alias("v")).toPandas()
+    held = np.zeros(bits // 64, np.uint64)
+    held[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
+    return members.sparkSession.sparkContext.broadcast(held), places
 
 
 def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = 128, most_blocks: int = 24, most: int = 2_000_000) -> DataFrame:
@@ -155,21 +222,22 @@ def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     hash, each pair of blocks in a group of its own. Groups have bounded rows and bounded bytes. In a group, set bits that differ
     bound the difference from below; pairs within the limit are intersected as sorted arrays."""
     step = math.log(100 / percent)
-    sets = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(members, "rep").dropDuplicates(["rep"])
+    test, places = membership(members, "rep")
 
     def features(batches):
-        make = Shingler(width)
+        make, held = Shingler(width), test.value
         for b in batches:
+            at = np.array(b.column(2).to_pylist(), np.int64).reshape(b.num_rows, -1)
+            b = b.filter(pa.array(((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)))
             out = []
-            for raw in b.column(3).cast(pa.binary()).to_pylist():
+            for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = make(raw)
-                bits = np.zeros(WORDS64 * 64, np.uint8)
-                bits[(s >> np.uint64(7)).astype(np.int64) % (WORDS64 * 64)] = 1
-                out.append((len(s), np.packbits(bits).tobytes(), s.tobytes()))
-            n, bits, arr = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(arr, pa.binary())], ["rep", "comp", "copies", "n", "bits", "arr"])
+                out.append((len(s), bitmap(s), s.tobytes()))
+            n, bits, arr = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(arr, pa.binary())], ["rep", "n", "bits", "arr"])
 
-    sets = stored(map_arrow(sets.select("rep", "comp", "copies", "text"), features, "rep long, comp long, copies long, n long, bits binary, arr binary"))
+    sets = map_arrow(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).withColumn("at", places), features, "rep long, n long, bits binary, arr binary")
+    sets = stored(sets.join(members, "rep").dropDuplicates(["rep"]))
     per = sets.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("volume"))
     whole = (F.col("c") <= block) & (F.col("volume") <= most)
     sets = sets.join(per.where(~whole).select("comp", F.lit(True).alias("large")), "comp", "left").withColumn("class", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)))
@@ -259,16 +327,16 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     """Links all documents whose shingle sets have Jaccard similarity of at least percent/100, exactly.
 
     Sets of equal content become one class first (by fingerprint, combined before the shuffle). Tile keys bring together
-    every pair of classes that can be linked (see Bands); members of a tile are joined into comps, and in each comp all pairs
-    of fitting size are bounded by bitmaps and verified, in bounded blocks. No pair is given out: blocks return one row a member.
+    every pair of classes that can be linked (see Bands); members of a tile whose bitmaps allow a link are joined into comps, and in each
+    comp all pairs of fitting size are bounded by bitmaps and verified, in bounded blocks. No pair is given out: blocks return one row a member.
 
     Returns doc_id, n_shingles, component_id (the least id reachable by links, itself included), n_links (other
     documents linked directly). Texts of fewer than `width` words are one shingle; null, empty or blank texts have none and are
     linked with nothing. Repeated rows are copies of each other; an empty table gives no rows; other columns are not read."""
     rows = stored(shingled(docs, width, percent, id_col, text_col))
-    full = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys"))
+    full = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys"), F.first("bits").alias("bits"))
     classes = stored(full)
-    comps = components(tile_edges(classes))
+    comps = components(tile_edges(classes, percent))
     members = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
     found = stored(links(stored(members), docs, width, percent, id_col, text_col))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, stored, table
+from .common import Forest, components, map_arrow, stored, table
 
 
 def unit(blobs: list[bytes], dim: int) -> np.ndarray:
@@ -31,32 +31,6 @@ def prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     return map_arrow(cols, make, "vec_id long, label string, dim int, vec binary")
 
 
-class Forest:
-    """Edges of a few rows, reduced to one edge a row: (row's id, least id it is joined to)."""
-
-    def __init__(self, ids: np.ndarray) -> None:
-        self.ids, self.root = ids, np.arange(len(ids))
-
-    def find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def join(self, left: np.ndarray, right: np.ndarray) -> None:
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            p, q = self.find(i), self.find(j)
-            if p != q:
-                p, q = (p, q) if self.ids[p] < self.ids[q] else (q, p)
-                self.root[q] = p
-
-    def edges(self) -> pa.RecordBatch:
-        top = np.array([self.find(i) for i in range(len(self.ids))], np.int64)
-        far = top != np.arange(len(self.ids))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[top[far]]), pa.array(self.ids[far])], ["a", "b"])
-
-
 def near_rows(pass_: np.ndarray, group: np.ndarray, x: np.ndarray, window: int, least: float, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows at most `window` apart, of one pass and group, with cosine of `least` or more; the later row is
     `start` or after."""
