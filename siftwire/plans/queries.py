@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, candidates, classify, dedupe, events, filters, normalize, publish, score, search, weekly
 from ..sources import html, market, records
+from ..streaming import jobs
 from . import adapters
 from .adapters import ATTEMPTS, DERIVED, EVENTS, ITEMS, KEYWORDS, NOW, RUNS, table
 
@@ -484,3 +485,31 @@ def lookups(spark, sf_dir):
 def latest(spark, sf_dir):
     d = adapters.items(spark, sf_dir)
     return publish.latest_or_previous(d, d.where("run_id % 3 = 0"))
+
+
+@query("daily_counts", f"with {ONE} select cast(cast(date_trunc('day', published_at) as date) as varchar) as day, source, count(*) as items from items group by 1, 2")
+def day_counts(spark, sf_dir):
+    """The stream's tumbling windows, over a whole table at once."""
+    return jobs.daily_counts(adapters.items(spark, sf_dir, 1)).select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "source", "items")
+
+
+@query("sliding_source_metrics", f"with {RUNS} select cast(cast(generated_at - to_days(cast(k as int)) as date) as varchar) as start, source, cast(sum(fetched_count) as bigint) as fetched, cast(sum(passed_count) as bigint) as passed, cast(sum(duplicate_count) as bigint) as duplicates from runs, (select unnest(generate_series(0, 6)) as k) group by 1, 2")
+def sliding(spark, sf_dir):
+    return jobs.sliding_source_metrics(adapters.source_runs(spark, sf_dir)).select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "source", "fetched", "passed", "duplicates")
+
+
+@query("cache_expiry", f"with {ATTEMPTS} select attempt_id, fetched_at + to_hours(cast(case when item_count > 0 then item_count else 48 end as int)) as cache_expires_at, fetched_at + to_hours(cast(case when item_count > 0 then item_count else 48 end as int)) < timestamp '{NOW}' as expired from attempts")
+def expiry(spark, sf_dir):
+    return jobs.cache_expiry(adapters.attempts(spark, sf_dir).withColumn("cache_ttl_hours", F.col("item_count").cast("double")), NOW).select("attempt_id", "cache_expires_at", "expired")
+
+
+@query("summary_selection", f"with {MANY}, r as (select run_id, id, credibility as score, published_at, row_number() over (partition by run_id, category order by credibility desc, published_at desc, id) as a, row_number() over (partition by run_id order by credibility desc, published_at desc, id) as b from items) select distinct run_id, id from r where a <= 6 or b <= 30")
+def chosen(spark, sf_dir):
+    d = adapters.items(spark, sf_dir).withColumn("score", F.col("credibility")).withColumn("display_channel", F.col("category")).withColumn("translation_status", F.lit("pending"))
+    return publish.summary_selection(d)
+
+
+@query("policy_tier", f"with {ONE} select id, case when source_authority = 'official-agency' then 'core' when source_authority = 'official-media' or credibility >= 80 then 'standard' else 'experimental' end as tier from items")
+def tiers(spark, sf_dir):
+    d = adapters.items(spark, sf_dir, 1).withColumn("source_tier", F.lit(""))
+    return d.select("id", candidates.policy_tier(d).alias("tier"))

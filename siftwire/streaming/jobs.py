@@ -53,14 +53,11 @@ def cache_expiry(records: DataFrame, now: str, max_age_hours: float = 48) -> Dat
 
 def stream_policy(metrics: DataFrame) -> DataFrame:
     """The policy's transitions over a stream of (source, generated_at, m): m holds the window metrics of a run as JSON, as the batch job
-    makes them. State is the status of a source; it lapses 35 days after its last run."""
+    makes them. State is one status a source, a dimension, so it needs no timeout."""
 
     def step(key, batches, state):
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(batches)).sort_values("generated_at")
         status = state.get[0] if state.exists else "active"
         out = []
@@ -68,10 +65,9 @@ def stream_policy(metrics: DataFrame) -> DataFrame:
             status, reason = next_status(status, json.loads(m))
             out.append((status, reason))
         state.update((status,))
-        state.setTimeoutDuration(35 * 86_400_000)
         yield rows[["source", "generated_at"]].assign(status=[s for s, _ in out], reason=[r for _, r in out])
 
-    return metrics.groupBy("source").applyInPandasWithState(step, "source string, generated_at timestamp, status string, reason string", "status string", "append", "ProcessingTimeTimeout")
+    return metrics.groupBy("source").applyInPandasWithState(step, "source string, generated_at timestamp, status string, reason string", "status string", "append", "NoTimeout")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
