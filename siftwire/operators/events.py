@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from .publish import ranking
+from .storage import stored
 
 NONE = "array<string>"
 
@@ -41,6 +42,7 @@ def daily_events(items: DataFrame, limit: int = 5) -> DataFrame:
     fallback = F.array(T.first_filled(have("what_happened"), have("ai_summary"), have("summary_zh"), have("content_excerpt"), F.col("summary")))
     facts = F.filter(F.transform(F.when(F.size(facts_given) > 0, facts_given).otherwise(fallback), lambda x: T.clean_text(x)), lambda x: x != "")
     df = df.withColumns({"__f": facts, "__e": item_entities(items), "__w": F.coalesce(have("watch_variables", NONE), F.array().cast(NONE)), "__u": T.clean_text(F.coalesce(have("original_url"), F.col("url"))), "__n": T.clean_text(F.col("source"))})
+    df = stored(df)  # six lists come from it; what made it should run once
     # Distinct values by their first rank: at most so many rows a group are ever collected.
     def firsts(col: str, most: int, name: str) -> DataFrame:
         e = df.select(*keys, "__r", F.posexplode(col).alias("p", "v")).groupBy(*keys, "v").agg(F.min(F.struct("__r", "p")).alias("o"))
