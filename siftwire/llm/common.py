@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,18 +83,17 @@ def small_join(left: DataFrame, right: DataFrame, keys: list[str], bound: int =
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each end of `edges` (a, b): component is the smallest node of the connected component.
 
-    Smallest label of the neighbours, then one pointer jump, until nothing changes. Labels are persisted a round (a lost part is computed
-    again) and stored every fifth round. Aggregates combine before the shuffle, and the joins are plain equi-joins that adaptive
-    execution splits on hot nodes."""
+    Smallest label of the neighbours, then one pointer jump, until nothing changes; each round is stored, so that plans stay
+    small. Aggregates combine before the shuffle, and the joins are plain equi-joins that adaptive execution splits on hot
+    nodes."""
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for i in range(1, rounds + 1):
+    for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         jump = step.join(labels.select(F.col("node").alias("c"), F.col("component").alias("up")), "c", "left")
-        new = jump.select("node", "was", F.least("c", F.coalesce("up", "c")).alias("component"))
-        new = new.persist(StorageLevel.MEMORY_AND_DISK) if i % 5 else stored(new)
+        new = stored(jump.select("node", "was", F.least("c", F.coalesce("up", "c")).alias("component")))
         changed = new.where("was <> component").limit(1).count()
         labels = new.select("node", "component")
         if not changed:

@@ -121,10 +121,21 @@ def shingled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), make, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary")
 
 
-def tile_rows(classes: DataFrame) -> DataFrame:
-    """(key, rep) of the tiles that have two members or more. Rows are sorted over range partitions by key and member, so a tile of
+def tile_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep) of the tiles that have two members or more, for one document of each class (a Bloom filter of their ids leaves the copies
+    out; one that slips through only repeats its class). Rows are sorted over range partitions by key and member, so a tile of
     any size spreads; a partition's first and last tiles are given out in any case, as they may go on in the next."""
-    rows = classes.select(F.explode("keys").alias("key"), "rep")
+    test, places = membership(classes, "rep")
+
+    def keys(batches):
+        held = test.value
+        for b in batches:
+            at = np.array(b.column(2).to_pylist(), np.int64).reshape(b.num_rows, -1)
+            b = b.filter(pa.array(((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)))
+            lists = b.column(1)
+            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())))], ["key", "rep"])
+
+    rows = rows.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "keys").withColumn("at", places).mapInArrow(keys, "key long, rep long")
 
     def runs(batches):
         first, last, given = True, None, False  # last: key of the latest run; given: whether its rows are out
@@ -150,10 +161,10 @@ def tile_rows(classes: DataFrame) -> DataFrame:
     return rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(runs, "key long, rep long")
 
 
-def tile_edges(classes: DataFrame, percent: int, block: int = 128, most_blocks: int = 24) -> DataFrame:
+def tile_edges(docs: DataFrame, classes: DataFrame, percent: int, block: int = 128, most_blocks: int = 24) -> DataFrame:
     """Edges (a, b), enough to join all sets of a tile whose bitmaps do not rule out a link. Large tiles are compared in pairs of blocks
     of bounded size, each in a group of its own."""
-    rows = stored(tile_rows(classes))
+    rows = stored(tile_rows(docs, classes))
     large = rows.groupBy("key").count().where(F.col("count") > block)
     k = F.greatest(F.least(F.ceil(F.col("count") / block), F.lit(most_blocks)), F.ceil(F.col("count") / 8192)).cast("int")
     df = rows.join(large.select("key", k.alias("k")), "key", "left").withColumn("m", F.pmod(F.xxhash64("rep"), F.coalesce("k", F.lit(1))).cast("int"))
@@ -334,9 +345,9 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     documents linked directly). Texts of fewer than `width` words are one shingle; null, empty or blank texts have none and are
     linked with nothing. Repeated rows are copies of each other; an empty table gives no rows; other columns are not read."""
     rows = stored(shingled(docs, width, percent, id_col, text_col))
-    full = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys"), F.first("bits").alias("bits"))
+    full = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     classes = stored(full)
-    comps = components(tile_edges(classes, percent))
+    comps = components(tile_edges(rows, classes, percent))
     members = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
     found = stored(links(stored(members), docs, width, percent, id_col, text_col))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
