@@ -65,35 +65,62 @@ def codes(text: str, lut: np.ndarray) -> np.ndarray:
     return out
 
 
+def outside(a: int, e: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers; `spans` are sorted."""
+    out = []
+    for s, _, t in spans:
+        if s < e and a < t:
+            if s > a:
+                out.append((a, s))
+            a = max(a, t)
+    return out + [(a, e)] * (a < e)
+
+
+def wordlike(run: str) -> bool:
+    """Whether a run is an identifier: four characters or more in its words of one case on average, and few characters in no word."""
+    words = WORDS.findall(run)
+    letters = sum(map(len, words))
+    return letters >= 4 * len(words) and 4 * letters >= 3 * len(run)
+
+
+WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+
+
 def transitions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(secret boolean, pair, n): transitions between neighbouring characters in the strings that the base patterns
-    mark (the labelled secrets) and in all text. At most 2 * 69 * 69 rows, summed in each task first."""
+    """(kind, pair, n): transitions between neighbouring characters in all text (0), in the strings that the base patterns mark (1, the
+    labelled secrets), and in identifiers (2: word-like runs that no base span meets). At most 3 * 69 * 69 rows, summed in each task first."""
 
     def make(batches):
         pat, lut = Patterns(), lookup()
-        counts = np.zeros((2, K * K), np.int64)
+        counts = np.zeros((3, K * K), np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 c = codes(text, lut)
                 counts[0] += np.bincount(c[:-1] * K + c[1:], minlength=K * K)
-                _, values = pat.base(text, [m.span() for m in pat.run.finditer(text)])
-                for v in values:
-                    c = codes(v, lut)
-                    counts[1] += np.bincount(c[:-1] * K + c[1:], minlength=K * K)
+                runs = [m.span() for m in pat.run.finditer(text)]
+                spans, values = pat.base(text, runs)
+                plain = [text[a:e] for a, e in runs if not any(s < e and a < t for s, _, t in spans) and wordlike(text[a:e])]
+                for kind, found in ((1, values), (2, plain)):
+                    for v in found:
+                        c = codes(v, lut)
+                        np.add.at(counts[kind], c[:-1] * K + c[1:], 1)
         kind, pair = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kind == 1), pa.array(pair, pa.int32()), pa.array(counts[kind, pair])], ["secret", "pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(pair, pa.int32()), pa.array(counts[kind, pair])], ["kind", "pair", "n"])
 
-    return map_arrow(docs.select(text_col), make, "secret boolean, pair int, n long").groupBy("secret", "pair").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text_col), make, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
-    """Log-likelihood ratio of each transition, random string against ordinary text; None without any labelled secret."""
-    n = np.zeros((2, K, K))
+    """Log-likelihood ratio of each transition, random string against ordinary identifier; None without any text.
+
+    Prior counts: 20 a row for random strings, shared as their letters are (half a count each, so even over the alphabet in a corpus
+    without a labelled secret), and 20 a row for identifiers, shared as the transitions of all other text are."""
+    n = np.zeros((3, K, K))
     for r in transitions(docs, text_col).collect():  # bounded by the alphabet
-        n[int(r.secret)].flat[r.pair] = r.n
-    if not n[1].any():
+        n[r.kind].flat[r.pair] = r.n
+    if not n.any():
         return None
     n[0] = np.maximum(n[0] - n[1], 0)
     # Random strings: a transition model drawn towards its own letter frequencies, as few samples may be at hand.
@@ -102,12 +129,13 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     # Ordinary text: a transition seen once may come from the very string in question, so one count is taken off each.
     usual = n[0].sum(0) + 0.5
     q = (np.maximum(n[0] - 1, 0) + 20 * usual / usual.sum()) / (n[0].sum(1, keepdims=True) + 20)
+    q = (n[2] + 20 * q) / (n[2].sum(1, keepdims=True) + 20)
     return np.log(p / q)
 
 
 def scan_secrets(docs: DataFrame, llr: np.ndarray | None, least: float = 12.0, each: float = 0.8, id_col: str = "doc_id", text_col: str = "text", redact: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Finds secrets in each whole text: the base patterns, and strings of 16 or more characters with a digit and
-    a letter whose log-likelihood ratio is `least` or more in all and `each` or more a character and which no base span meets.
+    """Finds secrets in each whole text: the base patterns, and in every run of 16 or more characters the parts that no base
+    span covers (the whole run, mostly) whose log-likelihood ratio is `least` or more in all and `each` or more a character.
 
     Null and empty texts have no spans; repeated rows are scanned each; an empty table gives no rows; other columns are not
     read but for `keep`, which are passed on. Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov,
@@ -115,7 +143,6 @@ def scan_secrets(docs: DataFrame, llr: np.ndarray | None, least: float = 12.0, e
 
     def make(batches):
         pat, lut = Patterns(), lookup()
-        digit, letter = re.compile("[0-9]"), re.compile("[A-Za-z]")
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             rows = []
@@ -125,8 +152,8 @@ def scan_secrets(docs: DataFrame, llr: np.ndarray | None, least: float = 12.0, e
                 spans, _ = pat.base(text, runs)
                 found = list(spans)
                 if llr is not None:
-                    for a, e in runs:
-                        if digit.search(text, a, e) and letter.search(text, a, e) and not any(s < e and a < t for s, _, t in spans):
+                    for run in runs:
+                        for a, e in outside(*run, spans):
                             c = codes(text[a:e], lut)
                             score = llr[c[:-1], c[1:]][1:-1].sum()
                             if score >= least and score >= each * (e - a):
