@@ -29,43 +29,59 @@ def event_key(df: DataFrame) -> Column:
     return T.stable_id("", T.first_filled(T.column_or(df, "event_cluster_key", None, "string"), other))
 
 
+def event_members(items: DataFrame) -> DataFrame:
+    """The items with event_id and their rank (__r) in its event: whole membership as rows."""
+    df = items.withColumn("event_id", F.concat(F.lit("daily-"), event_key(items)))
+    return df.withColumn("__r", F.row_number().over(W.partitionBy("run_id", "event_id").orderBy(*ranking())))
+
+
+def event_sources(members: DataFrame) -> DataFrame:
+    """(run_id, event_id, url, o, name): each distinct address of an event, with the first rank that has it, as rows."""
+    url = T.clean_text(F.coalesce(T.column_or(members, "original_url", None, "string"), F.col("url")))
+    rows = members.select("run_id", "event_id", "__r", url.alias("url"), T.clean_text(F.col("source")).alias("n")).where("n <> '' and url <> ''")
+    return rows.groupBy("run_id", "event_id", "url").agg(F.min("__r").alias("o"), F.max_by("n", "__r").alias("name"))
+
+
 def daily_events(items: DataFrame, limit: int = 5) -> DataFrame:
     """The 3 to 5 most important events of each run: items of a key, ranked.
 
-    Facts (6), watch variables (6) and entities (8) come from the members in rank order; lists are cut to ranks that can reach them, so a
-    huge cluster makes no huge array. source_count is exact: one count a distinct address."""
-    df = items.withColumn("event_id", F.concat(F.lit("daily-"), event_key(items)))
+    Facts (6), watch variables (6) and entities (8) come from the members in rank order. related_item_ids and supporting_sources are whole:
+    only members of the chosen events are gathered, and event_members and event_sources give the same as rows. source_count is
+    exact: one count a distinct address."""
     keys = ["run_id", "event_id"]
-    df = df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*ranking())))
     have = lambda c, k="string": T.column_or(items, c, None, k)
     facts_given = F.coalesce(have("confirmed_facts", NONE), F.array().cast(NONE))
     fallback = F.array(T.first_filled(have("what_happened"), have("ai_summary"), have("summary_zh"), have("content_excerpt"), F.col("summary")))
     facts = F.filter(F.transform(F.when(F.size(facts_given) > 0, facts_given).otherwise(fallback), lambda x: T.clean_text(x)), lambda x: x != "")
-    df = df.withColumns({"__f": facts, "__e": item_entities(items), "__w": F.coalesce(have("watch_variables", NONE), F.array().cast(NONE)), "__u": T.clean_text(F.coalesce(have("original_url"), F.col("url"))), "__n": T.clean_text(F.col("source"))})
-    df = stored(df)  # six lists come from it; what made it should run once
-    # Distinct values by their first rank: at most so many rows a group are ever collected.
-    def firsts(col: str, most: int, name: str) -> DataFrame:
-        e = df.select(*keys, "__r", F.posexplode(col).alias("p", "v")).groupBy(*keys, "v").agg(F.min(F.struct("__r", "p")).alias("o"))
-        e = e.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("o", "v"))).where(F.col("n") <= most)
-        return e.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias(name))
-
-    src = df.where("__n <> '' and __u <> ''").groupBy(*keys, "__u").agg(F.min("__r").alias("o"), F.max_by("__n", "__r").alias("name"))
+    df = event_members(items).withColumns({"__f": facts, "__e": item_entities(items), "__w": F.coalesce(have("watch_variables", NONE), F.array().cast(NONE))})
+    df = stored(df)  # the lists come from it; what made it should run once
+    src = event_sources(df)
     counts = src.groupBy(*keys).agg(F.count("*").alias("source_count"))
-    few = src.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("o", "__u"))).where("n <= 20").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "name", F.col("__u").alias("url")))), lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url"))).alias("sources"))
-    ids = df.where("__r <= 200").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "id"))), lambda x: x["id"]).alias("related_item_ids"))
     head = df.where("__r = 1")
     identity = T.first_filled(F.array_join(F.slice("__e", 1, 2), "-"), F.col("category"), have("event_type"), F.lit("other"))
     kind = F.coalesce(have("event_type"), F.lit("other"))
     importance = T.first_filled(F.when(have("importance_score", "double") != 0, have("importance_score", "double")), F.col("score").cast("double"), F.lit(0.0))
     head = head.select(*keys, F.lower(F.concat_ws(":", F.coalesce("category", F.lit("other")), kind, identity)).alias("theme_key"), T.first_filled(have("title_zh"), have("translated_title"), F.col("title")).alias("title"), "category", kind.alias("event_type"), importance.alias("importance_score"), (F.coalesce(have("content_review_status"), F.lit("")) == "metadata-only").alias("metadata_only"))
-    out = head
-    for part in (firsts("__f", 6, "confirmed_facts"), firsts("__e", 8, "entities"), firsts("__w", 6, "watch_variables"), counts, few, ids):
+    out = head.join(counts, keys, "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)))
+    order = W.partitionBy("run_id").orderBy(F.desc("importance_score"), F.desc("source_count"), "event_id")
+    out = stored(out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(5, max(3, limit))))
+    chosen = out.select(*keys)
+    df, src = df.join(chosen, keys, "left_semi"), src.join(chosen, keys, "left_semi")
+    # Distinct values by their first rank: at most so many rows a group are ever collected.
+    def firsts(col: str, most: int, name: str) -> DataFrame:
+        e = df.select(*keys, "__r", F.posexplode(col).alias("p", "v")).groupBy(*keys, "v").agg(F.min(F.struct("__r", "p")).alias("o"))
+        e = e.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("o", "v"))).where(F.col("n") <= most)
+        return e.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias(name))
+
+    sources = src.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "url", "name"))), lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url"))).alias("sources"))
+    ids = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "id"))), lambda x: x["id"]).alias("related_item_ids"))
+    for part in (firsts("__f", 6, "confirmed_facts"), firsts("__e", 8, "entities"), firsts("__w", 6, "watch_variables"), sources, ids):
         out = out.join(part, keys, "left")
-    out = out.withColumn("source_count", F.coalesce("source_count", F.lit(0)))
     gaps = F.array_compact(F.array(F.when(F.col("source_count") < 2, "single-source"), F.when(F.col("metadata_only"), "metadata-only")))
-    out = out.withColumns({"summary": F.coalesce(F.get("confirmed_facts", F.lit(0)), F.lit("")), "evidence_gaps": gaps, "primary_source": F.get("sources", F.lit(0)), "supporting_sources": F.slice(F.coalesce("sources", F.array().cast("array<struct<name:string,url:string>>")), 2, 20)})
-    order = W.partitionBy("run_id").orderBy(F.desc("importance_score"), F.desc("source_count"), "event_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(5, max(3, limit))).drop("sources", "metadata_only")
+    every = F.coalesce("sources", F.array().cast("array<struct<name:string,url:string>>"))
+    out = out.withColumns({"summary": F.coalesce(F.get("confirmed_facts", F.lit(0)), F.lit("")), "evidence_gaps": gaps, "primary_source": F.get("sources", F.lit(0)), "supporting_sources": F.slice(every, 2, F.greatest(F.size(every), F.lit(1)))})
+    names = [c for c in out.columns if c not in ("sources", "metadata_only", "rank")]
+    return out.select(*names, "rank")
 
 
 def infer_stage(text: Column) -> Column:

@@ -221,3 +221,13 @@ def test_daily_events(spark):
     a, b = events.daily_events(df).orderBy("rank").collect()
     assert a.source_count == 2 and a.confirmed_facts == ["fact one", "fact two"] and a.related_item_ids == ["i0", "i1"] and a.evidence_gaps == [] and a.primary_source.url == "https://a/1"
     assert b.evidence_gaps == ["single-source"] and b.rank == 2
+
+
+def test_daily_events_keep_all_members_and_sources(spark):
+    df = frame(spark, *({"id": f"i{i:03}", "url": f"https://a/{i:03}"} for i in range(450)))
+    df = df.withColumn("event_cluster_key", F.lit("k")).withColumn("score", F.lit(900.0) - F.col("ord"))
+    (a,) = events.daily_events(df).collect()
+    assert a.related_item_ids == [f"i{i:03}" for i in range(450)] and a.source_count == 450
+    assert [a.primary_source.url, *[x.url for x in a.supporting_sources]] == [f"https://a/{i:03}" for i in range(450)]
+    members = events.event_members(df)
+    assert members.count() == 450 and events.event_sources(members).count() == 450
