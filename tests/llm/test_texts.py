@@ -225,3 +225,22 @@ def test_lm_probabilities_sum_to_one_and_windows_score_each_piece_once():
 
 def test_registry_names():
     assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
+
+
+def test_lm_learns_from_all_texts_however_long_or_many(spark):
+    long_only = spark.createDataFrame([(i, "ba be bi bo bu " * 1500) for i in range(3)], "doc_id long, text string")
+    r = lm.score_texts(long_only, long_only, merges=300).first()
+    assert r.score / r.n_tokens > -0.3  # no text of up to 20,000 bytes, yet fitted
+    rare = [(i, "xylophon zebra" if i == 1999 else "ba be bi bo bu") for i in range(2000)]
+    docs = spark.createDataFrame(rare, "doc_id long, text string")
+    t = lm.pieces_table(bpe.tokenizer_path(), 300)
+    p = lm.learned(docs, t, 10_000)
+    seen = np.unique(np.r_[lm.pieces_of([b"xylophon", b"zebra", b"ba", b"be", b"bi", b"bo", b"bu"], t)[0], t["n"] - 1])
+    assert np.flatnonzero(p["small"] < len(p["E"]) - 1).tolist() == seen.tolist()
+
+
+def test_lm_rounds_fit_on_from_windows_that_grow_with_the_input(spark):
+    docs = spark.createDataFrame([(i, "ba be bi bo bu " * 40) for i in range(60)], "doc_id long, text string")
+    t = lm.pieces_table(bpe.tokenizer_path(), 300)
+    one, two = lm.learned(docs, t, 10_000, steps=5, batch=4), lm.learned(docs, t, 10_000, steps=5, batch=4, rounds=0)
+    assert np.isfinite(one["E"]).all() and not np.allclose(one["E"], two["E"])
