@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: White space between words, and the words, as every contract here has them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where the setting is missing, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own only where the setting is missing and all tasks run on this machine, as
+    in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftwire-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: lineage ends there, and a lost executor loses
-    nothing. The files stay until the shared folder of the application is cleared."""
+    nothing. The write's shuffle files go when it ends. The table stays until `dropped`, or until the application's folder is cleared."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables, once all that was made of them is stored itself."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucket(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n: the split that the contracts use."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -80,24 +98,39 @@ def small_join(left: DataFrame, right: DataFrame, keys: list[str], bound: int =
     return left.join(held, cond, "left").drop(*names.values())
 
 
+def least_count(counts: DataFrame, col: str, most: int, least: int = 2, read: int = 100_000) -> int:
+    """The least count, `least` or more, such that at most `most` rows of `counts` have it or a higher one: rows of one count are
+    taken or left together. At most `read` distinct counts, the highest, come to the driver; if there are more, none below these is taken."""
+    total, last = 0, None
+    shares = counts.where(F.col(col) >= least).groupBy(col).agg(F.count("*").alias("__n")).orderBy(F.desc(col)).limit(read).collect()
+    for r in shares:
+        total += r["__n"]
+        if total > most:
+            return r[col] + 1
+        last = r[col]
+    return last if len(shares) == read else least
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each end of `edges` (a, b): component is the smallest node of the connected component.
 
     Smallest label of the neighbours, then one pointer jump, until nothing changes; each round is stored, so that plans stay
-    small. Aggregates combine before the shuffle, and the joins are plain equi-joins that adaptive execution splits on hot
-    nodes."""
+    small, and the one before it deleted. Aggregates combine before the shuffle, and the joins are plain equi-joins that adaptive
+    execution splits on hot nodes."""
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    old = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(rounds):
+        labels = old.select("node", "component")
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         jump = step.join(labels.select(F.col("node").alias("c"), F.col("component").alias("up")), "c", "left")
         new = stored(jump.select("node", "was", F.least("c", F.coalesce("up", "c")).alias("component")))
-        changed = new.where("was <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        dropped(old)
+        old = new
+        if new.where("was <> component").isEmpty():
+            dropped(both)
+            return new.select("node", "component")
     raise RuntimeError(f"components: still changing after {rounds} rounds")
 
 

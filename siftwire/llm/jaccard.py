@@ -9,22 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, map_arrow, stored, table
+from .common import Forest, components, dropped, map_arrow, stored, table
 
-WORDS64 = 16  # 64-bit words of a bitmap
+SURE = 100  # keys that are kept of a set's parts in a band, about
 
 
 class Bands:
     """Sizes in bands that grow by half, and the number of parts that a set of each band is dealt into.
 
     Sets of a and b shingles with Jaccard similarity of at least percent/100 differ in at most D = (a+b)(100-percent)/(100+percent)
-    shingles. A set is dealt by hash into k > D parts, so at least k - D parts are equal in both. Parts with fewer than
-    `thin` shingles are poor keys and are left out, unless a set has k - D or more of them: of two linked sets either
-    one has fewer (then an equal part that is not thin is left) or both give out all their parts."""
+    shingles. A set is dealt by hash into k > D parts, so at least k - D parts are equal in both. Thin parts are poor keys: each set leaves
+    out parts below the largest size that fewer than k - D of its own parts stay under. One equal part then reaches both
+    sets' sizes, so both give it out.
+
+    Long sets have far more equal parts than one: of those of linked sets, which hold 0.4 k on average even at D differences, a share of
+    the keys by hash is kept, about SURE of k; a pair is missed with a chance below 1e-14, as by a collision of hashes."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
-        self.thin, more = (3, 0.15) if percent >= 90 else (1, 0.1)
         # Below `least` shingles a linked set of another content is impossible: it would differ in no shingle.
         self.least = next(a for a in range(1, 1000) if self.differ(a, math.floor(100 * a / percent)) >= 1)
         self.highs: list[int] = []
@@ -33,17 +35,27 @@ class Bands:
             self.highs.append(high)
             high = max(high + 1, high * 3 // 2)
         self.most = [self.differ(h, 100 * h // percent) for h in self.highs]
-        self.parts = [d + 5 + math.ceil(more * d) for d in self.most]
+        self.parts = [d + 5 + math.ceil(0.15 * d) for d in self.most]
 
     def differ(self, a: int, b: int) -> int:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def own(self, n: int) -> int:
+        return next(i for i, h in enumerate(self.highs) if n <= h)
+
     def of(self, n: int) -> list[int]:
-        """Bands in which a set of n shingles takes part: its own, and the one below if a set there can be linked."""
+        """Bands in which a set of n shingles takes part: its own, and those below that hold a size it can be linked to."""
         if n < self.least:
             return []
-        s = next(i for i, h in enumerate(self.highs) if n <= h)
-        return [s, s - 1] if s and 100 * self.highs[s - 1] >= self.percent * n else [s]
+        s = self.own(n)
+        return [i for i in range(s, -1, -1) if i == s or 100 * self.highs[i] >= self.percent * n]
+
+    def words(self, n: int) -> int:
+        """64-bit words of a set's bitmap: a power of two, more bits than shingles up to 65,536 bits."""
+        w = 2
+        while w < 1024 and 64 * w < 1.25 * self.highs[self.own(max(n, 1))]:
+            w *= 2
+        return w
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,17 +104,28 @@ def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         content[at.astype(np.int64)] = np.add.reduceat(mix(s[order] + np.uint64(band)), first)
         sizes[at.astype(np.int64)] = n
         keys = mix(content + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)))
-        thick = sizes >= bands.thin
-        out.append(keys[thick] if (~thick).sum() < k - bands.most[band] else keys)
+        spare = k - bands.most[band] - 1
+        keys = keys[sizes >= np.partition(sizes, spare)[spare]]
+        out.append(keys[mix(keys ^ np.uint64(91)) % np.uint64(k) < np.uint64(SURE)] if k > SURE else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(WORDS64 * 64, np.uint8)
-    bits[(s >> np.uint64(7)).astype(np.int64) % (WORDS64 * 64)] = 1
+def bitmap(s: np.ndarray, words: int) -> bytes:
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(s >> np.uint64(7)).astype(np.int64) & (words * 64 - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(cells: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps at one width, a row each: the places of wider ones are equal modulo the width, so their pieces are united."""
+    out = np.empty((len(cells), words), np.uint64)
+    sizes = np.array([len(c) // 8 for c in cells])
+    for w in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == w)
+        out[at] = np.bitwise_or.reduce(np.frombuffer(b"".join([cells[i] for i in at]), np.uint64).reshape(len(at), w // words, words), axis=1)
+    return out
+
+
 def shingled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, f1, f2, keys, bits) of each document: the set's size, a 128-bit fingerprint of the set, its tile keys and a
     bitmap of the set."""
@@ -114,7 +137,7 @@ def shingled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
             for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = sets(raw)
                 f = [int(x) for x in np.array([s.sum(), mix(s + np.uint64(77)).sum()], np.uint64).view(np.int64)]
-                rows.append((len(s), *f, tile_keys(s, bands).view(np.int64), bitmap(s) if len(s) else None))
+                rows.append((len(s), *f, tile_keys(s, bands).view(np.int64), bitmap(s, bands.words(len(s))) if len(s) else None))
             n, f1, f2, keys, bits = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "f1", "f2", "keys", "bits"])
 
@@ -161,10 +184,9 @@ def tile_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(runs, "key long, rep long")
 
 
-def tile_edges(docs: DataFrame, classes: DataFrame, percent: int, block: int = 128, most_blocks: int = 24) -> DataFrame:
+def tile_edges(rows: DataFrame, classes: DataFrame, percent: int, block: int = 128, most_blocks: int = 24) -> DataFrame:
     """Edges (a, b), enough to join all sets of a tile whose bitmaps do not rule out a link. Large tiles are compared in pairs of blocks
-    of bounded size, each in a group of its own."""
-    rows = stored(tile_rows(docs, classes))
+    of bounded size, each in a group of its own. `rows` come from tile_rows, stored."""
     large = rows.groupBy("key").count().where(F.col("count") > block)
     k = F.greatest(F.least(F.ceil(F.col("count") / block), F.lit(most_blocks)), F.ceil(F.col("count") / 8192)).cast("int")
     df = rows.join(large.select("key", k.alias("k")), "key", "left").withColumn("m", F.pmod(F.xxhash64("rep"), F.coalesce("k", F.lit(1))).cast("int"))
@@ -175,18 +197,23 @@ def tile_edges(docs: DataFrame, classes: DataFrame, percent: int, block: int = 1
     def compare(batches):
         def done(t):
             h, cross, side, rep, n = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "cross", "side", "rep", "n"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS64)
+            cells = t.column("bits").to_pylist()
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            least = np.repeat(np.minimum.reduceat(np.array([len(c) // 8 for c in cells]), start), np.diff(np.r_[start, len(h)]))
             left, right = [], []
-            for d in range(1, len(h)):
-                i = np.flatnonzero(h[:-d] == h[d:])
-                if not len(i):
-                    break
-                j = i + d
-                fit = (rep[i] != rep[j]) & (~cross[i] | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                i, j = i[fit], j[fit]
-                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
-                left.append(rep[i[ok]])
-                right.append(rep[j[ok]])
+            for words in np.unique(least).tolist():  # the groups whose narrowest bitmap has so many words
+                own = np.flatnonzero(least == words)
+                bits, g = folded([cells[i] for i in own], words), h[own]
+                for d in range(1, len(own)):
+                    i = np.flatnonzero(g[:-d] == g[d:])
+                    if not len(i):
+                        break
+                    p, q = own[i], own[i + d]
+                    fit = (rep[p] != rep[q]) & (~cross[p] | (side[p] != side[q])) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+                    i, p, q = i[fit], p[fit], q[fit]
+                    ok = np.bitwise_count(bits[i] ^ bits[i + d]).sum(1) <= (n[p] + n[q]) * (100 - percent) // (100 + percent)
+                    left.append(rep[p[ok]])
+                    right.append(rep[q[ok]])
             if not left:
                 return None
             pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
@@ -224,26 +251,27 @@ def membership(members: DataFrame, id_col: str, most_bits: int = 1 << 26, hashes
     return members.sparkSession.sparkContext.broadcast(held), places
 
 
-def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = 128, most_blocks: int = 24, most: int = 2_000_000) -> DataFrame:
-    """(rep, root, links) of each block compared: `root` is the least set that the block links `rep` to, links the documents
+def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = 128, most_blocks: int = 24, most: int = 2_000_000, counted: bool = True) -> DataFrame:
+    """(rep, root, links) of each block compared, stored: `root` is the least set that the block links `rep` to, links the documents
     of other content that it links.
 
     members: (rep, comp, copies), comp being what tiles have joined. A group of sets (one comp) of up to `block` sets is
     compared whole; a larger one by size class (classes grow by 100/percent, so links stay within neighbours) and in blocks by
     hash, each pair of blocks in a group of its own. Groups have bounded rows and bounded bytes. In a group, set bits that differ
-    bound the difference from below; pairs within the limit are intersected as sorted arrays."""
+    bound the difference from below; pairs within the limit are intersected as sorted arrays. Unless `counted`, pairs that a block
+    has joined already are passed over, and links are some of them."""
     step = math.log(100 / percent)
     test, places = membership(members, "rep")
 
     def features(batches):
-        make, held = Shingler(width), test.value
+        make, held, bands = Shingler(width), test.value, Bands(percent)
         for b in batches:
             at = np.array(b.column(2).to_pylist(), np.int64).reshape(b.num_rows, -1)
             b = b.filter(pa.array(((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)))
             out = []
             for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = make(raw)
-                out.append((len(s), bitmap(s), s.tobytes()))
+                out.append((len(s), bitmap(s, bands.words(len(s))), s.tobytes()))
             n, bits, arr = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(arr, pa.binary())], ["rep", "n", "bits", "arr"])
 
@@ -251,6 +279,7 @@ def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     sets = stored(sets.join(members, "rep").dropDuplicates(["rep"]))
     per = sets.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("volume"))
     whole = (F.col("c") <= block) & (F.col("volume") <= most)
+    held = sets
     sets = sets.join(per.where(~whole).select("comp", F.lit(True).alias("large")), "comp", "left").withColumn("class", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)))
     small = sets.where("large is null").select(F.struct(F.col("comp"), F.lit(0).cast("long").alias("class"), F.lit(0).alias("x"), F.lit(0).cast("long").alias("up"), F.lit(0).alias("y")).alias("g"), F.lit(0).alias("side"), "rep", "copies", "n", "bits", "arr")
     large = sets.where("large")
@@ -279,7 +308,9 @@ def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
             g = b.column("g").combine_chunks()
             cls, up, x, y = (g.field(f)[0].as_py() for f in ("class", "up", "x", "y"))
             cross = cls != up or x != y
-            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(len(rep), WORDS64)
+            cells = b.column("bits").to_pylist()
+            widths = np.array([len(c) // 8 for c in cells])  # rows are sorted by n, so widths grow
+            bits = {w: (i := int(np.searchsorted(widths, w)), folded(cells[i:], w)) for w in np.unique(widths).tolist()}
             arrs = [np.frombuffer(a, np.uint64) for a in b.column("arr").to_pylist()]
             root = np.arange(len(rep))
             count = np.zeros(len(rep), np.int64)
@@ -295,10 +326,14 @@ def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
                 j = np.arange(i + 1, tops[i])
                 if cross:
                     j = j[side[j] != side[i]]
+                if not counted and len(j):
+                    own = find(i)
+                    j = j[[find(x) != own for x in j.tolist()]]
                 if not len(j):
                     continue
+                first, flags = bits[widths[i]]
                 limit = (n[i] + n[j]) * (100 - percent) // (100 + percent)
-                j = j[np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= limit]
+                j = j[np.bitwise_count(flags[i - first] ^ flags[j - first]).sum(1) <= limit]
                 for at in range(0, len(j), 256):
                     some = j[at : at + 256]
                     flat = np.concatenate([arrs[k] for k in some])
@@ -331,10 +366,12 @@ def links(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
             yield done(held)
 
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "side", "rep")
-    return rows.mapInArrow(compare, "rep long, root long, links long")
+    found = stored(rows.mapInArrow(compare, "rep long, root long, links long"))
+    dropped(held, near)
+    return found
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
     """Links all documents whose shingle sets have Jaccard similarity of at least percent/100, exactly.
 
     Sets of equal content become one class first (by fingerprint, combined before the shuffle). Tile keys bring together
@@ -347,15 +384,25 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     rows = stored(shingled(docs, width, percent, id_col, text_col))
     full = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     classes = stored(full)
-    comps = components(tile_edges(rows, classes, percent))
+    tiles = stored(tile_rows(rows, classes))
+    # Keys and bitmaps have done their work when their tiles are there: only the narrow columns stay.
+    wide, rows = rows, stored(rows.select("doc_id", "n", "f1", "f2"))
+    dropped(wide)
+    edges = stored(tile_edges(tiles, classes, percent))
+    dropped(tiles)
+    comps = components(edges)
     members = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
-    found = stored(links(stored(members), docs, width, percent, id_col, text_col))
+    members = stored(members)
+    dropped(edges, comps)
+    found = links(members, docs, width, percent, id_col, text_col, counted=counted)
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("n", "f1", "f2", "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     known = stored(known.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
-    out = rows.select("doc_id", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    dropped(members, found, roots, classes)
+    out = rows.join(known, ["n", "f1", "f2"], "left")
+    found_links = [F.coalesce("links", F.lit(0)).alias("n_links")] if counted else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *found_links)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

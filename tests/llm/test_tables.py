@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwire.llm import jaccard, mixing, shard, vectors
@@ -73,7 +74,7 @@ def shingle_set(text, width):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (3, 65), (2, 50)])
 def test_jaccard_join_equals_brute_force(spark, width, percent):
     rng = random.Random(width)
     words = [f"w{i}" for i in range(80)]
@@ -82,8 +83,9 @@ def test_jaccard_join_equals_brute_force(spark, width, percent):
         base = [rng.choice(words) for _ in range(rng.choice([1, 2, 4, 12, 14, 25, 60, 150, 400]))]
         for _ in range(rng.randint(1, 7)):
             t = list(base)
-            for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4, len(t) // 12])):
                 t[rng.randrange(len(t))] = rng.choice(words)
+            t = t[: max(1, int(len(t) * rng.choice([1, 1, 1, 0.95, 0.85, rng.uniform(0.45, 1)])))]
             texts.append(rng.choice(["{}", "{}", " {}\n"]).format(" ".join(t)))
     passage = " ".join(rng.choice(words) for _ in range(55))
     texts += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(30)]
@@ -98,9 +100,47 @@ def test_jaccard_join_equals_brute_force(spark, width, percent):
     out = {r.doc_id: r for r in jaccard.jaccard_join(df, width, percent).collect()}
     for i, t in enumerate(texts):
         assert (out[i].n_shingles, out[i].component_id, out[i].n_links) == (len(sets[i]), want[i], n[i]), t
+    plain = {r.doc_id: r.component_id for r in jaccard.jaccard_join(df, width, percent, counted=False).collect()}
+    assert plain == {i: want[i] for i in range(len(texts))}
     assert jaccard.jaccard_join(df.where("false"), width, percent).count() == 0
 
 
+def test_jaccard_join_of_long_texts(spark):
+    """Sets of thousands of shingles, whose keys are a share of their parts and whose bitmaps are wide."""
+    rng = random.Random(4)
+    texts = []
+    for size in (1200, 4000, 4100):
+        base = [f"l{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(14):
+            t = list(base)
+            for _ in range(rng.randint(0, size // 36)):
+                t[rng.randrange(size)] = f"l{rng.randrange(3000)}"
+            texts.append(" ".join(t))
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want, n = components(len(texts), links), [0] * len(texts)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    assert 0 < len(links) < 3 * 14 * 13 // 2
+    out = {r.doc_id: r for r in jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    assert [(out[i].component_id, out[i].n_links) for i in range(len(texts))] == list(zip(want, n, strict=True))
+
+
+def test_near_copies_with_repeated_ids_and_clashing_names(spark):
+    kind = "doc_id long, text string, __row string, `a.b` string"
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "p", "q"), (5, long, "p", "q"), (5, "another text of its own", "p", "q"), (5, "another text of its own", "p", "q"), (None, long, None, None), (7, None, None, None), (8, "", "", "")]
+    docs = spark.createDataFrame(rows, kind)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.where("text is null or text not like 'w0%' or doc_id is null or doc_id = 1").distinct().collect()))
+    once = docs.where("doc_id is null or doc_id <> 5")
+    assert corpus_pipeline.drop_near_copies(spark, once, "").count() == once.count() == 4
+    mixed = corpus_pipeline.mix(spark, docs.withColumn("source", F.lit("s")), "")
+    assert mixed.columns == [*docs.columns, "source"]
+
+
 def test_jaccard_blocks_and_tiles_of_large_groups(spark):
     """A group of near copies far over a block: every link is counted once."""
     rng = random.Random(9)
