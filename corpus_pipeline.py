@@ -7,11 +7,23 @@ see each stage."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwire.llm import bpe, jaccard, mixing, secrets, toxicity
-from siftwire.llm.common import bucket, stored, table
+from siftwire.llm.common import bucket, dropped, stored, table
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def columns(docs: DataFrame) -> list:
+    """The columns of `docs` by their whole names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,44 +31,50 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without text stay."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.train(docs.where(bucket("doc_id", 3) != 1), labels.where(bucket("doc_id", 3) != 1))
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
     return toxicity.score_toxicity(rows, model, keep=("__row",)).where("predicted = 0").select("__row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that operator 8 links (five words, Jaccard similarity of 0.8 or more): the least id. Documents without
-    words are in no group; of rows that repeat id and text one stays; rows without an id stay."""
-    found = jaccard.jaccard_join(docs, width=5, percent=80)
-    gone = stored(found.where("component_id < doc_id").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not twice.isEmpty():
-        first = W.partitionBy("doc_id", F.md5("text")).orderBy("doc_id")
-        again = kept.join(twice, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(again)
-    return kept.select(docs.columns)
+    words are in no group and stay, as do rows without an id. Of repeated rows one stays; rows that share an id but not their text are
+    documents of their own."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = jaccard.jaccard_join(docs, width=5, percent=80, counted=False)
+        gone = stored(found.where("component_id < doc_id").select("doc_id"))
+        return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    key = fresh(docs, "__row")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = jaccard.jaccard_join(rows.where("doc_id is not null"), width=5, percent=80, id_col=key, counted=False).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    found = stored(found.join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row"))
+    first = found.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first"))
+    gone = stored(found.join(first, "component_id").where("row <> first.row").select("row"))
+    return rows.join(gone, rows[key] == gone["row"], "left_anti").select(*columns(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span that operator 1 finds being replaced by [SECRET]; n_chars follows. Null texts stay null."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
     out = secrets.scan_secrets(rows, secrets.train(docs), redact="[SECRET]", keep=("__row",))
     text = F.when(F.col("__row.text").isNotNull(), F.col("redacted"))
     found = F.col("spans") != ""
     new = {"text": text.alias("text"), "n_chars": F.when(found, F.length(text)).otherwise(F.col("__row.n_chars")).cast("long").alias("n_chars")}
-    return out.select(*[new.get(c, F.col(f"__row.`{c}`").alias(c)) for c in docs.columns])
+    return out.select(*[new[c] if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as operator 10 takes it (0 to 2 times)."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    copies = mixing.mix_sources(rows, row_col="__row").where("copies > 0").select("__row", "copies")
-    out = rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(docs.columns)
+    """Each document as often as operator 10 takes it (0 to 2 times). Null and empty texts count no words and are taken by their
+    place in the sample, as all rows are."""
+    key = fresh(docs, "__row")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    copies = mixing.mix_sources(rows, row_col=key).where("copies > 0").select(F.col(key).alias("row"), F.col("copies").cast("int").alias("times"))
+    out = rows.join(copies, rows[key] == copies["row"])
+    return out.select(*columns(docs), F.explode(F.sequence(F.lit(1), F.col("times"))).alias(fresh(docs, "__copy"))).drop(fresh(docs, "__copy"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text of each document by operator 7."""
+    """doc_id, n_tokens, ids and decoded text of each document by operator 7. Null and empty texts have no tokens; repeated rows are
+    encoded each; very long texts are encoded whole."""
     return bpe.encode_texts(docs)
 
 
@@ -68,7 +86,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
