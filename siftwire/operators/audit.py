@@ -105,8 +105,11 @@ def rolling_source_metrics(runs: DataFrame) -> DataFrame:
     out = out.withColumn("five_failed", (F.count(F.lit(1)).over(five) == 5) & F.bool_and("fetch_failed").over(five))
     good = (F.coalesce("high_value_rate", F.lit(0.0)) >= 0.1) | F.coalesce(F.col("body_success_rate") >= 0.6, F.lit(False))
     upto = by.rowsBetween(W.unboundedPreceding, 0)
-    last = F.slice(F.reverse(F.collect_list(F.when(F.col("is_probe"), good)).over(by.rowsBetween(-200, 0))), 1, 3)
-    out = out.withColumn("__p", last).withColumn("probes_good", (F.size("__p") == 3) & F.forall("__p", lambda x: x))
+    # A probe's two probes before it come from a window over probes alone; other runs take what the last probe saw.
+    probes = W.partitionBy("source", "is_probe").orderBy("__ms")
+    before = [F.lag(good, i).over(probes) for i in (1, 2)]
+    out = out.withColumn("__p", F.when(F.col("is_probe"), good & F.coalesce(before[0], F.lit(False)) & F.coalesce(before[1], F.lit(False))))
+    out = out.withColumn("probes_good", F.coalesce(F.last("__p", ignorenulls=True).over(upto), F.lit(False)))
     return out.drop("__p", "__ms")
 
 
@@ -219,17 +222,29 @@ def limit_newest(items: DataFrame, max_items: int = 15, max_age_hours: float = 4
 
 
 def effective_sources(sources: DataFrame, policy: DataFrame, now: str) -> DataFrame:
-    """Sources with their policy: whether a probe is due, whether fetching is held back, and their quotas. Both are dimensions with a row
-    a source."""
+    """Sources with their policy (source, status, reason, next_probe_at, last_fetched_at and the limits it sets): tier, limits and quotas
+    (the policy's, else the source's own, else defaults by tier), whether a probe is due, and whether fetching is on. Zero counts as unset.
+    Both are dimensions with a row a source."""
+    from .candidates import policy_tier
+
     t = F.lit(now).cast("timestamp")
-    p = policy.select("source", "status", "next_probe_at", "last_fetched_at", F.col("minimum_fetch_interval_hours").alias("__gap"))
-    df = sources.join(p, "source", "left")
-    due = F.col("next_probe_at").isNull() | (F.col("next_probe_at") <= t)
-    paused = F.coalesce(F.col("status") == "paused", F.lit(False)) & ~due
-    gap = F.coalesce("__gap", T.column_or(sources, "minimum_fetch_interval_hours", None, "int"), F.lit(6))
-    following = F.timestamp_add("HOUR", gap, F.col("last_fetched_at"))
+    have = lambda df, c, k="int": T.column_or(df, c, None, k)
+    limits = ("metadata_limit", "body_fetch_quota", "minimum_fetch_interval_hours")
+    p = policy.select("source", "status", have(policy, "reason", "string").alias("__reason"), "next_probe_at", "last_fetched_at", *[have(policy, c).alias(f"__{c}") for c in limits])
+    df = sources.withColumn("source_policy_tier", policy_tier(sources)).join(p, "source", "left")
+    set_ = lambda c: F.when(c != 0, c)
+    own = {c: [set_(F.col(f"__{c}")), set_(have(sources, c))] for c in limits}
+    quota = T.lookup({"core": 5, "standard": 3, "experimental": 1}, F.col("source_policy_tier"), 1)
+    due = F.coalesce(F.col("next_probe_at") <= t, F.lit(True))
     enabled = F.coalesce("enabled", F.lit(True))
-    return df.withColumns({"runtime_status": F.coalesce("status", F.lit("active")), "next_eligible_fetch_at": following, "runtime_fetch_enabled": enabled & ~paused & ~F.coalesce(following > t, F.lit(False))}).drop("__gap", "status")
+    paused = enabled & F.coalesce(F.col("status") == "paused", F.lit(False)) & ~due
+    gap = F.coalesce(*own["minimum_fetch_interval_hours"], F.lit(6))
+    following = F.timestamp_add("HOUR", gap, F.col("last_fetched_at"))
+    return df.withColumns({
+        "runtime_status": F.coalesce("status", F.lit("active")), "runtime_reason": F.coalesce("__reason", F.lit("")), "probe_due": due, "next_eligible_fetch_at": following,
+        "runtime_fetch_enabled": enabled & ~paused & ~F.coalesce(following > t, F.lit(False)), "metadata_limit": F.coalesce(*own["metadata_limit"], set_(have(sources, "max_items")), F.lit(30)),
+        "body_fetch_quota": F.coalesce(*own["body_fetch_quota"], quota), "minimum_fetch_interval_hours": gap,
+    }).drop("status", *[f"__{c}" for c in ("reason", *limits)])
 
 
 def enrichment_stats(items: DataFrame) -> DataFrame:

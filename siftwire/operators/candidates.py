@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions import text as T
 from .classify import metadata_category
 from .dedupe import assign_event_clusters
+from .storage import stored
 
 
 @dataclass(frozen=True)
@@ -131,11 +132,17 @@ def pick(pdf, rules: SelectionRules, critical: tuple[str, ...]):
     return pdf[["run_id", "ord"]].assign(candidate_status=np.where(taken, "selected", "rejected"), candidate_reason=[r or None for r in reason])
 
 
-def select_candidates(items: DataFrame, recent: DataFrame, rules: SelectionRules = SelectionRules()) -> DataFrame:  # noqa: B008
+def select_candidates(items: DataFrame, recent: DataFrame, rules: SelectionRules = SelectionRules(), sources: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Adds candidate_status and candidate_reason: each run takes the best items under quotas, an item losing 3 a selected item of its
-    source and 2 a selected source of its cluster. Items under the threshold leave first (they change no count); the rest of a run,
+    source and 2 a selected source of its cluster. `sources` (a row a source_id: body_fetch_quota, source_policy_tier) sets quotas and tiers.
+    Items under the threshold leave first (they change no count); the rest of a run,
     eight narrow columns, is resolved in pandas."""
-    df = assign_event_clusters(candidate_values(items, recent, rules))
+    if sources is not None:
+        own = sources.select("source_id", *[F.col(c).alias(f"__{c}") for c in ("body_fetch_quota", "source_policy_tier")])
+        items = items.join(own, "source_id", "left")
+        for c, kind in (("body_fetch_quota", "int"), ("source_policy_tier", "string")):
+            items = items.withColumn(c, F.coalesce(F.col(f"__{c}").cast(kind), T.column_or(items, c, None, kind))).drop(f"__{c}")
+    df = assign_event_clusters(stored(candidate_values(items, recent, rules)))
     quota = F.coalesce(T.column_or(df, "body_fetch_quota", None, "int"), T.lookup(rules.tier_quotas, F.col("source_policy_tier"), 1))
     key = T.first_filled(F.col("source_id"), F.col("source"), F.lit(""))
     rest = df.where(F.col("candidate_value") >= rules.candidate_threshold).select("run_id", "ord", "candidate_value", "published_at", "candidate_category", "event_type", "event_cluster_key", key.alias("k"), quota.alias("quota"))

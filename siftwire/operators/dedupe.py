@@ -141,22 +141,53 @@ def cluster_key(event_type: Column, tokens: Column) -> Column:
     return F.substring(F.sha1(F.concat(event_type, F.lit(":"), F.array_join(F.sort_array(F.slice(tokens, 1, 6)), "|")).cast("binary")), 1, 12)
 
 
-def assign_event_clusters(items: DataFrame, title_threshold: float = 0.42, token_threshold: float = 0.5, rounds: int = 200) -> DataFrame:
+def overlap_pairs(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs (keys, a, b), a < b by ord, of rows whose cluster_tokens share `threshold` of the smaller set or more. Exact: of the smaller set's
+    tokens, rarest first, the first n - ceil(n * threshold) + 1 hold one that is shared, so frequent words are keys only where a set has
+    little else."""
+    words = rows.select(*keys, "ord", "cluster_tokens").where(F.size("cluster_tokens") > 0)
+    each = words.select(*keys, "ord", F.explode("cluster_tokens").alias("w"))
+    ranked = each.join(each.groupBy(*keys, "w").count(), [*keys, "w"]).groupBy(*keys, "ord").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("s"))
+    ranked = stored(ranked.select(*keys, "ord", F.transform("s", lambda x: x["w"]).alias("t"), F.size("s").alias("n")))
+    head = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    short = ranked.select(*keys, F.col("ord").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("t", 1, head)).alias("w"))
+    whole = ranked.select(*keys, F.col("ord").alias("y"), F.col("n").alias("ny"), F.explode("t").alias("w"))
+    found = short.join(whole, [*keys, "w"]).where("x <> y and nx <= ny").select(*keys, "x", "y").distinct()
+    both = found.join(ranked.select(*keys, F.col("ord").alias("x"), F.col("t").alias("tx")), [*keys, "x"]).join(ranked.select(*keys, F.col("ord").alias("y"), F.col("t").alias("ty")), [*keys, "y"])
+    near = both.where(T.overlap(F.col("tx"), F.col("ty")) >= threshold)
+    return near.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def lead_rest(rows: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """(run_id, ord, s) of the undecided rows, those of a component in order: one leads unless an earlier neighbour does. rows: (run_id,
+    ord); edges (run_id, a, b) among them."""
+    parts = connected(edges.select("run_id", "a", "b"), ["run_id"]).withColumnRenamed("node", "ord")
+    near = edges.groupBy("run_id", F.col("b").alias("ord")).agg(F.collect_set("a").alias("before"))
+    df = rows.join(parts, ["run_id", "ord"], "left").join(near, ["run_id", "ord"], "left").withColumn("component", F.coalesce("component", "ord"))
+
+    def resolve(pdf):
+        pdf = pdf.sort_values("ord")
+        leads: set = set()
+        for o, before in zip(pdf["ord"], pdf["before"], strict=True):
+            if before is None or not leads.intersection(before):
+                leads.add(o)
+        return pdf[["run_id", "ord"]].assign(s=[1 if o in leads else 2 for o in pdf["ord"]])
+
+    return df.groupBy("run_id", "component").applyInPandas(resolve, f"run_id {kind}, ord {kind}, s int")
+
+
+def assign_event_clusters(items: DataFrame, title_threshold: float = 0.42, token_threshold: float = 0.5, rounds: int = 12) -> DataFrame:
     """Adds cluster_tokens and event_cluster_key: in input order and within run and event type, an item joins the first leader that it is
     like (title similarity, or overlap of cluster tokens), else it leads a new cluster.
 
-    Edges come from equi-joins on tokens: for titles by the prefix filter, for overlaps by the first half of the smaller
-    set. Leaders are the first maximal independent set in input order, found in rounds: an undecided item with no undecided or leading
-    earlier neighbour leads, and one next to a leader follows; then each follower takes its earliest leader."""
+    Edges come from equi-joins on tokens, rarest first (token_pairs, overlap_pairs). Leaders are the first maximal independent set in
+    input order, found in rounds: an undecided item with no undecided or leading earlier neighbour leads, and one next to a leader
+    follows. What is still undecided after `rounds` rounds (long chains) is resolved by component in tasks. Then each follower takes its
+    earliest leader."""
     keys = ["run_id", "event_type"]
     rows = stored(items.select(*keys, "ord", T.title_tokens(F.col("title")).alias("tokens"), cluster_tokens(F.col("title")).alias("cluster_tokens")))
-    titles = token_pairs(rows, keys, "ord", "tokens", title_threshold)
-    words = rows.select(*keys, "ord", F.size("cluster_tokens").alias("n"), "cluster_tokens").where("n > 0")
-    # The smaller set's first n - ceil(n/2) + 1 tokens hold one of any half that is shared.
-    short = words.select(*keys, F.col("ord").alias("x"), F.col("n").alias("nx"), F.col("cluster_tokens").alias("tx"), F.explode(F.slice(F.sort_array("cluster_tokens"), 1, (F.col("n") - F.ceil(F.col("n") * F.lit(token_threshold)) + 1).cast("int"))).alias("w"))
-    whole = words.select(*keys, F.col("ord").alias("y"), F.col("n").alias("ny"), F.col("cluster_tokens").alias("ty"), F.explode("cluster_tokens").alias("w"))
-    near = short.join(whole, [*keys, "w"]).where("x <> y and nx <= ny").where(T.overlap(F.col("tx"), F.col("ty")) >= token_threshold)
-    edges = stored(titles.unionByName(near.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    titles = token_pairs(rows, keys, "ord", "tokens", title_threshold).select(*keys, "a", "b")
+    edges = stored(titles.unionByName(overlap_pairs(rows, keys, token_threshold)).distinct())
     ids = ["run_id", "ord"]
     state = stored(rows.select(*ids, F.lit(0).alias("s")))  # 0 undecided, 1 leads, 2 follows
     for _ in range(rounds):
@@ -165,7 +196,12 @@ def assign_event_clusters(items: DataFrame, title_threshold: float = 0.42, token
         seen = edges.join(state.select("run_id", F.col("ord").alias("a"), "s"), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("ord")).agg(F.bool_or(F.col("s") == 1).alias("led"), F.bool_or(F.col("s") == 0).alias("open"))
         state = stored(state.join(seen, ids, "left").select(*ids, F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("led", F.lit(False)), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("s")))
     else:
-        raise RuntimeError(f"leaders are not settled after {rounds} rounds")
+        led = edges.join(state.where("s = 1").select("run_id", F.col("ord").alias("a")), ["run_id", "a"]).select("run_id", F.col("b").alias("ord")).distinct()
+        state = stored(state.join(led.withColumn("led", F.lit(True)), ids, "left").select(*ids, F.when((F.col("s") == 0) & F.col("led"), 2).otherwise(F.col("s")).alias("s")))
+        rest = state.where("s = 0").select(*ids)
+        among = edges.join(rest.select("run_id", F.col("ord").alias("a")), ["run_id", "a"]).join(rest.select("run_id", F.col("ord").alias("b")), ["run_id", "b"])
+        kind = dict(items.dtypes)["ord"]
+        state = stored(state.where("s <> 0").unionByName(lead_rest(rest, stored(among), kind)))
     lead = state.where("s = 1").select("run_id", F.col("ord").alias("a"))
     first = edges.join(lead, ["run_id", "a"]).groupBy("run_id", F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
     heads = rows.select("run_id", F.col("ord").alias("leader"), cluster_key(F.col("event_type"), F.col("cluster_tokens")).alias("event_cluster_key"))

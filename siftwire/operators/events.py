@@ -113,22 +113,27 @@ def extractive_summary(items: DataFrame) -> DataFrame:
 
 
 def article_brief(items: DataFrame) -> DataFrame:
-    """(id, facts, participants, risks, watch, key_data, stage, limitations) of each item, lists being distinct and short."""
+    """(id, facts, participants, risks, watch, key_data, stage, limitations, sources by address) of each item, lists being distinct and short."""
     have = lambda c: F.coalesce(T.column_or(items, c, None, NONE), F.array().cast(NONE))
     listed = lambda a, n: F.slice(F.array_distinct(F.filter(F.transform(a, lambda x: T.clean_text(x)), lambda x: x != "")), 1, n)
     subject = F.array(F.col("classification.factors.subject")) if "classification" in items.columns else F.array().cast(NONE)
     text = T.clean_text(F.concat_ws(" ", *[T.text_or_empty(T.column_or(items, c, None, "string")) for c in ("title", "what_happened", "summary", "content_excerpt")]))
     missing = F.array_compact(F.array(*[F.when(T.text_or_empty(T.column_or(items, c, None, "string")) == "", F.lit(c)) for c in ("background", "location")], F.when(F.size(have("key_data")) == 0, "key_data")))
     facts = F.when(F.size(have("confirmed_facts")) > 0, have("confirmed_facts")).otherwise(have("summary_points"))
-    return items.select("run_id", "id", listed(facts, 4).alias("facts"), listed(F.concat(subject, have("entities"), F.array("source")), 5).alias("participants"), listed(have("uncertainties"), 5).alias("risks"), listed(have("watch_variables"), 5).alias("watch"), listed(have("key_data"), 8).alias("key_data"), infer_stage(text).alias("stage"), missing.alias("limitations"))
+    return items.select("run_id", "id", listed(facts, 4).alias("facts"), listed(F.concat(subject, have("entities"), F.array("source")), 5).alias("participants"), listed(have("uncertainties"), 5).alias("risks"), listed(have("watch_variables"), 5).alias("watch"), listed(have("key_data"), 8).alias("key_data"), infer_stage(text).alias("stage"), missing.alias("limitations"), F.array(F.struct(T.clean_text(F.col("source")).alias("name"), F.col("url").alias("url"))).alias("sources"))
 
 
-def grounding_check(texts: DataFrame) -> DataFrame:
-    """Adds ungrounded and grounded to rows (output, input): numbers and addresses of the output that the input lacks."""
+def grounding_check(texts: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """Adds ungrounded, grounded and fits to rows (output, input): numbers, addresses and, where the rows have lists output_ids and
+    input_ids, ids of the output that the input lacks; fits: whether the output's length is within bounds."""
     numbers = lambda c: F.regexp_extract_all(T.text_or_empty(F.col(c)), F.lit(r"\d+(?:\.\d+)?%?"), 0)
     urls = lambda c: F.regexp_extract_all(T.text_or_empty(F.col(c)), F.lit(r"https?://[^\s)\"'<>]+"), 0)
     lost = F.concat(F.array_except(numbers("output"), numbers("input")), F.array_except(urls("output"), urls("input")))
-    return texts.withColumn("ungrounded", lost).withColumn("grounded", F.size("ungrounded") == 0)
+    if {"output_ids", "input_ids"} <= set(texts.columns):
+        lost = F.concat(lost, F.array_except("output_ids", "input_ids"))
+    length = F.length(T.text_or_empty(F.col("output")))
+    fits = (length >= least) & (F.lit(True) if most is None else length <= most)
+    return texts.withColumn("ungrounded", lost).withColumn("grounded", F.size("ungrounded") == 0).withColumn("fits", fits)
 
 
 def quality_flags(items: DataFrame) -> DataFrame:
@@ -143,20 +148,39 @@ def source_bucket(df: DataFrame) -> Column:
 
 
 def channel_coverage(feed: DataFrame) -> DataFrame:
-    """Each channel's items, distinct sources and source mix, and its best five ids."""
+    """Each channel's items, distinct sources and source mix, its best five ids, the ids of low score (under 65) among these, and flags:
+    no item, or a single source."""
     df = feed.withColumn("bucket", source_bucket(feed))
     n = lambda b: F.count_if(F.col("bucket") == b).alias(f"n_{b}")
     agg = df.groupBy("run_id", "display_channel").agg(F.count("*").alias("items"), F.count_distinct("source").alias("sources"), *[n(b) for b in ("official", "media", "opinion", "other")], F.count_if(F.coalesce("score", F.lit(0.0)) < 65).alias("n_low_score"))
-    top = df.withColumn("r", F.row_number().over(W.partitionBy("run_id", "display_channel").orderBy(*ranking()))).where("r <= 5").groupBy("run_id", "display_channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("top_ids"))
-    return agg.join(top, ["run_id", "display_channel"])
+    best = df.withColumn("r", F.row_number().over(W.partitionBy("run_id", "display_channel").orderBy(*ranking()))).where("r <= 5")
+    ids = lambda rows: F.transform(F.sort_array(rows), lambda x: x["id"])
+    low = F.when(F.coalesce("score", F.lit(0.0)) < 65, F.struct("r", "id"))
+    top = best.groupBy("run_id", "display_channel").agg(ids(F.collect_list(F.struct("r", "id"))).alias("top_ids"), ids(F.collect_list(low)).alias("low_confidence_ids"))
+    flags = F.array_compact(F.array(F.when(F.col("items") == 0, "no-items"), F.when(F.col("sources") < 2, "single-source"), F.when(F.col("n_official") + F.col("n_media") == 0, "no-official-or-media")))
+    return agg.join(top, ["run_id", "display_channel"]).withColumn("flags", flags)
 
 
 def event_candidates(items: DataFrame, least: float = 85, limit: int = 12) -> DataFrame:
-    """Timelines, and single items of high score: related items and priority (90 at least for a timeline)."""
+    """The first `limit` events of each run in the order of their best items: timelines, and single items of importance `least` or more
+    (else of that score), with the ids of all their items, priority (high from 90) and status."""
     timeline = T.column_or(items, "timeline_event_id", None, "string")
-    df = items.withColumn("__k", F.coalesce(timeline, F.when(F.col("score") >= least, F.col("id")))).withColumn("__line", timeline.isNotNull()).where("__k is not null")
-    g = df.groupBy("run_id", "__k").agg(F.count("*").alias("related"), F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("lead_id"), F.greatest(F.max("score"), F.max(F.when(F.col("__line"), 90.0))).alias("priority"))
-    return g.withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("priority"), "__k"))).where(F.col("rank") <= limit).withColumnRenamed("__k", "event_key")
+    weight = F.coalesce(F.when(T.column_or(items, "importance_score", None, "double") != 0, T.column_or(items, "importance_score", None, "double")), F.col("score"), F.lit(0.0))
+    df = items.withColumn("__w", weight).withColumn("__k", F.coalesce(timeline, F.when(F.col("__w") >= least, F.concat(F.lit("candidate-"), "id")))).withColumn("__line", timeline.isNotNull()).where("__k is not null")
+    df = df.withColumn("__r", F.row_number().over(W.partitionBy("run_id", "__k").orderBy(*ranking())))
+    first = df.where("__r = 1").withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy(*ranking()))).where(F.col("rank") <= limit)
+    first = stored(first.select("run_id", F.col("__k").alias("event_key"), F.col("id").alias("lead_id"), "category", F.when(F.col("__w") >= 90, "high").otherwise("medium").alias("priority"), F.when(F.col("__line"), "linked").otherwise("to-confirm").alias("status"), "rank"))
+    ids = df.withColumnRenamed("__k", "event_key").join(first.select("run_id", "event_key"), ["run_id", "event_key"], "left_semi")
+    ids = ids.groupBy("run_id", "event_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "id"))), lambda x: x["id"]).alias("related_item_ids"))
+    return first.join(ids, ["run_id", "event_key"])
+
+
+def event_brief_inputs(items: DataFrame, limit: int = 5) -> DataFrame:
+    """Each run's best item of every event, the first `limit` of these: what a brief is written from."""
+    key = F.coalesce(*[F.nullif(T.column_or(items, c, None, "string"), F.lit("")) for c in ("event_id", "timeline_event_id", "event_cluster_key", "id")])
+    df = items.withColumn("brief_key", key).where("brief_key is not null")
+    df = df.withColumn("__r", F.row_number().over(W.partitionBy("run_id", "brief_key").orderBy(*ranking()))).where("__r = 1").drop("__r")
+    return df.withColumn("brief_rank", F.row_number().over(W.partitionBy("run_id").orderBy(*ranking()))).where(F.col("brief_rank") <= limit)
 
 
 def theme_first_events(events: DataFrame, themes: list[list[str]], limit: int = 5) -> DataFrame:
@@ -180,7 +204,25 @@ def theme_first_events(events: DataFrame, themes: list[list[str]], limit: int =
 
 
 def daily_brief_rows(events: DataFrame) -> DataFrame:
-    """Each run's lead events with their place, and how many categories (3 at most are shown) they cover."""
-    top = events.where("rank <= 5")
-    cats = top.groupBy("run_id", "category").agg(F.min("rank").alias("o")).withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("o"))).where("n <= 3").groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "category"))), lambda x: x["category"]).alias("categories"))
-    return top.join(cats, "run_id")
+    """Each run's five lead events with their place, the categories they cover (3 at most), their distinct primary sources, complete rows
+    of key data (8 at most) and watch rows (8 at most), in the events' order."""
+    place = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc(F.coalesce("importance_score", F.lit(0.0))), "event_id"))
+    top = stored(events.withColumn("brief_rank", place).where("brief_rank <= 5"))
+
+    def firsts(rows: DataFrame, value: str, most: int, name: str) -> DataFrame:
+        n = rows.where(F.col(value).isNotNull()).groupBy("run_id", value).agg(F.min("o").alias("o"))
+        n = n.withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("o", value))).where(F.col("n") <= most)
+        return n.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", value))), lambda x: x[value]).alias(name))
+
+    order = lambda *more: F.struct("brief_rank", *more).alias("o")
+    zero = F.lit(0).alias("p")
+    out = top.join(firsts(top.select("run_id", order(zero), "category"), "category", 3, "categories"), "run_id", "left")
+    out = out.join(firsts(top.select("run_id", order(zero), F.col("primary_source.url").alias("url")), "url", 5, "sources"), "run_id", "left")
+    if "key_data" in events.columns:
+        d = top.select("run_id", "brief_rank", F.posexplode("key_data").alias("p", "d"))
+        full = F.forall(F.array(*[T.text_or_empty(F.col(f"d.{c}")) for c in ("metric", "value", "comparison", "meaning")]), lambda x: T.trim_ws(x) != "")
+        out = out.join(firsts(d.where(full).select("run_id", order("p"), "d"), "d", 8, "brief_key_data"), "run_id", "left")
+    if "watch_variables" in events.columns:
+        w = top.select("run_id", "brief_rank", F.posexplode("watch_variables").alias("p", "w")).select("run_id", order("p"), T.clean_text(F.col("w")).alias("w")).where("w <> ''")
+        out = out.join(firsts(w, "w", 8, "watch_rows"), "run_id", "left")
+    return out

@@ -91,8 +91,10 @@ def compact_items(df: DataFrame) -> DataFrame:
 
 
 def history_index(archive: DataFrame, days: int = 10) -> DataFrame:
-    """The newest days of the archive with their item counts, and how many days there are."""
-    per = archive.groupBy("date").agg(F.count("*").alias("total_items"), F.count_distinct("category").alias("categories"))
+    """The newest days of the archive with their item counts and whether they have a brief (a column of that name), and how many days
+    there are."""
+    brief = F.coalesce(T.column_or(archive, "has_brief", False, "boolean"), F.lit(False))
+    per = archive.groupBy("date").agg(F.count("*").alias("total_items"), F.count_distinct("category").alias("categories"), F.bool_or(brief).alias("has_brief"))
     total = per.groupBy(F.lit(1).alias("k")).agg(F.count("*").alias("total_archive_days"))
     return per.orderBy(F.desc("date")).limit(days).withColumn("k", F.lit(1)).join(F.broadcast(total), "k").drop("k")
 

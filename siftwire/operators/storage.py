@@ -5,16 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to the folder that spark.checkpoint.dir names (one of our own only where it is unset, as in tests) and read
-    back, so that lineage ends and a lost executor loses nothing."""
-    spark = df.sparkSession
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder under the one that spark.checkpoint.dir names; one of our own only where that is unset and all tasks run on this
+    machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftwire-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read back, so that lineage ends and a lost executor loses nothing. The write's shuffle
+    files go when it ends."""
+    spark = df.sparkSession
+    path, was = folder(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ def weekly_windows(events: DataFrame, review_dates: list[str]) -> DataFrame:
 
 
 def weekly_themes(windows: DataFrame, prior: DataFrame | None = None, limit: int = 5) -> DataFrame:
-    """Each week's themes: events, distinct source addresses, signal, change against the week before, top event's conclusion, conflict, and
+    """Each week's themes: events, distinct source addresses, signal, change against the week before, top event's conclusion, evidence, risks, conflict, and
     the judgment's id and version carried over from `prior` (week_id's review: theme_key, judgment_id, judgment_version, conclusion)."""
     df = windows.withColumn("theme", theme_identity(windows))
     key = ["review_date", "theme"]
@@ -49,7 +49,14 @@ def weekly_themes(windows: DataFrame, prior: DataFrame | None = None, limit: int
     conclusion = T.truncate_text(T.first_filled(T.column_or(df, "why_it_matters", None, "string"), F.col("summary"), F.col("title")), 260)
     conflict = F.size(F.coalesce(T.column_or(df, "conflicting_evidence", None, "array<string>"), F.array().cast("array<string>"))) > 0
     g = cur.withColumn("__c", conclusion).withColumn("__x", conflict).groupBy(*key).agg(F.min("week_id").alias("week_id"), F.count("*").alias("event_count"), F.min_by("title", top).alias("title"), F.min_by("__c", top).alias("conclusion"), F.bool_or("__x").alias("has_conflict"))
+    # Evidence: the theme's five best events; risks: the distinct gaps that its events name.
+    best = cur.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(top))).where("__n <= 5")
+    fact = T.truncate_text(T.first_filled(F.col("summary"), F.col("title"), F.lit("")), 220)
+    proof = best.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "event_id", fact.alias("fact"), F.coalesce("primary_url", F.lit("")).alias("source_url")))), lambda x: F.struct(x["event_id"].alias("event_id"), x["fact"].alias("fact"), x["source_url"].alias("source_url"))).alias("evidence"))
+    gaps = F.coalesce(T.column_or(df, "evidence_gaps", None, "array<string>"), F.array().cast("array<string>"))
+    risks = cur.select(*key, F.explode(gaps).alias("r")).select(*key, T.clean_text(F.col("r")).alias("r")).where("r <> ''").groupBy(*key).agg(F.sort_array(F.collect_set("r")).alias("risks"))
     before = df.where("window = 'previous'").groupBy(*key).agg(F.count("*").alias("previous_count"))
+    g = g.join(proof, key, "left").join(risks, key, "left").withColumn("risks", F.coalesce("risks", F.array().cast("array<string>")))
     out = g.join(n_sources, key, "left").join(before, key, "left").withColumns({"source_count": F.coalesce("source_count", F.lit(0)), "previous_count": F.coalesce("previous_count", F.lit(0))})
     n, s = F.col("event_count"), F.col("source_count")
     out = out.withColumn("signal", F.when((n >= 3) & (s >= 3), "strong").when((n >= 2) | (s >= 2), "medium").otherwise("weak"))

@@ -13,27 +13,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str, runs: int = 8) -> DataFrame:
-    """documents as items: the first line's start as title, the text after it as summary, times back from NOW by id."""
-    n = F.substring("source", 4, 9).cast("int")
-    d = table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    """documents as items: the first line's start as title, all the text after that as summary, times back from NOW by id. The address holds
+    a digest of the text, so that only real copies share it. Null texts are empty, a null source is named unknown."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    n = F.coalesce(F.substring("source", 4, 9).try_cast("int"), F.lit(0))
+    title = F.substring(F.substring_index("text", "\n", 1), 1, 120)
     authority = F.get(F.array(*[F.lit(x) for x in ("official-agency", "official-media", "media", "blog")]), n % 4)
     category = F.when(F.col("lang") == "en", "tech").when(F.col("lang") == "de", "finance").when(F.col("lang") == "fr", "business").otherwise("news")
     return d.select(
-        (F.col("doc_id") % runs).alias("run_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("source_id"), F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
-        F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), (F.col("doc_id") % 700).cast("string")).alias("url"), "source", F.lit("rss").alias("source_type"), category.alias("category"), category.alias("source_category"),
-        F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - (F.col("doc_id") % 240) * 3600).alias("published_at"), F.lit(False).alias("published_at_inferred"), F.substring("text", 121, 500).alias("summary"),
+        (F.col("doc_id") % runs).alias("run_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("source_id"), title.alias("title"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.substring(F.md5("text"), 1, 16)).alias("url"), "source", F.lit("rss").alias("source_type"), category.alias("category"), category.alias("source_category"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - (F.col("doc_id") % 240) * 3600).alias("published_at"), F.lit(False).alias("published_at_inferred"), F.substr(F.col("text"), F.length(title) + 1).alias("summary"),
         F.lit(NOW).cast("timestamp").alias("fetched_at"), (n * 2 + 60).cast("double").alias("credibility"), authority.alias("source_authority"), F.lit("daily").alias("timeliness_tier"), F.array().cast("array<string>").alias("tags"),
     )
 
 
-ITEMS = """items as (
+#: White space and tags, cleaned as clean_text does.
+SPACES = r"[ \t\n\x0B\f\r\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def cleaned(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '{SPACES}+', ' ', 'g'))"
+
+
+ITEMS = """docs as (select doc_id, lang, coalesce(text, '') as text, coalesce(source, 'unknown') as source, coalesce(try_cast(substr(coalesce(source, 'unknown'), 4) as int), 0) as k from documents),
+items as (
 select doc_id % {runs} as run_id, doc_id as ord, cast(doc_id as varchar) as id, substr(split_part(text, chr(10), 1), 1, 120) as title,
-  'https://' || source || '.example/' || (doc_id % 700) as url, source, case lang when 'en' then 'tech' when 'de' then 'finance' when 'fr' then 'business' else 'news' end as category,
-  timestamp '2024-01-31 00:00:00' - to_hours(cast(doc_id % 240 as int)) as published_at, substr(text, 121, 500) as summary, cast(cast(substr(source, 4) as int) * 2 + 60 as double) as credibility,
-  (['official-agency', 'official-media', 'media', 'blog'])[cast(substr(source, 4) as int) % 4 + 1] as source_authority
-from documents where text is not null and source is not null),
-texts as (select *, regexp_replace(title || ' ' || summary, '<[^>]+>', ' ', 'g') as t0 from items),
-words as (select *, trim(regexp_replace(t0, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as text from texts)"""
+  'https://' || source || '.example/' || substr(md5(text), 1, 16) as url, source, case lang when 'en' then 'tech' when 'de' then 'finance' when 'fr' then 'business' else 'news' end as category,
+  timestamp '2024-01-31 00:00:00' - to_hours(cast(doc_id % 240 as int)) as published_at, substr(text, length(substr(split_part(text, chr(10), 1), 1, 120)) + 1) as summary, cast(k * 2 + 60 as double) as credibility,
+  (['official-agency', 'official-media', 'media', 'blog'])[k % 4 + 1] as source_authority
+from docs),
+words as (select *, """ + cleaned("title || ' ' || summary").replace("{", "{{").replace("}", "}}") + """ as text from items)"""
 
 #: Rules of words that the given tables hold.
 DERIVED = (("macro", "M", "tion"), ("international", "I", "heit"), ("business", "B", "ción"))

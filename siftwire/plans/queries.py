@@ -58,14 +58,6 @@ def normalize_items(spark, sf_dir):
     return d.select("id", "category", "primary_category", F.array_join("impact_areas", ",").alias("areas"), "source_tier", "evidence_type", "evidence_weight")
 
 
-@query("normalize_raw_records")
-def normalize_raw(spark, sf_dir):
-    """Documents as landed raw records, through the whole projection."""
-    d = adapters.items(spark, sf_dir)
-    raw = d.select("run_id", "ord", F.col("source").alias("source_name"), F.col("category"), F.col("credibility").cast("string").alias("credibility"), "source_authority", F.col("title"), F.col("url").alias("link"), F.date_format("published_at", "d MMM yyyy HH:mm:ss 'GMT'").alias("pub_date"), F.col("summary").alias("description"), "fetched_at")
-    return normalize.normalize_items(raw)
-
-
 @query("clean_text", r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) as text from pages")
 def clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
@@ -95,12 +87,6 @@ def filtered(spark, sf_dir):
     return d.select("id", F.array_join("filter_reasons", ";").alias("reasons"), (F.size("filter_reasons") == 0).alias("kept"))
 
 
-@query("content_density")
-def density(spark, sf_dir):
-    d = filters.content_density(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body_text")))
-    return d.select("doc_id", "body_length", "content_density", "new_fact_count")
-
-
 PAIRS = f"""tok as (select ord, list_sort({TOKENS}) as t, len({TOKENS}) as n from items), uniq as (select min(ord) as ord, t, min(n) as n from tok where n > 0 group by t),
 pairs as (select a.ord as a, b.ord as b from uniq a join uniq b on a.ord < b.ord and a.n >= {{0}} * b.n and b.n >= {{0}} * a.n where len(list_intersect(a.t, b.t)) >= {{0}} * (a.n + b.n - len(list_intersect(a.t, b.t))))"""
 
@@ -167,26 +153,6 @@ def channel_feed(spark, sf_dir):
     return publish.channel_feed(feed_frame(spark, sf_dir)).select("channel", F.col("rank").cast("long").alias("rank"), "id", "score", "channel_count")
 
 
-@query("publish_items")
-def published(spark, sf_dir):
-    return publish.publish_items(feed_frame(spark, sf_dir))
-
-
-@query("archive_items", f"with recursive {ONE}, {FEED}, d as (select *, cast(published_at as date) as date from scored), ranked as (select cast(date as varchar) as date, category, id, row_number() over (partition by date, category order by score desc, published_at desc, id) as archive_rank from d) select * from ranked where archive_rank <= 20")
-def archived(spark, sf_dir):
-    return publish.archive_items(feed_frame(spark, sf_dir).withColumn("date", F.to_date("published_at"))).select(F.col("date").cast("string").alias("date"), "category", "id", F.col("archive_rank").cast("long").alias("archive_rank"))
-
-
-@query("history_index", f"with {ONE} select cast(cast(published_at as date) as varchar) as date, count(*) as total_items, count(distinct category) as categories, count(*) over () as total_archive_days from items group by 1 order by 1 desc limit 10")
-def history(spark, sf_dir):
-    return publish.history_index(adapters.items(spark, sf_dir, 1).withColumn("date", F.to_date("published_at").cast("string")))
-
-
-@query("top_hotspots")
-def hotspots(spark, sf_dir):
-    return score.top_hotspots(score.score_items(classed(spark, sf_dir), NOW, SCORING), NOW).select("run_id", "hotspot_rank", "id", "hotspot_key", "top_score")
-
-
 def candidate_frame(spark, sf_dir) -> DataFrame:
     d = classed(spark, sf_dir).withColumn("published_at", F.col("published_at"))
     recent = d.select((F.col("run_id") + 1).alias("run_id"), "id", "title")
@@ -210,45 +176,14 @@ def clusters(spark, sf_dir):
     return dedupe.assign_event_clusters(d).select("run_id", "ord", "event_type", "event_cluster_key")
 
 
-@query("classify_items")
-def classified(spark, sf_dir):
-    d = classify.classify_items(adapters.items(spark, sf_dir).withColumn("event_type", F.lit("other")))
-    return d.select("id", "category", F.col("classification.confidence").alias("confidence"), F.col("classification.status").alias("status"), F.array_join("secondary_tags", "|").alias("tags"), "requires_review")
-
-
-@query("extract_keywords")
-def keywords(spark, sf_dir):
-    d = adapters.items(spark, sf_dir)
-    return d.select("id", F.array_join(publish.extract_keywords(d), "|").alias("keywords"))
-
-
-@query("extractive_summary")
-def summaries(spark, sf_dir):
-    d = events.extractive_summary(adapters.items(spark, sf_dir))
-    return d.select("id", "summary_short", F.size("summary_points").alias("points"), F.array_join("key_data", "|").alias("key_data"), "confidence", "tracking")
-
-
-@query("final_scores")
-def finals(spark, sf_dir):
-    d = candidate_frame(spark, sf_dir).where("candidate_status = 'selected'")
-    d = filters.review_content(filters.content_density(d.withColumn("body_fetch_status", F.lit("success"))))
-    return score.final_scores(score.score_items(classify.classify_items(d), NOW, SCORING)).select("run_id", "id", "independent_source_count", "score", "content_review_status")
-
-
-@query("daily_events")
-def daily(spark, sf_dir):
-    d = candidate_frame(spark, sf_dir)
-    return events.daily_events(score.score_items(d, NOW, SCORING)).select("run_id", "rank", "event_id", "importance_score", "source_count", F.array_join("related_item_ids", ",").alias("related"), F.array_join("evidence_gaps", ",").alias("gaps"))
-
-
 def event_archive(spark, sf_dir) -> DataFrame:
-    """Items as archived events: one an address path, themes by category and source."""
+    """Items as archived events: those of one title are versions of one event; themes by category and source."""
     d = adapters.items(spark, sf_dir)
-    return d.select("ord", F.concat(F.lit("e"), (F.col("ord") % 400).cast("string")).alias("event_id"), F.concat_ws(":", "category", F.col("source")).alias("theme_key"), "title", "summary", "category", F.lit("other").alias("event_type"), "credibility", F.col("credibility").alias("importance_score"), F.col("published_at").alias("archived_at"), F.col("url").alias("primary_url"), F.col("source").alias("primary_name"), F.lit("").alias("primary_id"))
+    return d.select("ord", F.concat(F.lit("e"), F.substring(F.md5(F.lower("title")), 1, 12)).alias("event_id"), F.concat_ws(":", "category", F.col("source")).alias("theme_key"), "title", "summary", "category", F.lit("other").alias("event_type"), "credibility", F.col("credibility").alias("importance_score"), F.col("published_at").alias("archived_at"), F.col("url").alias("primary_url"), F.col("source").alias("primary_name"), F.lit("").alias("primary_id"))
 
 
 DATES = ("2024-01-24", "2024-01-31")
-EVENTSQL = f"""ev as (select ord, 'e' || (ord % 400) as event_id, category || ':' || source as theme_key, title, category, credibility as importance_score, published_at as archived_at, url as primary_url from items),
+EVENTSQL = f"""ev as (select ord, 'e' || substr(md5(lower(title)), 1, 12) as event_id, category || ':' || source as theme_key, title, category, credibility as importance_score, published_at as archived_at, url as primary_url from items),
 aged as (select ev.*, d.review_date, date_diff('day', cast(archived_at as date), d.review_date) as age from ev, (select unnest([date '{DATES[0]}', date '{DATES[1]}']) as review_date) d),
 win as (select *, case when age <= 7 then 'current' else 'previous' end as win from aged where age between 1 and 14),
 latest as (select * from (select *, row_number() over (partition by review_date, win, event_id order by archived_at desc, ord) as r from win) where r = 1)"""
@@ -259,20 +194,6 @@ def windows(spark, sf_dir):
     return weekly.weekly_windows(event_archive(spark, sf_dir), list(DATES)).select(F.col("review_date").cast("string").alias("review_date"), "window", "event_id", "ord")
 
 
-@query("weekly_themes", f"""with {MANY}, {EVENTSQL}, g as (select review_date, theme_key as theme, count(*) as event_count, count(distinct primary_url) as source_count from latest where win = 'current' group by 1, 2), p as (select review_date, theme_key as theme, count(*) as previous_count from latest where win = 'previous' group by 1, 2),
-s as (select g.*, coalesce(previous_count, 0) as previous_count, case when event_count >= 3 and source_count >= 3 then 'strong' when event_count >= 2 or source_count >= 2 then 'medium' else 'weak' end as signal from g left join p using (review_date, theme)),
-r as (select *, row_number() over (partition by review_date order by case signal when 'strong' then 0 when 'medium' then 1 else 2 end, event_count desc, theme) as rank from s) select cast(review_date as varchar) as review_date, theme, event_count, source_count, previous_count, signal, rank from r where rank <= 5""")
-def themes(spark, sf_dir):
-    return weekly.weekly_themes(weekly.weekly_windows(event_archive(spark, sf_dir), list(DATES))).select(F.col("review_date").cast("string").alias("review_date"), "theme", "event_count", "source_count", "previous_count", "signal", F.col("rank").cast("long").alias("rank"))
-
-
-@query("judgment_validation")
-def judged(spark, sf_dir):
-    w = weekly.weekly_windows(event_archive(spark, sf_dir), list(DATES))
-    old = weekly.weekly_themes(w.where(F.col("review_date") == DATES[0])).select(F.col("theme").alias("theme_key"), "judgment_id", "judgment_version", "conclusion")
-    return weekly.judgment_validation(weekly.weekly_themes(w.where(F.col("review_date") == DATES[1]), old), old)
-
-
 @query("weekly_major_events", f"with {MANY}, {EVENTSQL} select cast(review_date as varchar) as review_date, event_id, rank from (select review_date, event_id, row_number() over (partition by review_date order by importance_score desc, event_id) as rank from latest where win = 'current') where rank <= 6")
 def major(spark, sf_dir):
     return weekly.weekly_major_events(weekly.weekly_windows(event_archive(spark, sf_dir), list(DATES))).select(F.col("review_date").cast("string").alias("review_date"), "event_id", F.col("rank").cast("long").alias("rank"))
@@ -288,41 +209,6 @@ def counts(spark, sf_dir):
     return audit.source_counts(adapters.items(spark, sf_dir, 1))
 
 
-def audit_frame(spark, sf_dir) -> DataFrame:
-    d = classed(spark, sf_dir)
-    kept, _ = filters.filter_items(d, NOW, RULES)
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality")
-    high = d.join(labels.where("quality = 1"), "ord", "left_semi")
-    reviewed = filters.content_density(kept)
-    raw = d.groupBy("run_id", "source").agg(F.count("*").alias("item_count"))
-    bodies = kept.groupBy("run_id", "source").agg(F.count("*").alias("attempted"), F.count_if(F.col("ord") % 7 == 0).alias("failed"))
-    return audit.source_audit(raw, {"normalized": d, "filtered": kept, "deduped": kept.where("ord % 5 <> 0"), "scored": kept.where("ord % 5 <> 0"), "candidates": high, "reviewed": reviewed}, bodies, reviewed)
-
-
-AUDIT = f"""{CLASSED}, {FILTERED}, k as (select w.* from weighed w join reasons r on w.id = r.id and len(r.r) = 0),
-n as (select run_id, source, count(*) as normalized from weighed group by 1, 2), f as (select run_id, source, count(*) as filtered, count(*) filter (where ord % 5 <> 0) as deduped, count(*) filter (where ord % 7 = 0) as failed from k group by 1, 2),
-h as (select run_id, source, count(*) as high from weighed where ord in (select doc_id from labels where quality = 1) group by 1, 2),
-aud as (select n.run_id, n.source, normalized as fetched_count, normalized as normalized_items, normalized - coalesce(filtered, 0) as filtered_out_items, coalesce(filtered, 0) - coalesce(deduped, 0) as deduplicated_items, coalesce(deduped, 0) as retained_items,
- floor(coalesce(deduped, 0) / normalized::double * 10000 + 0.5) / 10000 as pass_rate, floor((coalesce(filtered, 0) - coalesce(deduped, 0)) / normalized::double * 10000 + 0.5) / 10000 as duplicate_rate, floor(coalesce(high, 0) / normalized::double * 10000 + 0.5) / 10000 as high_value_rate,
- coalesce(filtered, 0) as enrichment_attempted, floor((filtered - failed) / filtered::double * 10000 + 0.5) / 10000 as body_success_rate from n left join f using (run_id, source) left join h using (run_id, source))"""
-
-
-@query("source_audit", f"with {MANY}, {AUDIT} select * from aud")
-def audited(spark, sf_dir):
-    return audit_frame(spark, sf_dir).drop("reviewed_items", "average_density")
-
-
-@query("funnel_rollup", f"with {MANY}, {AUDIT} select cast(run_id as varchar) as run_id, source, cast(grouping(run_id) * 2 + grouping(source) as bigint) as level, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in ('fetched_count', 'normalized_items', 'filtered_out_items', 'deduplicated_items', 'retained_items', 'enrichment_attempted'))} from aud group by rollup (run_id, source)")
-def funnel(spark, sf_dir):
-    return audit.funnel_rollup(audit_frame(spark, sf_dir)).withColumn("run_id", F.col("run_id").cast("string")).withColumn("level", F.col("level").cast("long"))
-
-
-@query("performance_runs")
-def performance(spark, sf_dir):
-    a = adapters.attempts(spark, sf_dir).groupBy((F.col("attempt_id") % 8).alias("run_id"), "source").agg(F.max("fetched_at").alias("generated_at"), F.sum("item_count").alias("item_count"), F.bool_or("ok").alias("ok"), F.lit(False).alias("is_probe"))
-    return audit.performance_runs(audit_frame(spark, sf_dir), a)
-
-
 def _summary_sql(of: str) -> str:
     d = lambda a, b, k: f"floor({of.format(a)} / nullif({of.format(b)}, 0)::double * {k} + 0.5) / {k}"
     return f"coalesce(cast({of.format('fetched_count')} as bigint), 0) as metadata_count, coalesce({d('passed_count', 'fetched_count', 10000)}, 0) as pass_rate, coalesce({d('duplicate_count', 'fetched_count', 10000)}, 0) as duplicate_rate, coalesce({d('high_value_count', 'fetched_count', 10000)}, 0) as high_value_rate, {d('body_success_count', 'body_attempt_count', 10000)} as body_success_rate, coalesce({d('density_total', 'density_count', 100)}, 0) as average_density"
@@ -333,11 +219,6 @@ def summarized(spark, sf_dir):
     return audit.summarize_runs(adapters.source_runs(spark, sf_dir))
 
 
-@query("rolling_source_metrics", f"with {RUNS} select source, generated_at, count(*) over w as run_count, {_summary_sql('sum({0}) over w')} from runs window w as (partition by source order by generated_at range between interval 14 days preceding and current row)")
-def rolling(spark, sf_dir):
-    return audit.rolling_source_metrics(adapters.source_runs(spark, sf_dir)).select("source", "generated_at", "d14.*")
-
-
 @query("source_policy")
 def policy(spark, sf_dir):
     return audit.policy_limits(audit.source_policy(adapters.source_runs(spark, sf_dir)))
@@ -369,13 +250,6 @@ def health_grace(spark, sf_dir):
     return audit.source_health(unique_attempts(spark, sf_dir), 2).select("attempt_id", "source", "failure_count", "last_success_at", "status")
 
 
-@query("health_summary")
-def health_total(spark, sf_dir):
-    h = audit.source_health(unique_attempts(spark, sf_dir))
-    last = h.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("fetched_at"), F.desc("attempt_id")))).where("r = 1")
-    return audit.health_summary(last)
-
-
 @query("effective_records", f"""with {ATTEMPTS}, a as (select *, last_value(case when ok and item_count > 0 then fetched_at end ignore nulls) over w as lf, last_value(case when ok and item_count > 0 then item_count end ignore nulls) over w as lc from attempts window w as (partition by source order by fetched_at, attempt_id rows between unbounded preceding and 1 preceding))
 select attempt_id, case when not ok and lf is not null then lf else fetched_at end as effective_fetched_at, case when not ok and lf is not null then lc when ok then item_count else 0 end as effective_count, not ok and lf is not null as stale from a""")
 def effective(spark, sf_dir):
@@ -387,23 +261,6 @@ def newest(spark, sf_dir):
     return audit.limit_newest(adapters.items(spark, sf_dir), 3, 96).select("run_id", "source", "ord")
 
 
-QUERYROWS = [("q1", "all", "all", "tion the", 0.0), ("q2", "tech", "all", "tion", 40.0), ("q3", "all", "src3", "heit", 0.0), ("q4", "all", "src1", "zzzz", 0.0), ("q5", "all", "all", "", 60.0), ("q6", "news", "src2", "ción", 0.0)]
-
-
-def search_frame(spark, sf_dir):
-    return score.score_items(classed(spark, sf_dir), NOW, SCORING), spark.createDataFrame(QUERYROWS, "query_id string, channel string, source string, keyword string, min_score double")
-
-
-@query("search_items")
-def searched(spark, sf_dir):
-    return search.search_items(*search_frame(spark, sf_dir), NOW).select("query_id", "rank", "id", "search_score", F.array_join("hit_labels", "|").alias("labels"))
-
-
-@query("search_relaxed")
-def relaxed(spark, sf_dir):
-    return search.result_page(search.search_relaxed(*search_frame(spark, sf_dir), NOW), 10).select("query_id", "rank", "id", "source_relaxed", "total", "remaining")
-
-
 @query("source_facets", f"with {ONE} select distinct source from items")
 def facets(spark, sf_dir):
     return search.source_facets(adapters.items(spark, sf_dir, 1))
@@ -426,67 +283,11 @@ def enriched(spark, sf_dir):
     return audit.enrichment_stats(html.enrich_items(d, html.extract_articles(p)))
 
 
-@query("channel_coverage")
-def coverage(spark, sf_dir):
-    return events.channel_coverage(feed_frame(spark, sf_dir)).withColumn("top_ids", F.array_join("top_ids", ","))
-
-
 @query("weekly_top_sources", f"with {ONE}, c as (select cast(extract(isoyear from published_at) as varchar) || '-W' || lpad(cast(week(published_at) as varchar), 2, '0') as week_id, category as display_channel, source, count(*) as count from items group by 1, 2, 3) select week_id, display_channel, source, count, rank from (select *, row_number() over (partition by week_id, display_channel order by count desc, source) as rank from c) where rank <= 6")
 def top_sources(spark, sf_dir):
     return publish.weekly_top_sources(adapters.items(spark, sf_dir, 1).withColumn("display_channel", F.col("category"))).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("market_quotes")
-def quotes(spark, sf_dir):
-    """Order prices as quote payloads of a symbol a customer."""
-    o = table(spark, sf_dir, "orders")
-    pay = F.to_json(F.create_map(F.lit("05. price"), F.col("o_totalprice").cast("string"), F.lit("10. change percent"), F.concat((F.col("o_orderkey") % 7).cast("string"), F.lit("%"))))
-    return market.normalize_quotes(o.select(F.col("o_custkey").cast("string").alias("symbol"), pay.alias("payload"), F.col("o_orderdate").cast("timestamp").alias("fetched_at")))
-
-
-@query("parse_feed_items")
-def feeds(spark, sf_dir):
-    """Documents wrapped as feed XML, twenty a source and feed, parsed back."""
-    d = adapters.items(spark, sf_dir)
-    item = F.concat(F.lit("<item><title><![CDATA["), F.col("title"), F.lit("]]></title><link>"), F.col("url"), F.lit("</link><guid>"), F.col("id"), F.lit("</guid><category>news</category></item>"))
-    xml = d.groupBy("source", (F.floor(F.col("ord") / 400)).alias("part")).agg(F.concat(F.lit("<rss>"), F.array_join(F.sort_array(F.collect_list(item)), ""), F.lit("</rss>")).alias("xml"))
-    return records.parse_feed_items(xml).select("source", "guid", "title", "link", F.array_join("categories", ",").alias("categories"))
-
-
-@query("stage_of_progress")
-def stages(spark, sf_dir):
-    d = adapters.items(spark, sf_dir)
-    return d.select("id", events.infer_stage(T.item_text(d)).alias("stage"), T.detect_language_counts(T.item_text(d)).alias("language"))
-
-
-@query("article_brief")
-def brief(spark, sf_dir):
-    d = events.extractive_summary(adapters.items(spark, sf_dir))
-    b = events.article_brief(d)
-    return b.select("run_id", "id", F.array_join("facts", "|").alias("facts"), F.array_join("participants", "|").alias("participants"), "stage", F.array_join("limitations", "|").alias("limitations"))
-
-
-@query("grounding_check")
-def grounded(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    prev = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    d = c.withColumn("input", prev).withColumn("output", F.col("text")).where("input is not null")
-    return events.grounding_check(d).select("conv_id", "turn", F.array_join("ungrounded", "|").alias("ungrounded"), "grounded")
-
-
-@query("compact_archive_lookup")
-def lookups(spark, sf_dir):
-    d = feed_frame(spark, sf_dir).withColumn("date", F.to_date("published_at"))
-    keys = d.where("ord % 3 = 0").select(F.col("id").alias("key_id"), F.lit(None).cast("string").alias("key_url"))
-    return publish.lookup_items(keys, d.where("ord % 2 = 0"), d.where("ord % 2 = 1"))
-
-
-@query("latest_or_previous", f"with {MANY}, runs as (select distinct run_id from items), filled as (select distinct run_id from items where run_id % 3 = 0) select run_id, last_value(case when run_id in (select run_id from filled) then run_id end ignore nulls) over (order by run_id rows unbounded preceding) as from_run from runs")
-def latest(spark, sf_dir):
-    d = adapters.items(spark, sf_dir)
-    return publish.latest_or_previous(d, d.where("run_id % 3 = 0"))
-
-
 @query("daily_counts", f"with {ONE} select cast(cast(date_trunc('day', published_at) as date) as varchar) as day, source, count(*) as items from items group by 1, 2")
 def day_counts(spark, sf_dir):
     """The stream's tumbling windows, over a whole table at once."""

@@ -171,7 +171,10 @@ def extract_page_links(pages: DataFrame) -> DataFrame:
             rows = []
             for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 page = Page()
-                page.feed(html or "")
+                try:
+                    page.feed(html or "")
+                except (ValueError, AssertionError):  # a broken page gives the links read so far
+                    pass
                 seen = set()
                 for i, (href, words) in enumerate(page.links):
                     one = (squeeze(words), urljoin(url or "", href))

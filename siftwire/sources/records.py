@@ -115,8 +115,8 @@ def read_archive(spark: SparkSession, path: str, now: str, days: int = 15) -> Da
 
 
 def write_archive(df: DataFrame, path: str) -> None:
-    """One partition a day; writing a day again replaces that day only."""
-    df.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    """One partition a day; writing a day again replaces that day only. Rows are dealt by day, and a large day over several tasks."""
+    df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
