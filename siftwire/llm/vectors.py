@@ -7,69 +7,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, map_arrow, stored, table
+from .common import Forest, components, dropped, map_arrow, stored, table
 
 
 def unit(blobs: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(-1, dim)
+    """Rows of length 1 in double precision; the bytes are floats or doubles."""
+    kind = np.float32 if len(blobs) and len(blobs[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(blobs), kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, dim, vec): the vector as bytes of doubles; null vec where it can link with nothing."""
+    """(vec_id, label, dim, vec): the vector as bytes of floats (where the column holds these) or doubles; null vec where it can link with
+    nothing."""
+    kind = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
 
     def make(batches):
         for b in batches:
             out = []
             for v, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = None if v is None or label is None or None in v or not v else np.array(v, np.float64)
-                out.append(None if x is None or not np.isfinite(x).all() or not x.any() else (x / np.abs(x).max()).tobytes())
-            dims = [0 if x is None else len(x) // 8 for x in out]
+                x = None if v is None or label is None or None in v or not v else np.array(v, kind) + kind(0)  # no negative zero
+                out.append(None if x is None or not np.isfinite(x).all() or not x.any() else x.tobytes())
+            dims = [0 if x is None else len(x) // kind().itemsize for x in out]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.string()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "vec"])
 
     cols = vectors.select(F.col(id_col).cast("long"), vector_col, F.col(label_col).cast("string"))
     return map_arrow(cols, make, "vec_id long, label string, dim int, vec binary")
 
 
-def near_rows(pass_: np.ndarray, group: np.ndarray, x: np.ndarray, window: int, least: float, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most `window` apart, of one pass and group, with cosine of `least` or more; the later row is
-    `start` or after."""
+def near_rows(group: np.ndarray, x: np.ndarray, window: int, least: float, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows at most `window` apart, of one group, with cosine of `least` or more; the later row is `start` or after."""
     left, right = [], []
     for d in range(1, min(window, len(x) - 1) + 1):
         i = np.arange(max(start - d, 0), len(x) - d)
-        i = i[(pass_[i] == pass_[i + d]) & (group[i] == group[i + d])]
+        i = i[group[i] == group[i + d]]
         hit = i[np.einsum("ij,ij->i", x[i], x[i + d]) >= least]
         left.append(hit)
         right.append(hit + d)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def passes_edges(classes: DataFrame, passes: int, window: int, least: float, bits: int, seed: int) -> DataFrame:
-    """Verified edges (a, b) of all passes. A pass orders the vectors of a label by the signs of `bits` random projections,
+def enough_passes(most: int, window: int, least: float, recall: float = 0.999, at_most: int = 40) -> int:
+    """Passes that find a pair of cosine `least` with this chance in a label of `most` vectors of random directions: signs of one projection
+    agree with chance 1 - angle / pi, and the pair meets in a window when about log2(most / window) signs agree."""
+    agree = (1 - np.arccos(least) / np.pi) ** max(0.0, np.log2(max(most, 1) / window))
+    return 1 if agree >= recall else int(min(at_most, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
+
+
+def pass_edges(classes: DataFrame, number: int, window: int, least: float, bits: int, seed: int) -> DataFrame:
+    """Verified edges (a, b) of one pass, which orders the vectors of a label by the signs of `bits` random projections,
     most significant first, and compares each with the `window` before it. Sorted range partitions hold the order, so a
-    large label spreads; rows at a partition's ends meet the next partition's in a job of their own."""
+    large label spreads; rows at a partition's ends meet the next partition's in a job of their own. The vectors are shuffled once a pass, and
+    a pass's files go before the next one starts."""
 
-    def spread(batches):
+    def coded(batches):
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for b in batches:
             dims = b.column("dim").to_numpy()
+            codes = np.zeros(b.num_rows, np.int64)
             for dim in np.unique(dims):
-                some = b.filter(pa.array(dims == dim))
+                where = np.flatnonzero(dims == dim)
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((dim, passes * bits))
-                signs = (unit(some.column("vec").to_pylist(), int(dim)) @ planes[dim] >= 0).reshape(-1, passes, bits)
-                codes = (signs * weights).sum(2)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * some.num_rows, pa.int32()), some.column("label"), some.column("dim"), pa.array(codes[:, p]), some.column("rep"), some.column("vec")], ["pass", "label", "dim", "code", "rep", "vec"])
+                    planes[dim] = np.random.default_rng([seed, int(dim), number]).standard_normal((dim, bits))
+                codes[where] = (unit(b.column("vec").take(pa.array(where)).to_pylist(), int(dim)) @ planes[dim] >= 0) @ weights
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), b.column("dim"), b.column("vec"), pa.array(codes)], ["rep", "label", "dim", "vec", "code"])
 
-    rows = stored(map_arrow(classes.select("rep", "label", "dim", "vec"), spread, "pass int, label string, dim int, code long, rep long, vec binary"))
+    rows = map_arrow(classes.select("rep", "label", "dim", "vec"), coded, "rep long, label string, dim int, vec binary, code long")
 
     def scan(batches):
         import pyspark
 
         part = pyspark.TaskContext.get().partitionId()
-        names = ["rep", "pass", "label", "dim", "vec"]
+        names = ["rep", "label", "dim", "vec"]
         held, first, none = None, None, lambda n, t: pa.nulls(n, t)
 
         def ends(t, side):
@@ -84,7 +95,7 @@ def passes_edges(classes: DataFrame, passes: int, window: int, least: float, bit
             both = pa.concat_tables([held, new]).combine_chunks() if held else new
             e = compare(both, start)
             k = e.num_rows
-            yield pa.RecordBatch.from_arrays([e.column(0), e.column(1), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.string()), none(k, pa.int32()), none(k, pa.binary())], ["a", "b", "edge", "side", "i", *names])
+            yield pa.RecordBatch.from_arrays([e.column(0), e.column(1), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.string()), none(k, pa.int32()), none(k, pa.binary())], ["a", "b", "edge", "side", "i", *names])
             first = both.slice(0, window) if first is None or first.num_rows < window else first
             held = both.slice(max(0, both.num_rows - window))
         if held is not None:
@@ -98,12 +109,12 @@ def passes_edges(classes: DataFrame, passes: int, window: int, least: float, bit
         for dim in np.unique(dims):
             where = np.flatnonzero(dims == dim)
             x = unit(t.column("vec").take(pa.array(where)).to_pylist(), int(dim))
-            i, j = near_rows(t.column("pass").to_numpy()[where], labels[where], x, window, least, int(np.searchsorted(where, start)))
+            i, j = near_rows(labels[where], x, window, least, int(np.searchsorted(where, start)))
             forest.join(where[i], where[j])
         return forest.edges()
 
-    keys = ["pass", "label", "dim", "code", "rep"]
-    schema = "a long, b long, edge int, side int, i int, rep long, pass int, label string, dim int, vec binary"
+    keys = ["label", "dim", "code", "rep"]
+    schema = "a long, b long, edge int, side int, i int, rep long, label string, dim int, vec binary"
     found = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(scan, schema))
 
     def across(t):
@@ -112,7 +123,9 @@ def passes_edges(classes: DataFrame, passes: int, window: int, least: float, bit
         return pa.Table.from_batches([compare(t, int((t.column("side").to_numpy() == 0).sum()))])
 
     edges = found.where("edge is not null").groupBy("edge").applyInArrow(across, "a long, b long")
-    return found.where("edge is null").select("a", "b").unionByName(edges)
+    out = stored(found.where("edge is null").select("a", "b").unionByName(edges))
+    dropped(found)
+    return out
 
 
 def counted(members: DataFrame, least: float, block: int = 128, most_blocks: int = 24) -> DataFrame:
@@ -162,25 +175,35 @@ def counted(members: DataFrame, least: float, block: int = 128, most_blocks: int
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int = 10, window: int = 64, bits: int = 40, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int | None = None, window: int = 64, bits: int = 62, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal label whose cosine in double precision is `least` or more.
 
-    Equal vectors of a label become one class first. Each of `passes` passes sorts the classes of a label by the
-    concatenated signs of `bits` random projections and compares each with its `window` neighbours; verified pairs of all passes
-    are joined into components, in which all pairs are then counted in blocks. A pair is missed only if no chain of
-    window neighbours joins it in any pass; more passes or wider windows lower that chance.
+    Equal vectors of a label become one class first. Each of `passes` passes (their number follows from the largest label if not given, see
+    enough_passes) sorts the classes of a label by the concatenated signs of `bits` random projections and compares each with its `window`
+    neighbours; verified pairs of all passes are joined into components, in which all pairs are then counted in blocks. A pair is missed
+    only if no chain of window neighbours joins it in any pass; more passes or wider windows lower that chance, and labels whose vectors
+    all lie close together raise it. A label of at most `window` vectors is compared whole.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or whose label is null, link with nothing, as do
     vectors of different lengths. Repeated rows are copies of each other; an empty table gives no rows; other columns
     are not read. Returns vec_id, n_links, component_id (least id reachable), kept."""
-    rows = stored(prepared(vectors, id_col, vector_col, label_col).withColumn("h", F.md5("vec")))
-    classes = stored(rows.where("vec is not null").groupBy("label", "dim", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
-    comps = components(passes_edges(classes, passes, window, least, bits, seed))
+    every = prepared(vectors, id_col, vector_col, label_col).withColumn("h", F.md5("vec"))
+    rows = stored(every.drop("vec"))
+    classes = stored(every.where("vec is not null").groupBy("label", "dim", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
+    if passes is None:
+        passes = enough_passes(classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, window, least)
+    edges = [pass_edges(classes, i, window, least, bits, seed) for i in range(passes)]
+    found = edges[0]
+    for e in edges[1:]:
+        found = found.unionByName(e)
+    comps = components(found)
+    dropped(*edges)
     members = stored(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(classes, "rep"))
     links = counted(members, least)
     known = classes.select("label", "dim", "h", "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     known = stored(known.select("label", "dim", "h", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
-    out = rows.select("vec_id", "label", "dim", "h").join(known, ["label", "dim", "h"], "left")
+    dropped(members, classes, comps)
+    out = rows.join(known, ["label", "dim", "h"], "left")
     root = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
 

@@ -207,6 +207,37 @@ def test_near_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_of_a_large_label(spark):
+    """Pairs at a cosine just over the limit among many others, in windows far smaller than the label."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((300, 48))
+    y -= (y * x[:300]).sum(1)[:, None] * x[:300]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cos = rng.uniform(0.9805, 0.982, 300)[:, None]
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(np.concatenate([x, cos * x[:300] + np.sqrt(1 - cos**2) * y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    assert vectors.enough_passes(3300, 16, 0.98) > 1 == vectors.enough_passes(16, 16, 0.98)
+    found = {r.vec_id: r.component_id for r in vectors.near_vectors(df, window=16).collect()}
+    assert sum(found[3000 + i] == i for i in range(300)) >= 297 and all(found[i] == i for i in range(3000))
+
+
+def test_tables_with_odd_rows_and_clashing_names(spark):
+    """Null ids, a very long text, repeated rows, and columns named like the operators' own."""
+    clash = "row long, h string, n long, component string, bytes long, shard string, copies string, `a.b` string"
+    extra = (1, "x", 2, "y", 3, "z", "c", "d")
+    texts = [(1, "one two three four"), (2, "w " * 30_000), (None, "one two three four"), (4, None), (1, "one two three four"), (5, "")]
+    docs = spark.createDataFrame([(i, t, "s" if i == 1 else None, *extra) for i, t in texts], f"doc_id long, text string, source string, {clash}")
+    assert shard.shard_by_bytes(docs).count() == mixing.mix_sources(docs).count() == jaccard.jaccard_join(docs).count() == len(texts)
+    sizes = {(r.doc_id, r.size) for r in shard.shard_by_bytes(docs).collect()}
+    assert (2, 60_016) in sizes and (4, 16) in sizes
+    out = {r.doc_id: r for r in jaccard.jaccard_join(docs).where("doc_id is not null").collect()}
+    assert out[2].n_shingles == 1 and out[1].component_id == 1 and out[4].n_shingles == 0
+    v = spark.createDataFrame([(1, [1.0, 2.0], "a", *extra), (1, [1.0, 2.0], "a", *extra), (None, [1.0, 2.0], "a", *extra), (3, [0.5] * 5000, "a", *extra)], f"vec_id long, embedding array<double>, label string, {clash}")
+    assert vectors.near_vectors(v).count() == 4
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]
