@@ -17,7 +17,7 @@ TOKEN = r"[^\W_]+"
 
 
 def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first token, last token, score) of a text in which the tokens `hits` (place, score > 0)
+    """All maximal-scoring segments (first token, last token, score) of a text in which the tokens `hits` (place, score)
     stand among tokens of score -`gap` each; one pass, each candidate being merged at most once.
 
     Candidates hold the sums before and after them. A new one is joined to the nearest earlier candidate whose left
@@ -26,6 +26,9 @@ def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int,
     total, last = 0.0, -1
     for at, score in hits:
         total -= gap * (at - last - 1)
+        if score <= 0:
+            total, last = total + score, at
+            continue
         left, total, last = total, total + score, at
         new = [at, at, left, total]
         while True:
@@ -51,10 +54,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
     """Token log-odds, the scale of chance scores, and the calibration.
 
     Fitted on at most `max_docs` labelled documents. Log-odds of a token (counted once a text) between toxic and clean texts have a Dirichlet prior in
-    proportion to the token's overall frequency (`prior` of all tokens); tokens at least 2 standard errors
-    above 0 are kept, at most `max_tokens`. Others share the score -gap. The Gumbel constant K comes from the clean
-    texts' best segments (scores are log-likelihood ratios, so its slope is 1); a logistic fit turns a text's evidence into
-    the score. Only a table of tokens and one row a training text, both bounded, come to the driver."""
+    proportion to the token's overall frequency (`prior` of all tokens); tokens at least 2 standard errors from 0, on either side, score their
+    own log-odds (of each side the `max_tokens` surest at most), others -gap. Extreme values: the slope lambda solves
+    sum p e^(lambda score) = 1 over the tokens of clean texts, and K is the likeliest one for the best segments of clean texts, those below
+    the least toxic score being censored. A logistic fit turns a text's evidence into the score. Only a table of tokens and one row
+    a training text, both bounded, come to the driver."""
     sample = stored(labelled(docs, labels, max_docs, id_col, text_col))
 
     def count(batches):
@@ -76,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
 
     counts = stored(map_arrow(sample, count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     n = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
-    model: dict = {"odds": {}, "gap": 0.05, "k": 1.0, "fit": (0.0, -4.0)}
+    model: dict = {"odds": {}, "gap": 0.05, "k": 1.0, "slope": 1.0, "fit": (0.0, -4.0)}
     if not n.clean or not n.toxic:
         return model
     weight = prior * (n.clean + n.toxic)
@@ -84,21 +88,46 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
     odds = lambda y, total: F.log((F.col(y) + a) / (F.lit(total + weight) - F.col(y) - a))
     scored = counts.withColumn("delta", odds("toxic", n.toxic) - odds("clean", n.clean)).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)))
     # Log-odds are at most log(1 + share of clean tokens over the prior): tokens well above the noise pass both tests.
-    top = scored.where("z >= 2 and delta >= 1 and toxic >= 3").orderBy(F.desc("z"), "token").limit(max_tokens).select("token", "delta", "clean").toPandas()
+    toxic = scored.where("z >= 2 and delta >= 1 and toxic >= 3").orderBy(F.desc("z"), "token").limit(max_tokens)
+    clean = scored.where("z <= -2 and delta < 0").orderBy("z", "token").limit(max_tokens)
+    top = stored(toxic.unionByName(clean)).select("token", "delta", "clean").toPandas()
     model["odds"] = dict(zip(top["token"], top["delta"].astype(float), strict=True))
-    chance = float((top["delta"] * top["clean"]).sum()) / n.clean
+    share, delta = top["clean"].to_numpy(float) / n.clean, top["delta"].to_numpy(float)
+    chance = float((delta * share)[delta > 0].sum())
     model["gap"] = max(0.02, 2 * chance)  # the mean score of a clean token is below 0
-    seen = evidence(sample.withColumn("doc_id", F.lit(0)).select("doc_id", "text", "toxic"), model, keep=("toxic",)).select("toxic", "n_tokens", "best", "evidence").toPandas()
-    clean = seen[seen["toxic"] == 0]
-    # P(best >= x) = 1 - exp(-K n e^-x), at x = the least score that counts.
-    x = float(top["delta"].min()) if len(top) else 1.0
-    hits, room = float((clean["best"] >= x).sum()), float(clean["n_tokens"].sum()) * math.exp(-x)
-    model["k"] = (hits + 0.5) / (room + 1.0)
-    seen = evidence(sample.withColumn("doc_id", F.lit(0)).select("doc_id", "text", "toxic"), model, keep=("toxic",)).select("toxic", "evidence").toPandas()
-    model["fit"] = logistic(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float))
+    model["slope"] = slope(share, delta, model["gap"])
+    seen = evidence(sample.withColumn("doc_id", F.lit(0)).select("doc_id", "text", "toxic"), model, alpha=math.inf, keep=("toxic",)).select("toxic", "n_tokens", "best", F.transform("passages", lambda x: x["score"]).alias("scores")).toPandas()
+    plain = seen[seen["toxic"] == 0]
+    least = float(delta[delta > 0].min()) if (delta > 0).any() else 1.0
+    hit = plain["best"] >= least
+    room = float((plain["n_tokens"] * np.exp(-model["slope"] * plain["best"].where(hit, least))).sum())
+    model["k"] = (float(hit.sum()) + 0.5) / (room + 1.0)
+    gained = [sum(gain(model["k"], model["slope"], n, s) for s in scores) for n, scores in zip(seen["n_tokens"], seen["scores"], strict=True)]
+    model["fit"] = logistic(np.array(gained, float), seen["toxic"].to_numpy(float))
     return model
 
 
+def slope(share: np.ndarray, score: np.ndarray, gap: float) -> float:
+    """lambda > 0 with sum p e^(lambda s) = 1 for tokens of these shares and scores, the other tokens scoring -gap; 1 if none scores above 0."""
+    if not (share[score > 0] > 0).any():
+        return 1.0
+    rest = max(0.0, 1 - share.sum())
+    excess = lambda x: (share * np.exp(np.minimum(x * score, 700))).sum() + rest * math.exp(-x * gap) - 1
+    low, high = 0.0, 1.0
+    while excess(high) < 0 and high < 64:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+    return max(high, 0.05)
+
+
+def gain(k: float, rate: float, tokens: int, score: float, alpha: float = 0.05) -> float:
+    """What a passage adds to the evidence: ln(alpha / E) + 1 if its E-value is at most alpha, else 0."""
+    log_e = math.log(k * max(tokens, 1)) - rate * score
+    return math.log(alpha) - log_e + 1 if log_e <= math.log(alpha) else 0.0
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Slope and intercept by Newton steps on log(1 + evidence)."""
     z = np.stack([np.log1p(x), np.ones(len(x))], 1)
@@ -116,14 +145,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 def evidence(docs: DataFrame, model: dict, alpha: float = 0.05, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every significant toxic passage of each whole text, and their sum.
 
-    A passage is a maximal-scoring segment of tokens; its E-value is K n e^-score for a text of n tokens, and one
+    A passage is a maximal-scoring segment of tokens; its E-value is K n e^(-lambda score) for a text of n tokens, and one
     of `alpha` or less is significant. evidence: the sum over these of ln(alpha / E) + 1. Returns doc_id, n_tokens,
     best (the highest segment score), evidence, passages (first and last token, counted from 0, score, e_value)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):
         m, find = held.value, re.compile(TOKEN).findall
-        odds, gap, k = m["odds"], m["gap"], m["k"]
+        odds, gap, k, rate = m["odds"], m["gap"], m["k"], m["slope"]
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -132,7 +161,7 @@ def evidence(docs: DataFrame, model: dict, alpha: float = 0.05, keep: tuple[str,
                 found, best, total = [], 0.0, 0.0
                 for first, last, score in segments(hits, gap) if hits else ():
                     best = max(best, score)
-                    log_e = math.log(k * len(tokens)) - score
+                    log_e = math.log(k * len(tokens)) - rate * score
                     if log_e <= math.log(alpha):
                         found.append((first, last, score, math.exp(max(log_e, -700.0))))
                         total += math.log(alpha) - log_e + 1
