@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, map_arrow, stored, table
+from .common import bucket, least_count, map_arrow, stored, table
 
 LETTERS = r"[^\W\d_]+"
 
@@ -29,9 +29,10 @@ def grams(word: str, n: int) -> list[str]:
 def train(docs: DataFrame, longest: int = 5, max_docs: int = 20_000, max_words: int = 100_000, max_grams: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Log frequencies by language of words and of n-grams of 1 to `longest` characters.
 
-    Fitted on at most `max_docs` labelled documents, chosen by a hash of the id; the most frequent `max_words` words
-    (seen twice at least) and `max_grams` n-grams are kept, so the model has a fixed bound. Counting runs in tasks that give out
-    partial counts whenever they hold 200,000 entries."""
+    Fitted on at most `max_docs` labelled documents, chosen by a hash of the id. Words and n-grams at or above a count are kept: the least
+    count from 2 that at most `max_words` and `max_grams` reach (given as model["least"]), so the model has a fixed bound; rarer words back
+    off like unseen ones. Words are counted whole, however long. Counting runs in tasks that give out partial counts whenever they hold
+    200,000 entries."""
     sample = sampled(docs.where(F.col(text_col).isNotNull() & F.col("lang").isNotNull()), max_docs, id_col)
 
     def make(batches):
@@ -53,7 +54,7 @@ def train(docs: DataFrame, longest: int = 5, max_docs: int = 20_000, max_words:
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(letters.findall(text.lower())).items():
-                    held[lang, w[:60]] += n
+                    held[lang, w] += n
             if len(held) > 200_000:
                 yield out()
         yield out()
@@ -61,13 +62,15 @@ def train(docs: DataFrame, longest: int = 5, max_docs: int = 20_000, max_words:
     counts = stored(map_arrow(sample.select(text_col, "lang"), make, "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")))
     totals = counts.withColumn("size", F.when(F.col("kind") == "g", F.length("item")).otherwise(0)).groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in totals})
-    model: dict = {"langs": langs, "longest": longest, "words": {}, "grams": {}}
+    model: dict = {"langs": langs, "longest": longest, "words": {}, "grams": {}, "least": {}}
     if not langs:
         return model
     total = {(r.size, r.lang): r.n for r in totals}
     for kind, most, least in (("w", max_words, 2), ("g", max_grams, 2)):
         top = counts.where(F.col("kind") == kind).groupBy("item").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)]).where(F.col("all") >= least)
-        rows = top.orderBy(F.desc("all"), "item").limit(most).toPandas()
+        top = stored(top)
+        model["least"][kind] = least_count(top, "all", most, least)
+        rows = top.where(F.col("all") >= model["least"][kind]).toPandas()
         n = rows[[f"l{i}" for i in range(len(langs))]].to_numpy(np.float64)
         size = rows["item"].str.len().to_numpy() if kind == "g" else np.zeros(len(rows), int)
         base = np.array([[total.get((s, x), 0) for x in langs] for s in range(longest + 1)], np.float64)[size.astype(int)] if len(rows) else np.zeros((0, len(langs)))
