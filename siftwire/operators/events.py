@@ -167,6 +167,7 @@ def event_candidates(items: DataFrame, least: float = 85, limit: int = 12) -> Da
     timeline = T.column_or(items, "timeline_event_id", None, "string")
     weight = F.coalesce(F.when(T.column_or(items, "importance_score", None, "double") != 0, T.column_or(items, "importance_score", None, "double")), F.col("score"), F.lit(0.0))
     df = items.withColumn("__w", weight).withColumn("__k", F.coalesce(timeline, F.when(F.col("__w") >= least, F.concat(F.lit("candidate-"), "id")))).withColumn("__line", timeline.isNotNull()).where("__k is not null")
+    df = stored(df.select("run_id", "id", "category", "score", "published_at", "__w", "__k", "__line"))
     df = df.withColumn("__r", F.row_number().over(W.partitionBy("run_id", "__k").orderBy(*ranking())))
     first = df.where("__r = 1").withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy(*ranking()))).where(F.col("rank") <= limit)
     first = stored(first.select("run_id", F.col("__k").alias("event_key"), F.col("id").alias("lead_id"), "category", F.when(F.col("__w") >= 90, "high").otherwise("medium").alias("priority"), F.when(F.col("__line"), "linked").otherwise("to-confirm").alias("status"), "rank"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .storage import stored
 
 
 def fields(df: DataFrame) -> dict[str, Column]:
@@ -59,6 +60,7 @@ def search_items(items: DataFrame, queries: DataFrame, now: str, limit: int = 20
 
 def search_relaxed(items: DataFrame, queries: DataFrame, now: str, limit: int = 20) -> DataFrame:
     """As search_items; a query with a keyword and a source that finds nothing is run again over all sources (source_relaxed)."""
+    items = stored(items)  # searched twice
     first = search_items(items, queries, now, limit).withColumn("source_relaxed", F.lit(False))
     empty = queries.where((F.col("source") != "all") & (T.text_or_empty(F.col("keyword")) != "")).join(first.select("query_id").distinct(), "query_id", "left_anti")
     again = search_items(items, empty.withColumn("source", F.lit("all")), now, limit).withColumn("source_relaxed", F.lit(True))

@@ -12,10 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt out evenly before work on each row: a small file is one task otherwise. Tables
+    of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def items(spark: SparkSession, sf_dir: str, runs: int = 8) -> DataFrame:
     """documents as items: the first line's start as title, all the text after that as summary, times back from NOW by id. The address holds
     a digest of the text, so that only real copies share it. Null texts are empty, a null source is named unknown."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"))
     n = F.coalesce(F.substring("source", 4, 9).try_cast("int"), F.lit(0))
     title = F.substring(F.substring_index("text", "\n", 1), 1, 120)
     authority = F.get(F.array(*[F.lit(x) for x in ("official-agency", "official-media", "media", "blog")]), n % 4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import audit, candidates, dedupe, events, filters, publish, score, search, weekly
-from ..operators.storage import folder
+from ..operators.storage import folder, stored
 from ..sources import records
 from . import adapters, sql
 from .adapters import EVENTS, ITEMS, NOW, RUNS, table
@@ -86,13 +86,13 @@ def latest(spark, sf_dir):
 def audit_frame(spark, sf_dir) -> DataFrame:
     """The funnel of all documents: filtered, duplicates merged, scored with a floor, bodies reviewed; an item without text after its title
     has no body."""
-    d = classed(spark, sf_dir, 1)
-    kept, _ = filters.filter_items(d, NOW, RULES)
-    unique = dedupe.dedupe_items(kept)
+    d = stored(classed(spark, sf_dir, 1))
+    kept = stored(filters.filter_items(d, NOW, RULES)[0])
+    unique = stored(dedupe.dedupe_items(kept))
     scored = filters.score_floor(score.score_items(unique, NOW, SCORING), 60)
     high = d.join(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
     body = unique.withColumn("body_fetch_status", F.when(T.trim_ws(F.col("summary")) == "", "failed").otherwise("success")).withColumn("body_text", F.col("summary")).withColumn("candidate_value", F.lit(0))
-    reviewed = filters.review_content(filters.content_density(body))
+    reviewed = stored(filters.review_content(filters.content_density(body)).drop("summary", "body_text"))
     raw = d.groupBy("run_id", "source").agg(F.count("*").alias("item_count"))
     bodies = body.groupBy("run_id", "source").agg(F.count("*").alias("attempted"), F.count_if(F.col("body_fetch_status") == "failed").alias("failed"))
     accepted = reviewed.where("content_review_status = 'accepted'")

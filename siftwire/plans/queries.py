@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, candidates, classify, dedupe, events, filters, normalize, publish, score, search, weekly
 from ..sources import html, market, records
+from ..operators.storage import stored
 from ..streaming import jobs
 from . import adapters
-from .adapters import ATTEMPTS, DERIVED, EVENTS, ITEMS, KEYWORDS, NOW, RUNS, table
+from .adapters import ATTEMPTS, DERIVED, EVENTS, ITEMS, KEYWORDS, NOW, RUNS, spread, table
 
 ONE, MANY = ITEMS.format(runs=1), ITEMS.format(runs=8)
 RULES = filters.FilterRules(allowed_categories=("tech", "finance", "business"), blocked_terms=("zuheit", "ñaco"), low_value_titles=("thble",), low_value_content=("aient",), blocked_sources=("src5",), blocked_tiers=("C",), max_age_hours=100, extended_max_age_hours=200)
@@ -60,7 +61,7 @@ def normalize_items(spark, sf_dir):
 
 @query("clean_text", r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) as text from pages")
 def clean(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
 @query("canonical_url", r"""with p as (select page_id, trim(url) as u from pages), q as (select page_id, regexp_extract(u, '^(https?://[^/?#\s]+)', 1) as host, regexp_extract(u, '^https?://[^/?#\s]+([^?#]*)', 1) as path, regexp_extract(u, '^https?://[^/?#\s]+[^?#]*\?([^#]*)', 1) as query from p),
@@ -142,6 +143,7 @@ def scored(spark, sf_dir):
 def feed_frame(spark, sf_dir) -> DataFrame:
     """Kept items, duplicates merged, scored."""
     kept, _ = filters.filter_items(classed(spark, sf_dir, 1), NOW, filters.FilterRules(allowed_categories=(), minimum_title_length=1, max_age_hours=0))
+    kept = stored(kept)  # it is read several times, and its rules should run once
     return score.score_items(dedupe.dedupe_items(kept), NOW, SCORING).withColumn("display_channel", F.col("source_category"))
 
 
@@ -268,17 +270,17 @@ def facets(spark, sf_dir):
 
 @query("extract_articles")
 def articles(spark, sf_dir):
-    return html.extract_articles(table(spark, sf_dir, "pages"))
+    return html.extract_articles(spread(table(spark, sf_dir, "pages")))
 
 
 @query("extract_page_links")
 def links(spark, sf_dir):
-    return html.extract_page_links(table(spark, sf_dir, "pages"))
+    return html.extract_page_links(spread(table(spark, sf_dir, "pages")))
 
 
 @query("enrich_items")
 def enriched(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     d = p.select((F.col("page_id") % 8).alias("run_id"), F.col("page_id").alias("ord"), F.col("page_id").cast("string").alias("id"), F.when(F.col("page_id") % 5 == 0, F.lit("https://none.example/")).otherwise(F.col("url")).alias("url"), F.lit("summary of a page that was landed").alias("summary"), F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("source"))
     return audit.enrichment_stats(html.enrich_items(d, html.extract_articles(p)))
 

@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..operators import candidates, classify, dedupe, events, filters, normalize, publish, score
 from . import adapters, sql
-from .adapters import EVENTS, NOW, table
+from .adapters import EVENTS, NOW, spread, table
 from .queries import CLASSED, MANY, SCORED, SCORING, classed, query
 
 UNSURE = sql.quoted("uncertain")
@@ -20,7 +20,7 @@ from (select *, {sql.count('b', fixed.BODY_FACTS)} as f, {sql.count('b', fixed.B
 
 @query("content_density", f"with {DOC}, d as (select doc_id, {sql.cleaned('text')} as b from doc) select doc_id, body_length, content_density, new_fact_count from ({DENSE.replace('{0}', 'd')})")
 def density(spark, sf_dir):
-    d = filters.content_density(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body_text")))
+    d = filters.content_density(spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("body_text")))
     return d.select("doc_id", "body_length", "content_density", "new_fact_count")
 
 
@@ -35,7 +35,7 @@ DAY = f"""case when regexp_extract({{t}}, '(20\\d{{{{2}}}}\\d{{{{2}}}}\\d{{{{2}}
  {LANG.format(given=f"lower(substr({sql.cleaned('coalesce(lang, chr(32))')}, 1, 8))", t='text')} as language, {LANG.format(given="''", t='text')} as guessed, {COUNTS.format(t='text')} as counted, strftime({DAY.format(t='text')}, '%Y-%m-%d') as day, try_cast(regexp_replace(regexp_extract(text, '[0-9][0-9,.]*%?', 0), '[,%]', '', 'g') as double) as number from doc""")
 def text_functions(spark, sf_dir):
     """Each text function over every whole document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     t = F.col("text")
     return d.select(
         "doc_id", F.md5(T.decode_html(t)).alias("decoded"), T.truncate_text(t).alias("cut"), T.stable_id("doc-", t).alias("stable"), T.slug(t).alias("slug"), T.detect_language(F.col("lang"), t, F.lit("")).alias("language"), T.detect_language(F.lit(""), t, F.lit("")).alias("guessed"),

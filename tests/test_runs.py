@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from siftwire.operators import audit, candidates, dedupe, weekly
-from siftwire.plans import queries
+from siftwire.plans import registry as queries
 from siftwire.streaming import jobs
 
 WORDS = ["fed", "rate", "cut", "chip", "export", "rule", "tax", "bank", "oil", "deal", "vote", "law"]
