@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -13,6 +14,9 @@ from ..functions import text as T
 
 # Containers that hold an article, in order of preference.
 CONTAINERS = (("tag", "article"), ("id", "UCAP-CONTENT"), ("class", "TRS_Editor"), ("class", "pages_content"), ("class", "article-content"), ("class", "content_area"), ("tag", "main"))
+# List entries that a page's script holds, and days as addresses and lists write them.
+LIST_SCRIPT = r"""var\s+curHref\s*=\s*['"]([^'"]+)['"][\s\S]{0,420}?var\s+curTitle\s*=\s*['"]([^'"]+)['"]"""
+DAY_PATTERNS = (r"20[0-9]{6}", r"20[0-9]{2}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -29,8 +33,9 @@ class Page(HTMLParser):
         self.ld: list[str] = []
         self.script: list[str] | None = None
         self.skip = 0
-        self.links: list[list[str]] = []
-        self.link: list[str] | None = None
+        self.links: list[list] = []  # address, text, pieces of the text of the element around it
+        self.link: list | None = None
+        self.words: list[list[str]] = [[]]  # text of the open elements, that of the page first
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -44,7 +49,7 @@ class Page(HTMLParser):
             self.skip += 1
             self.script = [] if tag == "script" and a.get("type") == "application/ld+json" else None
         if tag == "a":
-            self.link = [a.get("href", ""), ""]
+            self.link = [a.get("href", ""), "", self.words[-1]]
             self.links.append(self.link)
         classes = a.get("class", "").split()
         found = [i for i, (k, v) in enumerate(CONTAINERS) if (k == "tag" and tag == v) or (k == "id" and a.get("id") == v) or (k == "class" and v in classes)]
@@ -54,6 +59,7 @@ class Page(HTMLParser):
                 self.text[i], self.paragraphs[i] = [], []
                 mine.append(i)
         self.stack.append((tag, mine))
+        self.words.append([])
         if tag == "p":
             inside = [i for _, m in self.stack for i in m]
             self.open_p.append([inside, []])
@@ -63,6 +69,8 @@ class Page(HTMLParser):
             return
         while self.stack:
             t, _ = self.stack.pop()
+            own = "".join(self.words.pop())
+            self.words[-1].append(own)
             if t in ("script", "style", "noscript"):
                 self.skip = max(0, self.skip - 1)
                 if self.script is not None:
@@ -82,6 +90,7 @@ class Page(HTMLParser):
             self.script.append(data)
         if self.skip:
             return
+        self.words[-1].append(data)
         for _, mine in self.stack:
             for i in mine:
                 self.text[i].append(data)
@@ -161,30 +170,49 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     return p.select("page_id", T.canonical_url(F.col("url")).alias("url"), T.truncate_text(F.col("__full"), 8000).alias("body_text"), "content_excerpt", image.alias("image_url"), source.alias("excerpt_source"), F.when(image != "", "meta").otherwise("none").alias("image_source"))
 
 
+def day_in(text: str) -> str:
+    """The first day that a text writes, without separators if there is one such."""
+    return next((m[0] for p in DAY_PATTERNS if (m := re.search(p, text))), "")
+
+
 def extract_page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, title, link, published_at) of a list page's anchors, addresses being absolute; each title and link once."""
+    """(page_id, ord, title, link, published_at) of a list page's anchors and then of the entries in its scripts, addresses being absolute; each
+    title and link once. An anchor's day is the first one in its address or in the text of the element around it."""
 
     def run(batches):
         import pandas as pd
 
+        script = re.compile(LIST_SCRIPT)
         for pdf in batches:
             rows = []
             for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 page = Page()
                 try:
                     page.feed(html or "")
-                except (ValueError, AssertionError):  # a broken page gives the links read so far
+                except Exception:  # a broken page gives the links read so far
                     pass
+                while page.stack:  # elements left open end with the page
+                    page.handle_endtag(page.stack[-1][0])
+                around: dict[int, str] = {}  # day of each element's text, searched once
+                found = []
+                for href, words, near in page.links:
+                    if id(near) not in around:
+                        around[id(near)] = day_in("".join(near))
+                    link = urljoin(url or "", href)
+                    own = day_in(link)
+                    found.append((squeeze(words), link, own if len(own) == 8 else next((d for d in (around[id(near)],) if len(d) == 8), own or around[id(near)])))
+                for href, words in script.findall(html or ""):
+                    link = urljoin(url or "", href)
+                    found.append((squeeze(words), link, day_in(link)))
                 seen = set()
-                for i, (href, words) in enumerate(page.links):
-                    one = (squeeze(words), urljoin(url or "", href))
-                    if one not in seen:
-                        seen.add(one)
-                        rows.append((pid, i, *one))
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "title", "link"])
-
-    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, ord int, title string, link string")
-    return found.withColumn("published_at", T.date_in_text(F.col("link")))
+                for i, (title, link, day) in enumerate(found):
+                    if (title, link) not in seen:
+                        seen.add((title, link))
+                        rows.append((pid, i, title, link, day))
+            yield pd.DataFrame(rows, columns=["page_id", "ord", "title", "link", "day"])
+
+    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, ord int, title string, link string, day string")
+    return found.withColumn("published_at", T.date_in_text(F.col("day"))).drop("day")
 
 
 def enrich_items(items: DataFrame, articles: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the landing side: items, late data, duplicates, sessions, windows and the policy machine."""
+"""Structured Streaming forms of the landing side: items, late data, duplicates, sessions, windows, health and the policy machine."""
 
 from __future__ import annotations
 
@@ -70,6 +70,31 @@ def stream_policy(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("source").applyInPandasWithState(step, "source string, generated_at timestamp, status string, reason string", "status string", "append", "NoTimeout")
 
 
+def stream_health(results: DataFrame, grace: int = 0) -> DataFrame:
+    """Health of each result of a stream (source, fetched_at, ok, item_count) in time order a source, as source_health gives it over a table: status,
+    failure_count, last_success_at. State is one row a source, a dimension, so it needs no timeout."""
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values("fetched_at")
+        failures, success, before = state.get if state.exists else (0, None, None)
+        out = []
+        for at, ok, n in zip(rows["fetched_at"], rows["ok"], rows["item_count"], strict=True):
+            good = bool(ok) if ok is not None and ok == ok else False
+            own = "failed" if not good else "healthy" if n == n and n is not None and n > 0 else "empty"
+            failures = failures + 1 if own == "failed" else 0
+            success = at.value // 1000 if own == "healthy" else success
+            before = own if own != "failed" else before
+            kept = before if own == "failed" and failures <= grace and before else own
+            out.append((kept, failures, None if success is None else pd.Timestamp(success, unit="us")))
+        state.update((failures, success, before))
+        yield rows[["source", "fetched_at"]].assign(status=[x for x, _, _ in out], failure_count=[x for _, x, _ in out], last_success_at=pd.Series([x for _, _, x in out], index=rows.index, dtype="datetime64[us]"))
+
+    schema = "source string, fetched_at timestamp, status string, failure_count long, last_success_at timestamp"
+    return results.select("source", "fetched_at", "ok", "item_count").groupBy("source").applyInPandasWithState(step, schema, "failures long, success long, before string", "append", "NoTimeout")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Takes what has landed and ends."""
     df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

@@ -198,6 +198,30 @@ def test_page_links(spark):
     assert [r.link for r in filters.keep_links(links, sources).collect()] == ["https://e.com/list/a/20260709/x.html"]
 
 
+def test_page_links_of_scripts_and_days_of_the_element_around(spark):
+    page = """<a href="/">首页</a><ul><li><a href="./202605/t20260529_1.html">First of the list</a></li><li><a href="x.html">Second of the list</a> <span>2026-5-7</span></li><li>plain <a href="y.html">Third of the list</a>
+    <script>var curHref = './t20260530_620831.html'; var curTitle ='Fourth of the list';</script>"""
+    got = html.extract_page_links(spark.createDataFrame([(1, "https://e.com/l/", page), (2, None, None)], "page_id long, url string, html string")).orderBy("ord").collect()
+    day = lambda *x: dt.datetime(2026, 5, *x)
+    assert [(r.title, r.link, r.published_at) for r in got] == [("首页", "https://e.com/", day(7)), ("First of the list", "https://e.com/l/202605/t20260529_1.html", day(29)), ("Second of the list", "https://e.com/l/x.html", day(7)), ("Third of the list", "https://e.com/l/y.html", None), ("Fourth of the list", "https://e.com/l/t20260530_620831.html", day(30))]
+
+
+def test_raw_records_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"source_id": "s", "category": "tech",\n "items": [{"title": "One"}, {"title": "Two", "link": "https://e.com/2"}]}]')
+    rows = records.explode_records(records.read_raw_records(spark, str(tmp_path / "*.json"))).orderBy("ord").collect()
+    assert [(r.source_id, r.ord, r.title, r.link) for r in rows] == [("s", 0, "One", None), ("s", 1, "Two", "https://e.com/2")]
+    assert records.read_raw_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_word_boundaries_equal_the_plain_ones(spark):
+    """Patterns whose boundaries are looked at after a letter match where the plain boundary does."""
+    texts = ["ai", "AI chip", "said", "the AI.", "ai2", "_ai", "gdp-war", "wars", "war", "x war", "12%", "a12", "12a", "é ai é", "日ai日"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for p in (r"\bAI\b|\bwar\b", r"fed\b|\bgdp", r"\b\d+%?\b"):
+        plain = "(?iu)" + p.replace(r"\b", T.BOUNDARY)
+        assert df.where(T.hits(F.col("t"), p) != F.col("t").rlike(plain)).count() == 0
+
+
 def test_market(spark):
     pay = lambda *rows: spark.createDataFrame([("IBM", "q", p, dt.datetime(2026, 7, i + 1)) for i, p in enumerate(rows)], "symbol string, function string, payload string, fetched_at timestamp")
     q = market.normalize_quotes(pay('{"Global Quote":{"05. price":"1,234.5","09. change":"-2","10. change percent":"-0.16%","06. volume":"10,000","07. latest trading day":"2026-07-09"}}', "{}")).orderBy("fetched_at").collect()

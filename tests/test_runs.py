@@ -210,3 +210,41 @@ def test_stream_items_dedupe_and_policy(spark, tmp_path):
 
 def test_every_query_with_sql_is_registered():
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) >= 60
+
+
+def test_stream_health_equals_the_batch(spark, tmp_path):
+    rng, at = random.Random(4), dt.datetime(2026, 7, 1)
+    rows = [(i, f"s{i % 3}", at + dt.timedelta(minutes=i), rng.random() < 0.5, rng.choice([0, 0, 3])) for i in range(60)]
+    df = spark.createDataFrame(rows, "attempt_id long, source string, fetched_at timestamp, ok boolean, item_count int")
+    df.where("attempt_id < 30").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: jobs.stream_health(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2)
+    jobs.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
+    df.where("attempt_id >= 30").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
+    cols = ["source", "fetched_at", "status", "failure_count", "last_success_at"]
+    want = audit.source_health(df, 2).select(*cols)
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*cols).collect())) == sorted(map(str, want.collect()))
+
+
+def test_clusters_of_a_long_chain(spark):
+    """Each title is like the next only, so leaders settle one after the other: far more of them than there are rounds."""
+    n = 60
+    df = items(spark, [row(i, f"a{i:02} a{i + 1:02} a{i + 2:02}") for i in range(n)])
+    out = {r.ord: r.event_cluster_key for r in dedupe.assign_event_clusters(df, rounds=3).collect()}
+    sets = [{f"a{i:02}", f"a{i + 1:02}", f"a{i + 2:02}"} for i in range(n)]
+    leads: list[int] = []
+    leader = []
+    for i in range(n):
+        near = [j for j in leads if jac(sets[i], sets[j]) >= 0.42 or len(sets[i] & sets[j]) / 3 >= 0.5]
+        leader.append(min(near) if near else i)
+        if not near:
+            leads.append(i)
+    assert len(set(leader)) > 12 and all(out[i] == out[leader[i]] for i in range(n)) and len(set(out.values())) == len(leads)
+
+
+def test_selection_takes_quotas_of_sources(spark):
+    df = items(spark, [row(i, f"Fed raises its policy rate number {i} by 25%", source="s", cred=90.0) for i in range(6)]).withColumn("source_id", F.lit("x")).withColumn("category", F.lit("finance")).withColumn("source_tier", F.lit("A")).withColumn("source_authority", F.lit("media")).withColumn("summary", F.lit("announced and approved, a summary that is long enough to count"))
+    none = df.where("false").select("run_id", "id", "title")
+    for quota in (1, 2):
+        sources = spark.createDataFrame([("x", quota, "core")], "source_id string, body_fetch_quota int, source_policy_tier string")
+        assert candidates.select_candidates(df, none, candidates.SelectionRules(candidate_threshold=1), sources).where("candidate_status = 'selected'").count() == quota
