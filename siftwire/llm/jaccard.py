@@ -380,7 +380,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
 
     Returns doc_id, n_shingles, component_id (the least id reachable by links, itself included), n_links (other
     documents linked directly). Texts of fewer than `width` words are one shingle; null, empty or blank texts have none and are
-    linked with nothing. Repeated rows are copies of each other; an empty table gives no rows; other columns are not read."""
+    linked with nothing. Very long texts are sets like others. Made for similarities of 0.7 and more: far below, a set has too few shingles a part,
+    empty parts become keys and their tiles large. Repeated rows, and rows of one id, are copies of each other; an empty table gives no rows; other columns are not read."""
     rows = stored(shingled(docs, width, percent, id_col, text_col))
     full = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     classes = stored(full)

@@ -116,8 +116,8 @@ def brute_segments(scores):
 def test_segments_equal_the_definition():
     rng = random.Random(5)
     for _ in range(300):
-        scores = [rng.choice([-0.5, -0.5, -0.5, rng.choice([0.7, 1.3, 2.1])]) for _ in range(rng.randint(0, 14))]
-        got = toxicity.segments([(i, s) for i, s in enumerate(scores) if s > 0], 0.5)
+        scores = [rng.choice([-0.5, -0.5, -0.5, rng.choice([0.7, 1.3, 2.1, -0.21, -1.13])]) for _ in range(rng.randint(0, 14))]
+        got = toxicity.segments([(i, s) for i, s in enumerate(scores) if s != -0.5], 0.5)
         want = brute_segments(scores)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want], scores
         assert all(math.isclose(x[2], y[2], abs_tol=1e-9) for x, y in zip(got, want, strict=True))
@@ -244,3 +244,59 @@ def test_lm_rounds_fit_on_from_windows_that_grow_with_the_input(spark):
     t = lm.pieces_table(bpe.tokenizer_path(), 300)
     one, two = lm.learned(docs, t, 10_000, steps=5, batch=4), lm.learned(docs, t, 10_000, steps=5, batch=4, rounds=0)
     assert np.isfinite(one["E"]).all() and not np.allclose(one["E"], two["E"])
+
+
+def test_toxicity_slope_solves_its_equation():
+    share, score = np.array([0.02, 0.01, 0.3]), np.array([1.5, 3.0, -0.4])
+    x = toxicity.slope(share, score, 0.2)
+    assert math.isclose((share * np.exp(x * score)).sum() + (1 - share.sum()) * math.exp(-0.2 * x), 1, abs_tol=1e-9)
+    assert toxicity.slope(share[2:], score[2:], 0.2) == 1.0
+
+
+def test_lm_base_score_of_one_training_document(spark):
+    """The end and words seen once count, whether they are broadcast or joined."""
+    docs = spark.createDataFrame([(1, "A b b c"), (2, "a b x"), (3, None)], "doc_id long, text string")
+    counts, total, space = {b"a": 1, b"b": 2, b"c": 1, lm.END: 1}, 5, 5 + 4 + 1
+    for most in (0, 1, 100):
+        for r in lm.score_texts(docs, docs.where("doc_id = 1"), max_frequent=most, merges=300).collect():
+            words = [*({1: "A b b c", 2: "a b x"}.get(r.doc_id, "").encode().lower().split()), lm.END]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in counts for w in words), total)
+            assert math.isclose(r.base_score, sum(math.log10((counts.get(w, 0) + 1) / space) for w in words), abs_tol=1e-9)
+
+
+def test_lm_score_equals_a_plain_forward_pass():
+    """Each position by itself, from the parameters alone."""
+    t = lm.pieces_table(bpe.tokenizer_path(), 200)
+    p = lm.train([b"ba be bi bo bu da de di " * 12] * 6, t, steps=30, batch=8)
+    ids = np.r_[lm.pieces_of(b"be bo da zebra ba bi ba be bu de ba".split() * 3, t)[0], t["n"] - 1]
+    x, y = lm.windows(ids, t["n"] - 1)
+    m = lm.Model(p)
+    m.fast()
+    got, d = m.score(x, y), p["E"].shape[1]
+    small = np.r_[p["small"], -1]
+    for row in range(len(x)):
+        ins, outs = small[x[row]], small[y[row]]
+        e = [p["E"][i if i >= 0 else 0] + p["P"][j] for j, i in enumerate(ins)]
+        for k in range(lm.CHUNK):
+            if outs[k] < 0:
+                assert got[row, k] == 0
+                continue
+            at = lm.BEFORE + k
+            w = np.array([np.exp(e[at] @ p["Wq"] @ (e[j] @ p["Wk"]) / d**0.5) if ins[j] >= 0 else 0.0 for j in range(at + 1)])
+            o = sum(a * (e[j] @ p["Wv"]) for j, a in enumerate(w / w.sum()))
+            h = e[at] + o @ p["Wo"]
+            z = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+            g = z @ p["Wc"] + p["B"][ins[at]] + p["B2"][ins[at - 1]]
+            c = p["cls"][outs[k]]
+            own = np.flatnonzero(p["cls"] == c)
+            inner = p["U"][own] @ z + p["bu"][own]
+            lp = g[c] - np.log(np.exp(g).sum()) + inner[list(own).index(outs[k])] - np.log(np.exp(inner).sum())
+            lp -= p["share"] if outs[k] == len(p["E"]) - 1 else 0
+            assert math.isclose(got[row, k], lp / np.log(10), abs_tol=2e-4)
+
+
+def test_language_counts_long_words_whole(spark):
+    long = ["a" * 60 + "x" * 30, "a" * 60 + "y" * 30]
+    docs = spark.createDataFrame([(i, f"{long[i % 2]} {long[i % 2]}", "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()}
+    assert out == {i: "de" if i % 2 else "en" for i in range(20)}
