@@ -54,45 +54,65 @@ def load(path: str) -> dict:
 
 
 def merge_rounds(words: list[bytes], t: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, lengths) of all words. All symbols lie in one flat array; in each round a binary search over
-    the sorted pair keys ranks every neighbouring pair, each word's lowest rank is merged wherever it stands, left to
-    right, and words without a pair leave the array."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    flat = np.frombuffer(b"".join(words), np.uint8)
+    """(symbols, lengths) of all words."""
+    return merge_flat(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64), t)
+
+
+def merge_flat(flat: np.ndarray, lengths: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, lengths) of words that stand one after the other in the bytes `flat`. All symbols lie in one array; a binary
+    search over the sorted pair keys ranks every neighbouring pair, in each round each word's lowest rank is merged wherever it
+    stands, left to right, and words without a pair leave the array. Only pairs beside a merged symbol are ranked again."""
     sym = t["first"][flat]
     ends = lengths.cumsum() - 1
     sym[ends] = t["last"][flat[ends]]
-    word = np.repeat(np.arange(len(words)), lengths)
+    word = np.repeat(np.arange(len(lengths)), lengths)
     done_sym, done_word = [], []
-    keys, rank, made, none = t["keys"], t["rank"], t["made"], len(t["keys"])
-    while len(sym):
-        pair = sym[:-1] * t["size"] + sym[1:]
+    keys, none = t["keys"], len(t["keys"])
+    by_rank = np.zeros(none, np.int64)
+    by_rank[t["rank"]] = t["made"]
+
+    def ranked(i: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of symbols i and i + 1 of one word."""
+        pair = sym[i] * t["size"] + sym[i + 1]
         at = np.searchsorted(keys, pair)
         at[at == none] = 0
-        ranks = np.where((keys[at] == pair) & (word[:-1] == word[1:]), rank[at], none)
+        return np.where(keys[at] == pair, t["rank"][at], none)
+
+    ranks = np.full(len(sym), none)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    if none:
+        ranks[inner] = ranked(inner)
+    while len(sym):
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        low = np.minimum.reduceat(np.r_[ranks, none], starts)
+        low = np.minimum.reduceat(ranks, starts)
         sizes = np.diff(np.r_[starts, len(sym)])
         live = np.repeat(low < none, sizes)
         if not live.all():
             done_sym.append(sym[~live])
             done_word.append(word[~live])
-        hit = np.r_[ranks, none] == np.repeat(np.where(low < none, low, -1), sizes)
+        where = np.flatnonzero(ranks == np.repeat(np.where(low < none, low, -1), sizes))
+        if not len(where):
+            break
         # Neighbouring hits overlap (a pair of equal symbols): every second of such a row counts.
-        where = np.flatnonzero(hit)
-        if len(where):
-            head = np.r_[True, (np.diff(where) != 1)]
+        head = np.r_[True, (np.diff(where) != 1)]
+        if not head.all():
             run = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
             where = where[(np.arange(len(where)) - run) % 2 == 0]
-            sym = sym.copy()
-            sym[where] = made[at[where]]
-            live[where + 1] = False
-        sym, word = sym[live], word[live]
+        sym[where] = by_rank[ranks[where]]
+        ranks[where] = none
+        live[where + 1] = False
+        at = (live.cumsum() - 1)[where]
+        sym, word, ranks = sym[live], word[live], ranks[live]
+        before = at[at > 0] - 1
+        again = np.r_[at[at < len(sym) - 1], before]
+        ranks[again] = none
+        again = again[word[again] == word[again + 1]]
+        ranks[again] = ranked(again)
     if not done_sym:
         return np.zeros(0, np.int64), lengths
     sym, word = np.concatenate(done_sym), np.concatenate(done_word)
     order = np.argsort(word, kind="stable")
-    return sym[order], np.bincount(word, minlength=len(words))
+    return sym[order], np.bincount(word, minlength=len(lengths))
 
 
 class Coder:
