@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,36 @@ def test_language_counts_long_words_whole(spark):
     docs = spark.createDataFrame([(i, f"{long[i % 2]} {long[i % 2]}", "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string")
     out = {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()}
     assert out == {i: "de" if i % 2 else "en" for i in range(20)}
+
+
+def test_lm_codes_whole_batches_as_single_texts():
+    """Words, ends, pieces and windows of many texts at once are those of each text by itself; tables by size lose no row."""
+    t = lm.pieces_table(bpe.tokenizer_path(), 300)
+    texts = ["", None, "  \n\x0b ", "A\x1cb \x85 É x  aAa\ta", "ba " * 40, "a" * 999 + " b", "ba be zebra"] * 3
+    batch = pa.table({"text": pa.array(texts, pa.string())})
+    words, which, tokens, ids, first, sizes = lm.coded(batch.column(0), t)
+    flat, per = lm.text_pieces(which, tokens, ids, first, sizes)
+    x, y = lm.windows(flat, t["n"] - 1, per)
+    names, at, row, piece = words.to_pylist(), 0, 0, 0
+    assert len(set(names)) == len(names) and names[-1] == lm.END
+    for text, n, m in zip(texts, tokens.tolist(), per.tolist(), strict=True):
+        own = (text or "").encode().lower().split()
+        assert [names[i] for i in which[at : at + n]] == [*own, lm.END]
+        pieces = np.r_[lm.pieces_of(own, t)[0] if own else np.zeros(0, np.int64), t["n"] - 1]
+        assert flat[piece : piece + m].tolist() == pieces.tolist()
+        one, two = lm.windows(pieces, t["n"] - 1)
+        assert (x[row : row + len(one)] == one).all() and (y[row : row + len(one)] == two).all()
+        at, row, piece = at + n, row + len(one), piece + m
+    assert (at, row, piece) == (len(which), len(x), len(flat))
+    some = np.array([0, 2, len(x) - 1])
+    a, b = lm.windows(flat, t["n"] - 1, per, some)
+    assert (a == x[some]).all() and (b == y[some]).all()
+    for size in (1, 300, 1 << 20):
+        parts = list(lm.gathered(iter(batch.to_batches(max_chunksize=4)), size))
+        assert [v for p in parts for v in p.column(0).to_pylist()] == texts
+    assert list(lm.gathered(iter(batch.slice(0, 0).to_batches()), 1)) == []
+
+
+def test_lm_sums_of_codes():
+    codes, times = lm.added(np.array([5, 1, 5, 9, 1]), np.array([1, 2, 3, 4, 5]))
+    assert codes.tolist() == [1, 5, 9] and times.tolist() == [7, 4, 4]
