@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, lm, mixing, quality, secrets, shard, toxicity, vectors
+from . import bpe, codes, jaccard, language, lm, mixing, quality, ranking, secrets, shard, tokens, toxicity, vectors
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_near_vectors": vectors.op9_near_vectors,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_vector_codes": codes.op11_vector_codes,
+        "op12_lexical_search": ranking.op12_lexical_search,
+        "op13_token_files": tokens.op13_token_files,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op9_near_vectors": vectors.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op5_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op9_near_vectors": vectors.SQL, "op10_mix_sources": mixing.SQL, "op11_vector_codes": codes.SQL, "op12_lexical_search": ranking.SQL}
