@@ -22,14 +22,18 @@ END = 1
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[0] .. starts[0] + lengths[0] - 1, then those of the next, and so on."""
     ends = lengths.cumsum()
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class WordIds:
     """Ids of white-space-free pieces of text from the tokenizers library, remembered as Arrow words and one flat array of ids, at most
     `keep` words and only words of at most `longest` bytes."""
 
-    def __init__(self, path: str, keep: int = 1_500_000, longest: int = 64, group: int = 256) -> None:
+    def __init__(self, path: str, keep: int = 600_000, longest: int = 64, group: int = 256) -> None:
         from tokenizers import Tokenizer
 
         self.t, self.keep, self.longest, self.group = Tokenizer.from_file(path), keep, longest, group
@@ -110,25 +114,27 @@ class WordIds:
         short = pc.less_equal(pc.binary_length(fresh), self.longest)
         both = np.concatenate([self.flat, flat])
         # One more word, the end id, after each text.
-        start, size = np.r_[start, len(both)], np.r_[size, 1]
+        both = np.append(both, np.array([END], self.kind))
+        start, size = np.append(start, len(both) - 1).astype(np.int32), np.append(size, 1).astype(np.int32)
         every = np.insert(index, offsets[1:] - offsets[0], len(words)) if len(texts) else index
         ends = offsets[1:] - offsets[0] + np.arange(len(texts))
         n = size[every]
-        ids = np.r_[both, np.array([END], self.kind)][ragged(start[every], n)]
-        totals = n.cumsum()[ends]
+        ids = both[ragged(start[every], n)]
+        totals = n.cumsum(dtype=np.int64)[ends]
         mask = short.to_numpy(zero_copy_only=False)
         self.words = pa.concat_arrays([self.words, fresh.filter(short).cast(pa.string())])
         keep = np.repeat(mask, lengths)
         self.starts = np.r_[self.starts, len(self.flat) + lengths[mask].cumsum() - lengths[mask]]
         self.lengths = np.r_[self.lengths, lengths[mask]]
         self.flat = np.concatenate([self.flat, flat[keep]])
+        pa.default_memory_pool().release_unused()
         return ids, np.diff(np.r_[0, totals])
 
 
 _coders: dict[str, WordIds] = {}
 
 
-def pieces(batch: pa.RecordBatch, col: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, col: str, most: int = 10 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of `col`, a row at least."""
     sizes = np.concatenate([[0], pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)]).cumsum()
     at = 0
