@@ -33,3 +33,12 @@ def stored(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

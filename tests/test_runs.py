@@ -8,7 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siftwire.operators import audit, candidates, dedupe, weekly
+from siftwire.operators import audit, candidates, dedupe, matching, weekly
 from siftwire.plans import registry as queries
 from siftwire.streaming import jobs
 
@@ -120,14 +120,44 @@ def brute_select(rows, rules):
 
 
 def test_selection_obeys_quotas(spark):
-    rng = random.Random(3)
-    for n in (1, 40, 120):
-        rows = [dict(run_id=0, ord=i, candidate_value=rng.randint(60, 90), published_at=pd.Timestamp(2026, 7, 1) + pd.Timedelta(hours=rng.randint(0, 5)), candidate_category=rng.choice("abc"), event_type=rng.choice(["policy_change", "x", "y"]), event_cluster_key=rng.choice("pqrstuv"), k=rng.choice("ABCDEFGH"), quota=rng.choice([1, 3, 5])) for i in range(n)]
-        rules = candidates.SelectionRules()
-        got = candidates.pick(pd.DataFrame(rows), rules, ("policy_change", "economic_data", "security_incident"))
-        want = brute_select(rows, rules)
-        assert {r.ord: r.candidate_reason for r in got.itertuples()} == want
-        assert (got["candidate_status"] == "selected").sum() == sum(v is None for v in want.values()) <= rules.global_quota
+    rng, rows, want, critical = random.Random(3), [], {}, ("policy_change", "economic_data", "security_incident")
+    for run, n in enumerate((1, 40, 120, 300, 90)):
+        few = run % 2
+        mine = [dict(run_id=run, ord=i, candidate_value=rng.randint(60, 90) if few else rng.randint(60, 64), published_at=pd.Timestamp(2026, 7, 1) + pd.Timedelta(hours=rng.randint(0, 5)), candidate_category=rng.choice("abc" if few else "abcdefg"), event_type=rng.choice(["policy_change", "x", "y"]), event_cluster_key=rng.choice("pqrstuv"), k=rng.choice("ABCDEFGHIJKLMN"), quota=rng.choice([1, 3, 5])) for i in range(n)]
+        for limits in (candidates.SelectionRules(), candidates.SelectionRules(global_quota=10, category_quota=4, cluster_quota=2)):
+            want[run, limits.global_quota] = brute_select(mine, limits)
+        rows += mine
+    df = spark.createDataFrame([(r["run_id"], r["ord"], r["candidate_value"], r["published_at"].timestamp(), r["k"], r["candidate_category"], r["event_type"], r["event_cluster_key"], r["quota"]) for r in rows], "run_id long, ord long, value int, seconds double, k string, category string, kind string, cluster string, quota int").repartition(3)
+    for limits, width in ((candidates.SelectionRules(), None), (candidates.SelectionRules(global_quota=10, category_quota=4, cluster_quota=2), 6)):
+        got = {}
+        for r in candidates.selection(df, limits, critical, width).collect():
+            got.setdefault(r.run_id, {})[r.ord] = None if r.reason == "selected" else r.reason
+        assert all(got[run] == w for (run, quota), w in want.items() if quota == limits.global_quota)
+        assert all(sum(v is None for v in g.values()) <= limits.global_quota for g in got.values())
+    assert candidates.selection(df.limit(0), limits, critical).count() == 0
+
+
+def test_best_match_levels_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i % 2, i, str(i // 2 if i % 5 else i), " ".join(rng.sample(words[: rng.choice([8, 60])], rng.randint(1, 8)) + ["hot"] * (i % 3 > 0))) for i in range(240)] + [(0, 900, "x", ""), (0, 901, None, "w1 w2 hot"), (2, 902, "y", "w1 w2")]
+    df = spark.createDataFrame(rows, "run_id long, ord long, id string, title string")
+    recent = df.where("run_id < 2 and ord % 2 = ord % 4").select((F.lit(1) - F.col("run_id")).alias("run_id"), "id", "title").unionByName(df.where("run_id = 0 and ord % 7 = 0").select("run_id", "id", "title"))
+    there = [(r.run_id, r.id, set(r.title.split())) for r in recent.collect()]
+    want = {}
+    for run, o, i, t in rows:
+        mine, others = set(t.split()), [x for x in there if x[0] == run]
+        best = max([len(mine & s) / len(mine | s) for _, j, s in others if j != i and (mine or s)], default=0.0)
+        want[o] = max(0, int(20 * (1 - best) + 0.5)) if others else 16
+    assert {r.ord: r.information_gain for r in candidates.information_gain(df, recent).collect()} == want
+
+
+def test_block_join_deals_hot_keys_over_tasks(spark):
+    left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 10}", i) for i in range(2000)], "w string, a long")
+    right = spark.createDataFrame([("hot" if i % 3 else f"k{i % 10}", i) for i in range(900)], "w string, b long")
+    got = matching.block_join(left, right, ["w"], most=50)
+    want = left.join(right, "w")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty() and got.columns == want.columns
 
 
 def runs(spark, *rows):
