@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +29,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Letters up to U+024F, but U+0130: the same in any Unicode version, no accent stands alone, one small form a letter.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"
+SIGNS = r"[!-/:-@\[-`{-~]*"
+
+
 class WordIds:
-    """Ids of white-space-free pieces of text from the tokenizers library, remembered as Arrow words and one flat array of ids, at most
-    `keep` words and only words of at most `longest` bytes."""
+    """Ids of texts from the tokenizers library, which codes each different piece but once: white space parts the words of a text, and a
+    word of plain letters, perhaps with ASCII signs after them, is the letters and the signs, each one run for the tokenizer. At most about
+    `keep` pieces of at most `longest` bytes are remembered, as Arrow strings and one flat array of ids."""
 
-    def __init__(self, path: str, keep: int = 600_000, longest: int = 64, group: int = 256) -> None:
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 64, group: int = 256) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.t, self.keep, self.longest, self.group = Tokenizer.from_file(path), keep, longest, group
@@ -43,90 +50,82 @@ class WordIds:
         self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
         self.ends[ends] = True
         self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        # Letters up to U+024F, but U+0130, then ASCII signs: the same in any Unicode version, no accent stands alone, one small form a letter.
-        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
         self.clear()
 
     def clear(self) -> None:
-        self.words = pa.array([], pa.string())
-        self.flat, self.starts, self.lengths = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of the words in order. A word of plain letters, perhaps with signs after them, is two pieces, each one run for the
-        tokenizer. Letters are coded many as one text and parted at the word ends; if there are not as many ends as words, and for all other
-        pieces, each is coded alone."""
-        stems: dict[str, int] = {}
-        others: dict[str, int] = {}
-        pieces, counts = [], []
-        for w in words:
-            m = self.plain(w)
-            if m:
-                stem, tail = m.groups()
-                pieces.append(stems.setdefault(stem.lower(), len(stems)))
-                counts.append(1)
-                if tail:
-                    pieces.append(~others.setdefault(tail, len(others)))
-                    counts[-1] = 2
-            else:
-                pieces.append(~others.setdefault(w, len(others)))
-                counts.append(1)
-        names = list(stems)
+        self.pieces = pa.array([], pa.string())
+        self.flat, self.starts, self.lengths = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of the pieces in order. Letters are coded many as one text and parted at the word ends; if there are not as many ends
+        as pieces, and for all others, each is coded alone."""
+        plain = pc.match_substring_regex(pieces, f"^{LETTERS}$").to_numpy(zero_copy_only=False).astype(bool)
+        names = pieces.filter(pa.array(plain)).to_pylist()
         sets = [names[i : i + self.group] for i in range(0, len(names), self.group)]
-        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int32)]
         for which, found in zip(sets, self.t.encode_batch_fast([" ".join(s) for s in sets], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(which) and cuts[-1] == len(ids):
                 flat.append(ids)
-                sizes.append(np.diff(np.r_[0, cuts]))
+                sizes.append(np.diff(np.r_[0, cuts]).astype(np.int32))
             else:
                 self.alone(which, flat, sizes)
-        self.alone(list(others), flat, sizes)
+        self.alone(pieces.filter(pa.array(~plain)).to_pylist(), flat, sizes)
         flat, sizes = np.concatenate(flat), np.concatenate(sizes)
-        index, counts = np.array(pieces, np.int64), np.array(counts, np.int64)
-        index = np.where(index < 0, len(stems) + ~index, index)
-        lengths = np.add.reduceat(sizes[index], counts.cumsum() - counts) if len(index) else np.zeros(0, np.int64)
-        return flat[ragged((sizes.cumsum() - sizes)[index], sizes[index])], lengths
+        place = np.empty(len(pieces), np.int64)  # where each piece's ids are among those coded
+        place[np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]] = np.arange(len(pieces))
+        return flat[ragged((sizes.cumsum() - sizes)[place], sizes[place])], sizes[place]
 
     def alone(self, words: list[str], flat: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         found = [x.ids for x in self.t.encode_batch_fast(words, add_special_tokens=False)]
         flat.append(np.array([i for ids in found for i in ids], self.kind))
-        sizes.append(np.array([len(ids) for ids in found], np.int64))
+        sizes.append(np.array([len(ids) for ids in found], np.int32))
+
+    def known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths): where the ids of each piece stand in one array. New pieces are coded and remembered."""
+        if len(self.pieces) > self.keep:
+            self.clear()
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy()
+        new = at < 0
+        fresh = pieces.filter(pa.array(new))
+        flat, lengths = self.encode(fresh)
+        start, size = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
+        start[~new], size[~new] = self.starts[at[~new]], self.lengths[at[~new]]
+        start[new], size[new] = lengths.cumsum() - lengths + len(self.flat), lengths
+        both = np.concatenate([self.flat, flat])
+        short = pc.less_equal(pc.binary_length(fresh), self.longest).to_numpy(zero_copy_only=False).astype(bool)
+        kept = lengths[short]
+        self.pieces = pa.concat_arrays([self.pieces, fresh.filter(pa.array(short)).cast(pa.string())])
+        self.starts = np.append(self.starts, (len(self.flat) + kept.cumsum() - kept).astype(np.int32))
+        self.lengths = np.append(self.lengths, kept)
+        self.flat = np.concatenate([self.flat, flat[np.repeat(short, lengths)]])
+        return both, start, size
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): all texts' ids, an end id after each, and how many each has."""
+        # Capitals have the ids of small letters, but in the names of special tokens.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)  # no token lies on white space
         offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         index, words = coded.indices.to_numpy(), coded.dictionary
-        if len(self.words) > self.keep:
-            self.clear()
-        at = pc.index_in(words, value_set=self.words)
-        fresh = words.filter(pc.is_null(at))
-        flat, lengths = self.encode(fresh.to_pylist())
-        starts = lengths.cumsum() - lengths
-        # Where each word of this batch has its ids: in the remembered array, or after it.
-        where = pc.fill_null(at, -1).to_numpy()
-        new = where < 0
-        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        start[~new], size[~new] = self.starts[where[~new]], self.lengths[where[~new]]
-        start[new], size[new] = starts + len(self.flat), lengths
-        short = pc.less_equal(pc.binary_length(fresh), self.longest)
-        both = np.concatenate([self.flat, flat])
+        cut = pc.extract_regex(words, f"^(?P<a>{LETTERS})(?P<b>{SIGNS})$")
+        whole = pc.coalesce(pc.struct_field(cut, "a"), words)
+        tail = pc.coalesce(pc.struct_field(cut, "b"), "")
+        pieces = pa.concat_arrays([whole.cast(pa.string()), tail.cast(pa.string())]).dictionary_encode()
+        flat, start, size = self.known(pieces.dictionary)
+        # The pieces of each word one after the other; the empty piece has no ids.
+        code = pieces.indices.to_numpy().reshape(2, -1).T.ravel()
+        of_word = flat[ragged(start[code], size[code])]
+        n_word = size[code].reshape(-1, 2).sum(1).astype(np.int32)
         # One more word, the end id, after each text.
-        both = np.append(both, np.array([END], self.kind))
-        start, size = np.append(start, len(both) - 1).astype(np.int32), np.append(size, 1).astype(np.int32)
+        start, size = np.append(n_word.cumsum() - n_word, len(of_word)).astype(np.int32), np.append(n_word, 1).astype(np.int32)
         every = np.insert(index, offsets[1:] - offsets[0], len(words)) if len(texts) else index
         ends = offsets[1:] - offsets[0] + np.arange(len(texts))
         n = size[every]
-        ids = both[ragged(start[every], n)]
+        ids = np.append(of_word, np.array([END], self.kind))[ragged(start[every], n)]
         totals = n.cumsum(dtype=np.int64)[ends]
-        mask = short.to_numpy(zero_copy_only=False)
-        self.words = pa.concat_arrays([self.words, fresh.filter(short).cast(pa.string())])
-        keep = np.repeat(mask, lengths)
-        self.starts = np.r_[self.starts, len(self.flat) + lengths[mask].cumsum() - lengths[mask]]
-        self.lengths = np.r_[self.lengths, lengths[mask]]
-        self.flat = np.concatenate([self.flat, flat[keep]])
         pa.default_memory_pool().release_unused()
         return ids, np.diff(np.r_[0, totals])
 
@@ -134,7 +133,7 @@ class WordIds:
 _coders: dict[str, WordIds] = {}
 
 
-def pieces(batch: pa.RecordBatch, col: str, most: int = 10 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, col: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of `col`, a row at least."""
     sizes = np.concatenate([[0], pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)]).cumsum()
     at = 0
