@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import scan
 
 DAY = 86_400_000
 STAGES = ("normalized", "filtered", "deduped", "scored", "candidates", "reviewed")
@@ -163,31 +164,39 @@ def policy_limits(df: DataFrame) -> DataFrame:
     })
 
 
+def in_time(df: DataFrame) -> list[str]:
+    """The order of attempts: their time, and of equal times their attempt_id where there is one."""
+    return ["fetched_at", *[c for c in ("attempt_id",) if c in df.columns]]
+
+
 def fetch_sessions(attempts: DataFrame, minutes: int = 30) -> DataFrame:
     """Runs of attempts no more than `minutes` apart (exactly that still joins), and in each the last attempt of every source. Adds
-    session_start."""
-    w = W.partitionBy("stream").orderBy("fetched_at")
-    gap = F.unix_millis("fetched_at") - F.lag(F.unix_millis("fetched_at")).over(w)
-    df = attempts.withColumn("__new", (gap.isNull() | (gap > minutes * 60_000)).cast("int")).withColumn("session", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    session (from 1 in each stream) and session_start. A stream's attempts are scanned in chunks of time (see scan)."""
+    keys, order = ["stream"], in_time(attempts)
+    df = scan.last_values(scan.chunked(attempts, keys, order), keys, order, {"__last": F.col("fetched_at")}, inclusive=False)
+    gap = F.unix_millis("fetched_at") - F.unix_millis("__last")
+    df = df.withColumn("__new", (gap.isNull() | (gap > minutes * 60_000)).cast("int"))
+    df = scan.running_sums(df, keys, order, {"session": F.col("__new")})
+    one = F.struct(*attempts.columns)
+    last = df.groupBy("stream", "session", "source").agg(F.max_by(one, F.struct(*order)).alias("x"))
     starts = df.groupBy("stream", "session").agg(F.min("fetched_at").alias("session_start"))
-    last = df.drop("__new").withColumn("r", F.row_number().over(W.partitionBy("stream", "session", "source").orderBy(F.desc("fetched_at"), F.desc("attempt_id")))).where("r = 1").drop("r")
-    return last.join(starts, ["stream", "session"])
+    return last.select("session", "x.*").join(starts, ["stream", "session"])
 
 
 def source_health(results: DataFrame, grace: int = 0) -> DataFrame:
     """Adds status, failure_count and last_success_at to fetch results in time order a source.
 
-    healthy: ok with items; empty: ok without; failed. Failures since the last ok result are one island. With `grace`, up to so many
-    failures keep the status of that result."""
+    healthy: ok with items; empty: ok without; failed. failure_count counts failures since the last ok result: all so far less all at that
+    result. With `grace`, up to so many failures keep the status of that result. A source's results are scanned in chunks (see scan)."""
     ok, healthy = F.coalesce("ok", F.lit(False)), F.coalesce("ok", F.lit(False)) & (F.coalesce("item_count", F.lit(0)) > 0)
-    w = W.partitionBy("source").orderBy("fetched_at")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    df = results.withColumn("__island", F.sum(ok.cast("int")).over(upto)).withColumn("__own", F.when(healthy, "healthy").when(ok, "empty").otherwise("failed"))
-    island = W.partitionBy("source", "__island").orderBy("fetched_at").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("failure_count", F.sum((~ok).cast("int")).over(island)).withColumn("last_success_at", F.max(F.when(healthy, F.col("fetched_at"))).over(upto))
-    before = F.last(F.when(F.col("__own") != "failed", F.col("__own")), ignorenulls=True).over(upto)
-    keep = (F.col("__own") == "failed") & (F.col("failure_count") <= grace) & before.isNotNull()
-    return df.withColumn("status", F.when(keep, before).otherwise(F.col("__own"))).drop("__island", "__own")
+    keys, order = ["source"], in_time(results)
+    df = scan.chunked(results.withColumn("__own", F.when(healthy, "healthy").when(ok, "empty").otherwise("failed")), keys, order)
+    df = scan.running_sums(df, keys, order, {"__failed": (F.col("__own") == "failed").cast("int")})
+    fine = F.col("__own") != "failed"
+    df = scan.last_values(df, keys, order, {"__then": F.when(fine, F.col("__failed")), "last_success_at": F.when(F.col("__own") == "healthy", F.col("fetched_at")), "__before": F.when(fine, F.col("__own"))})
+    df = df.withColumn("failure_count", F.col("__failed") - F.coalesce("__then", F.lit(0)))
+    keep = (F.col("__own") == "failed") & (F.col("failure_count") <= grace) & F.col("__before").isNotNull()
+    return df.withColumn("status", F.when(keep, F.col("__before")).otherwise(F.col("__own"))).drop("__own", "__failed", "__then", "__before", scan.CHUNK)
 
 
 def merge_health(previous: DataFrame, current: DataFrame, active: DataFrame) -> DataFrame:
@@ -203,13 +212,12 @@ def health_summary(health: DataFrame) -> DataFrame:
 
 def effective_records(records: DataFrame) -> DataFrame:
     """Each fetch with the items that stand for it: its own if ok (even none), else those of the source's last ok fetch that had any; adds
-    effective_fetched_at, effective_count and stale."""
-    w = W.partitionBy("source").orderBy("fetched_at").rowsBetween(W.unboundedPreceding, -1)
-    ok = F.coalesce("ok", F.lit(False))
+    effective_fetched_at, effective_count and stale. A source's fetches are scanned in chunks (see scan)."""
+    ok, order = F.coalesce("ok", F.lit(False)), in_time(records)
     kept = F.struct("fetched_at", "item_count")
-    df = records.withColumn("__last", F.last(F.when(ok & (F.col("item_count") > 0), kept), ignorenulls=True).over(w))
+    df = scan.last_values(scan.chunked(records, ["source"], order), ["source"], order, {"__last": F.when(ok & (F.col("item_count") > 0), kept)}, inclusive=False)
     back = ~ok & F.col("__last").isNotNull()
-    return df.withColumns({"effective_fetched_at": F.when(back, F.col("__last.fetched_at")).otherwise(F.col("fetched_at")), "effective_count": F.when(back, F.col("__last.item_count")).when(ok, F.col("item_count")).otherwise(0), "stale": back}).drop("__last")
+    return df.withColumns({"effective_fetched_at": F.when(back, F.col("__last.fetched_at")).otherwise(F.col("fetched_at")), "effective_count": F.when(back, F.col("__last.item_count")).when(ok, F.col("item_count")).otherwise(0), "stale": back}).drop("__last", scan.CHUNK)
 
 
 def limit_newest(items: DataFrame, max_items: int = 15, max_age_hours: float = 48) -> DataFrame:

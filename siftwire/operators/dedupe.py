@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from .storage import stored
+from . import scan
+from .matching import block_join
+from .storage import deleted, stored
 
 
 def token_pairs(df: DataFrame, keys: list[str], node: str, tokens: str, threshold: float) -> DataFrame:
@@ -16,7 +18,7 @@ def token_pairs(df: DataFrame, keys: list[str], node: str, tokens: str, threshol
 
     Tokens are ordered by how many rows have them, rarest first; two such sets share a token within their first
     n - ceil(t n) + 1 (the prefix filter). Rows with equal sets must have been joined into one before, so frequent titles do not
-    meet themselves; sizes must fit before the sets are compared."""
+    meet themselves; sizes must fit before the sets are compared. Tokens that very many rows have are joined in blocks (block_join)."""
     base = df.select(*keys, F.col(node).alias("n"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
     ranked = base.select(*keys, "n", F.explode("t").alias("w"))
     df_counts = ranked.groupBy(*keys, "w").count()
@@ -26,26 +28,58 @@ def token_pairs(df: DataFrame, keys: list[str], node: str, tokens: str, threshol
     heads = order.select(*keys, "n", "size", F.explode(F.slice("t", 1, F.greatest("prefix", F.lit(1)))).alias("w"))
     other = heads.select(*keys, "w", F.col("n").alias("m"), F.col("size").alias("size2"))
     fits = (F.col("n") < F.col("m")) & (F.col("size") >= F.lit(threshold) * F.col("size2") - F.lit(1e-9)) & (F.col("size2") >= F.lit(threshold) * F.col("size") - F.lit(1e-9))
-    pairs = heads.join(other, [*keys, "w"]).where(fits).select(*keys, "n", "m").distinct()
+    pairs = block_join(heads, other, [*keys, "w"]).where(fits).select(*keys, "n", "m").distinct()
     left = order.select(*keys, "n", F.col("t").alias("ta"))
     right = order.select(*keys, F.col("n").alias("m"), F.col("t").alias("tb"))
     both = pairs.join(left, [*keys, "n"]).join(right, [*keys, "m"])
     return both.where(T.jaccard(F.col("ta"), F.col("tb")) >= threshold).select(*keys, F.col("n").alias("a"), F.col("m").alias("b"))
 
 
-def connected(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
-    """(keys, node, component): the least node that edges reach, by labels of neighbours and a jump each round."""
-    both = stored(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.select(*keys, F.col("node").alias("b"), "component"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, [*keys, "node"]).select(*keys, "node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
-        jump = step.join(labels.select(*keys, F.col("node").alias("c"), F.col("component").alias("up")), [*keys, "c"], "left")
-        new = stored(jump.select(*keys, "node", "was", F.least("c", F.coalesce("up", "c")).alias("component")))
-        labels = new.select(*keys, "node", "component")
-        if new.where("was <> component").isEmpty():
-            return labels
-    raise RuntimeError(f"components still change after {rounds} rounds")
+def connected(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, component) of the nodes of `edges` (keys, a, b): the least node that edges reach.
+
+    Large stars and small stars in turn: each node hangs its larger neighbours on the least of its neighbourhood, then itself and its
+    smaller neighbours on the least of these. Edges never grow in number, and after at most log^2 of the nodes' number of turns each component
+    is one star. Each turn is stored and the one before it deleted."""
+    pairs = stored(edges.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+
+    mark = None
+    while True:
+        both = pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.where("b > a").join(least(both), [*keys, "a"]).where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stored(large)
+        lower = least(large)
+        small = large.join(lower, [*keys, "a"]).where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select(*keys, "a", F.col("m").alias("b"))).distinct()
+        small = stored(small)
+        deleted(pairs, large)
+        pairs = small
+        was, mark = mark, tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "a", "b"))).first())
+        if mark == was:
+            break
+    top = pairs.select(*keys, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return pairs.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).unionByName(top)
+
+
+def least_before(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, least): the least node that each b reaches over `edges` (keys, a, b; a < b) if every step goes to a smaller node.
+
+    Each node takes the least label of its smaller neighbours, then the label of that label, until nothing changes: what its label reaches, it
+    reaches too. Stored rounds, the one before deleted."""
+    edges = stored(edges.select(*keys, "a", "b").where("a < b").distinct())
+    nodes = edges.select(*keys, F.col("a").alias("node")).unionByName(edges.select(*keys, F.col("b").alias("node"))).distinct()
+    labels = stored(nodes.select(*keys, "node", F.col("node").alias("least"), F.lit(True).alias("moved")))
+    while not labels.where("moved").isEmpty():
+        near = edges.join(labels.select(*keys, F.col("node").alias("a"), "least"), [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(F.min("least").alias("m"))
+        step = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("least").alias("was"), F.least("least", F.coalesce("m", "least")).alias("l"))
+        jump = step.join(labels.select(*keys, F.col("node").alias("l"), F.col("least").alias("up")), [*keys, "l"], "left")
+        new = stored(jump.select(*keys, "node", F.least("l", F.coalesce("up", "l")).alias("least"), (F.least("l", F.coalesce("up", "l")) < F.col("was")).alias("moved")))
+        deleted(labels)
+        labels = new
+    deleted(edges)
+    return labels.drop("moved")
 
 
 def title_pairs(items: DataFrame, threshold: float = 0.82, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
@@ -71,46 +105,44 @@ def duplicate_components(items: DataFrame, threshold: float = 0.82, keys: tuple[
     return t.select(*keys, "ord").join(found, [*keys, "ord"], "left").select(*keys, "ord", F.coalesce("component", "ord").alias("component"))
 
 
-def first_fit(rows: list[tuple], threshold: float) -> list[int]:
-    """Group number of each (address, token set) row in order: the first group with a member of equal address or alike title."""
-    groups: list[list[tuple]] = []
-    out = []
-    for url, tokens in rows:
-        def alike(g, url=url, tokens=tokens):
-            return any((url and url == u) or (tokens and t and len(tokens & t) / len(tokens | t) >= threshold) for u, t in g)
+def chain(rows: DataFrame, keys: list[str], side: str | None = None) -> DataFrame:
+    """Edges (keys, a, b) of rows (keys, ord) that follow one another in the order of ord; with `side`, only those whose sides differ. Hot keys
+    are scanned in chunks."""
+    got = scan.last_values(scan.chunked(rows, keys, ["ord"]), keys, ["ord"], {"__last": F.struct("ord", *([side] if side else []))}, inclusive=False)
+    got = got.where(F.col("__last").isNotNull() & (F.col(f"__last.{side}") != F.col(side) if side else F.lit(True)))
+    return got.select(*keys, F.col("__last.ord").alias("a"), F.col("ord").alias("b"))
 
-        k = next((i for i, g in enumerate(groups) if alike(g)), len(groups))
-        if k == len(groups):
-            groups.append([])
-        groups[k].append((url, tokens))
-        out.append(k)
-    return out
+
+def first_fit(items: DataFrame, threshold: float) -> DataFrame:
+    """(run_id, ord, group): in input order each item joins the earliest group with a member of its address or of a like title, else it
+    opens one; group is the group's first item.
+
+    The earliest such group is the least among those of the earlier items it is like, so a group is the least item that can be reached by
+    steps to earlier like items (least_before). Items of one address, or of one token set, form chains; where two token sets are alike, the
+    items of both in order need an edge only where they change from one set to the other, as the chains lead on from there."""
+    keys = ["run_id"]
+    t = stored(items.select(*keys, "ord", T.canonical_url(F.col("url")).alias("u"), F.sort_array(T.title_tokens(F.col("title"))).alias("tokens")))
+    urls = chain(t.where("u <> ''").select(*keys, "u", "ord"), [*keys, "u"]).select(*keys, "a", "b")
+    full = t.where(F.size("tokens") > 0)
+    firsts = stored(full.groupBy(*keys, "tokens").agg(F.min("ord").alias("c")))
+    members = stored(full.join(firsts, [*keys, "tokens"]).select(*keys, "c", "ord"))
+    same = chain(members, [*keys, "c"]).select(*keys, "a", "b")
+    like = stored(token_pairs(firsts, keys, "c", "tokens", threshold).withColumnsRenamed({"a": "p", "b": "q"}))
+    sides = [like.select(*keys, "p", "q", F.col(c).alias("c"), F.lit(c == "q").alias("side")) for c in ("p", "q")]
+    mixed = block_join(sides[0].unionByName(sides[1]), members, [*keys, "c"]).select(*keys, "p", "q", "side", "ord")
+    across = chain(mixed, [*keys, "p", "q"], "side").select(*keys, "a", "b")
+    found = least_before(urls.unionByName(same).unionByName(across), keys).withColumnsRenamed({"node": "ord", "least": "group"})
+    return t.select(*keys, "ord").join(found, [*keys, "ord"], "left").select(*keys, "ord", F.coalesce("group", "ord").alias("group"))
 
 
 def duplicate_groups(items: DataFrame, threshold: float = 0.82, mode: str = "components") -> DataFrame:
     """(run_id, ord, group). `components`: free of order. `first_fit`: in input order each item joins the first group that has a
-    member like it, so a bridge does not merge groups; every such group lies in one component, so components are
-    resolved one by one, in pandas, and only those of more than two items."""
-    parts = duplicate_components(items, threshold)
-    if mode == "components":
-        return parts.withColumnRenamed("component", "group")
-    if mode != "first_fit":
+    member like it, so a bridge does not merge groups."""
+    if mode == "first_fit":
+        return first_fit(items, threshold)
+    if mode != "components":
         raise ValueError(f"mode {mode!r}: components or first_fit")
-    size = stored(parts.withColumn("n", F.count("*").over(W.partitionBy("run_id", "component"))))
-    small = size.where("n <= 2").select("run_id", "ord", F.col("component").alias("group"))
-    t = items.select("run_id", "ord", T.canonical_url(F.col("url")).alias("u"), T.title_tokens(F.col("title")).alias("tokens"))
-
-    def resolve(pdf):
-        pdf = pdf.sort_values("ord")
-        groups = first_fit([(u, frozenset(w)) for u, w in zip(pdf["u"], pdf["tokens"], strict=True)], threshold)
-        first: dict[int, int] = {}
-        for o, k in zip(pdf["ord"], groups, strict=True):
-            first.setdefault(k, o)
-        return pdf[["run_id", "ord"]].assign(group=[first[k] for k in groups])
-
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    large = size.where("n > 2").join(t, ["run_id", "ord"]).groupBy("run_id", "component").applyInPandas(resolve, f"run_id {kinds['run_id']}, ord {kinds['ord']}, group {kinds['ord']}")
-    return small.unionByName(large)
+    return duplicate_components(items, threshold).withColumnRenamed("component", "group")
 
 
 def dedupe_items(items: DataFrame, threshold: float = 0.82, mode: str = "components") -> DataFrame:
@@ -152,56 +184,53 @@ def overlap_pairs(rows: DataFrame, keys: list[str], threshold: float) -> DataFra
     head = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
     short = ranked.select(*keys, F.col("ord").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("t", 1, head)).alias("w"))
     whole = ranked.select(*keys, F.col("ord").alias("y"), F.col("n").alias("ny"), F.explode("t").alias("w"))
-    found = short.join(whole, [*keys, "w"]).where("x <> y and nx <= ny").select(*keys, "x", "y").distinct()
+    found = block_join(short, whole, [*keys, "w"]).where("x <> y and nx <= ny").select(*keys, "x", "y").distinct()
     both = found.join(ranked.select(*keys, F.col("ord").alias("x"), F.col("t").alias("tx")), [*keys, "x"]).join(ranked.select(*keys, F.col("ord").alias("y"), F.col("t").alias("ty")), [*keys, "y"])
     near = both.where(T.overlap(F.col("tx"), F.col("ty")) >= threshold)
     return near.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def lead_rest(rows: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """(run_id, ord, s) of the undecided rows, those of a component in order: one leads unless an earlier neighbour does. rows: (run_id,
-    ord); edges (run_id, a, b) among them."""
-    parts = connected(edges.select("run_id", "a", "b"), ["run_id"]).withColumnRenamed("node", "ord")
-    near = edges.groupBy("run_id", F.col("b").alias("ord")).agg(F.collect_set("a").alias("before"))
-    df = rows.join(parts, ["run_id", "ord"], "left").join(near, ["run_id", "ord"], "left").withColumn("component", F.coalesce("component", "ord"))
-
-    def resolve(pdf):
-        pdf = pdf.sort_values("ord")
-        leads: set = set()
-        for o, before in zip(pdf["ord"], pdf["before"], strict=True):
-            if before is None or not leads.intersection(before):
-                leads.add(o)
-        return pdf[["run_id", "ord"]].assign(s=[1 if o in leads else 2 for o in pdf["ord"]])
-
-    return df.groupBy("run_id", "component").applyInPandas(resolve, f"run_id {kind}, ord {kind}, s int")
-
-
-def assign_event_clusters(items: DataFrame, title_threshold: float = 0.42, token_threshold: float = 0.5, rounds: int = 12) -> DataFrame:
+def leaders(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, s), stored: in order, a row leads (1) unless an earlier neighbour leads (then 2). rows: (keys, ord); edges: (keys, a, b), a < b.
+
+    Rounds: a row next to an earlier leader follows, one whose earlier neighbours all follow leads. An open row with one open earlier neighbour
+    is what that one is not, so chains of such rows are followed by doubling their pointers, and a whole chain is settled with its first row.
+    Every round settles at least the first open row of each component; random orders take few."""
+    ids = [*keys, "ord"]
+    state = stored(rows.select(*ids, F.lit(0).alias("s")))  # 0 open
+    while not state.where("s = 0").isEmpty():
+        before = edges.join(state.select(*keys, F.col("ord").alias("a"), "s"), [*keys, "a"])
+        seen = before.groupBy(*keys, F.col("b").alias("ord")).agg(F.bool_or(F.col("s") == 1).alias("led"), F.count_if(F.col("s") == 0).alias("open"), F.min(F.when(F.col("s") == 0, F.col("a"))).alias("up"))
+        now = F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("led", F.lit(False)), 2).when(F.coalesce("open", F.lit(0)) > 0, 0).otherwise(1)
+        new = stored(state.join(seen, ids, "left").select(*ids, now.alias("s"), F.when((now == 0) & (F.col("open") == 1), F.col("up")).alias("up")))
+        deleted(state)
+        state, links = new.select(*ids, "s"), stored(new.where(F.col("up").isNotNull()).select(*ids, "up", F.lit(True).alias("odd")))
+        while True:
+            ahead = links.select(*keys, F.col("ord").alias("up"), F.col("up").alias("top"), F.col("odd").alias("also"))
+            if links.join(ahead, [*keys, "up"], "left_semi").isEmpty():
+                break
+            longer = stored(links.join(ahead, [*keys, "up"], "left").select(*ids, F.coalesce("top", "up").alias("up"), F.when(F.col("top").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("also")).alias("odd")))
+            deleted(links)
+            links = longer
+        ends = links.join(state.where("s <> 0").select(*keys, F.col("ord").alias("up"), F.col("s").alias("z")), [*keys, "up"]).select(*ids, F.when(F.col("odd"), 3 - F.col("z")).otherwise(F.col("z")).alias("z"))
+        settled = stored(state.join(ends, ids, "left").select(*ids, F.coalesce("z", "s").alias("s")))
+        deleted(new, links)
+        state = settled
+    return state
+
+
+def assign_event_clusters(items: DataFrame, title_threshold: float = 0.42, token_threshold: float = 0.5) -> DataFrame:
     """Adds cluster_tokens and event_cluster_key: in input order and within run and event type, an item joins the first leader that it is
     like (title similarity, or overlap of cluster tokens), else it leads a new cluster.
 
-    Edges come from equi-joins on tokens, rarest first (token_pairs, overlap_pairs). Leaders are the first maximal independent set in
-    input order, found in rounds: an undecided item with no undecided or leading earlier neighbour leads, and one next to a leader
-    follows. What is still undecided after `rounds` rounds (long chains) is resolved by component in tasks. Then each follower takes its
-    earliest leader."""
+    Edges come from equi-joins on tokens, rarest first (token_pairs, overlap_pairs), leaders from rounds over them (leaders). Then each
+    follower takes its earliest leader."""
     keys = ["run_id", "event_type"]
     rows = stored(items.select(*keys, "ord", T.title_tokens(F.col("title")).alias("tokens"), cluster_tokens(F.col("title")).alias("cluster_tokens")))
     titles = token_pairs(rows, keys, "ord", "tokens", title_threshold).select(*keys, "a", "b")
     edges = stored(titles.unionByName(overlap_pairs(rows, keys, token_threshold)).distinct())
     ids = ["run_id", "ord"]
-    state = stored(rows.select(*ids, F.lit(0).alias("s")))  # 0 undecided, 1 leads, 2 follows
-    for _ in range(rounds):
-        if state.where("s = 0").isEmpty():
-            break
-        seen = edges.join(state.select("run_id", F.col("ord").alias("a"), "s"), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("ord")).agg(F.bool_or(F.col("s") == 1).alias("led"), F.bool_or(F.col("s") == 0).alias("open"))
-        state = stored(state.join(seen, ids, "left").select(*ids, F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("led", F.lit(False)), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("s")))
-    else:
-        led = edges.join(state.where("s = 1").select("run_id", F.col("ord").alias("a")), ["run_id", "a"]).select("run_id", F.col("b").alias("ord")).distinct()
-        state = stored(state.join(led.withColumn("led", F.lit(True)), ids, "left").select(*ids, F.when((F.col("s") == 0) & F.col("led"), 2).otherwise(F.col("s")).alias("s")))
-        rest = state.where("s = 0").select(*ids)
-        among = edges.join(rest.select("run_id", F.col("ord").alias("a")), ["run_id", "a"]).join(rest.select("run_id", F.col("ord").alias("b")), ["run_id", "b"])
-        kind = dict(items.dtypes)["ord"]
-        state = stored(state.where("s <> 0").unionByName(lead_rest(rest, stored(among), kind)))
+    state = leaders(rows.select(*ids), edges.select("run_id", "a", "b"), ["run_id"])
     lead = state.where("s = 1").select("run_id", F.col("ord").alias("a"))
     first = edges.join(lead, ["run_id", "a"]).groupBy("run_id", F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
     heads = rows.select("run_id", F.col("ord").alias("leader"), cluster_key(F.col("event_type"), F.col("cluster_tokens")).alias("event_cluster_key"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import scan
 
 
 def payload_error(payload: Column) -> Column:
@@ -51,9 +51,10 @@ def normalize_sentiment(payloads: DataFrame, most: int = 8) -> DataFrame:
 
 
 def market_asof(payloads: DataFrame) -> DataFrame:
-    """Each payload, or the last good one of its symbol and function before it where it is an error; adds stale."""
-    w = W.partitionBy("symbol", "function").orderBy("fetched_at")
-    bad = payload_error(F.col("payload"))
-    df = payloads.withColumn("__bad", bad)
-    last = F.last(F.when(~F.col("__bad"), F.col("payload")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("stale", F.col("__bad") & last.isNotNull()).withColumn("payload", F.when(F.col("__bad"), F.coalesce(last, F.col("payload"))).otherwise(F.col("payload"))).drop("__bad")
+    """Each payload, or the last good one of its symbol and function before it where it is an error; adds stale. The history of a symbol is scanned
+    in chunks (see scan)."""
+    keys = ["symbol", "function"]
+    df = scan.chunked(payloads.withColumn("__bad", payload_error(F.col("payload"))), keys, ["fetched_at"])
+    df = scan.last_values(df, keys, ["fetched_at"], {"__last": F.when(~F.col("__bad"), F.col("payload"))})
+    df = df.withColumn("stale", F.col("__bad") & F.col("__last").isNotNull())
+    return df.withColumn("payload", F.when(F.col("__bad"), F.coalesce("__last", "payload")).otherwise(F.col("payload"))).drop("__bad", "__last", scan.CHUNK)

@@ -8,7 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siftwire.operators import audit, candidates, dedupe, matching, weekly
+from siftwire.operators import audit, candidates, dedupe, matching, scan, weekly
 from siftwire.plans import registry as queries
 from siftwire.streaming import jobs
 
@@ -260,7 +260,7 @@ def test_clusters_of_a_long_chain(spark):
     """Each title is like the next only, so leaders settle one after the other: far more of them than there are rounds."""
     n = 60
     df = items(spark, [row(i, f"a{i:02} a{i + 1:02} a{i + 2:02}") for i in range(n)])
-    out = {r.ord: r.event_cluster_key for r in dedupe.assign_event_clusters(df, rounds=3).collect()}
+    out = {r.ord: r.event_cluster_key for r in dedupe.assign_event_clusters(df).collect()}
     sets = [{f"a{i:02}", f"a{i + 1:02}", f"a{i + 2:02}"} for i in range(n)]
     leads: list[int] = []
     leader = []
@@ -278,3 +278,90 @@ def test_selection_takes_quotas_of_sources(spark):
     for quota in (1, 2):
         sources = spark.createDataFrame([("x", quota, "core")], "source_id string, body_fetch_quota int, source_policy_tier string")
         assert candidates.select_candidates(df, none, candidates.SelectionRules(candidate_threshold=1), sources).where("candidate_status = 'selected'").count() == quota
+
+
+def test_scans_over_chunks_equal_windows_over_keys(spark):
+    """A hot key lies in several chunks, and ties of time are broken by the attempt."""
+    rng = random.Random(7)
+    rows = [(i, "hot" if i % 5 else rng.choice(["a", "b", None]), dt.datetime(2026, 7, 1) + dt.timedelta(minutes=rng.randint(0, 900)), rng.random() < 0.6, rng.randint(0, 2), rng.choice("pq")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "attempt_id long, source string, fetched_at timestamp, ok boolean, item_count long, stream string").repartition(8)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        chunks = scan.chunked(df, ["source"], ["fetched_at", "attempt_id"])
+        assert chunks.where("source = 'hot'").select(scan.CHUNK).distinct().count() >= 3
+        health = {r.attempt_id: r for r in audit.source_health(df, 2).collect()}
+        used = {r.attempt_id: r for r in audit.effective_records(df).collect()}
+        sessions = {(r.stream, r.session, r.source): (r.attempt_id, r.session_start) for r in audit.fetch_sessions(df, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert len(health) == len(used) == len(rows)
+    state, want = {}, {}
+    for i, s, at, ok, n, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        failures, success, before, kept = state.get(s, (0, None, None, None))
+        own = "failed" if not ok else "healthy" if n else "empty"
+        failures = failures + 1 if own == "failed" else 0
+        success = at if own == "healthy" else success
+        before = own if own != "failed" else before
+        status = before if own == "failed" and failures <= 2 and before else own
+        h, u = health[i], used[i]
+        assert (h.status, h.failure_count, h.last_success_at) == (status, failures, success)
+        back = not ok and kept is not None
+        assert (u.stale, u.effective_count, u.effective_fetched_at) == (back, kept[1] if back else n if ok else 0, kept[0] if back else at)
+        state[s] = (failures, success, before, (at, n) if ok and n else kept)
+    last = {}
+    for i, s, at, _, _, stream in sorted(rows, key=lambda r: (r[2], r[0])):
+        t, k, start = last.get(stream, (None, 0, None))
+        if t is None or at - t > dt.timedelta(minutes=2):
+            k, start = k + 1, at
+        last[stream] = (at, k, start)
+        want[stream, k, s] = (i, start)
+    assert sessions == want
+
+
+def test_stars_join_a_long_path_and_a_hub(spark):
+    """A path in random order, longer than any number of neighbour steps, beside a hub and a lone pair."""
+    rng, n = random.Random(11), 5_000
+    names = list(range(n))
+    rng.shuffle(names)
+    path = [(0, names[i], names[i + 1]) for i in range(n - 1)]
+    hub = [(0, n + 5, n + 6 + i) for i in range(3000)] + [(1, 7, 8), (1, 7, 7)]
+    got = dedupe.connected(spark.createDataFrame(path + hub, "run_id long, a long, b long"), ["run_id"]).collect()
+    found = {(r.run_id, r.node): r.component for r in got}
+    assert len(got) == len(found) == n + 3001 + 2
+    assert all(c == (0 if node < n else n + 5) for (run, node), c in found.items() if run == 0) and found[1, 8] == found[1, 7] == 7
+
+
+def test_leaders_of_chains_and_ladders_equal_the_order_bound_rule(spark):
+    rng, n = random.Random(12), 1500
+    edges = {(i, i + 1) for i in range(600)} | {(i, i + k) for i in range(700, 715) for k in (1, 2)} | {tuple(sorted(rng.sample(range(900, n), 2))) for _ in range(900)}
+    before: dict = {}
+    for a, b in edges:
+        before.setdefault(b, []).append(a)
+    want: dict = {}
+    for i in range(n):
+        want[i] = 2 if any(want[a] == 1 for a in before.get(i, ())) else 1
+    rows = spark.createDataFrame([(0, i) for i in range(n)], "run_id long, ord long")
+    got = dedupe.leaders(rows, spark.createDataFrame([(0, a, b) for a, b in edges], "run_id long, a long, b long"), ["run_id"])
+    assert {r.ord: r.s for r in got.collect()} == want
+
+
+def test_first_fit_with_copies_addresses_and_bridges_equals_brute_force(spark):
+    """Copies of a title, shared addresses that move a later copy to an earlier group, and chains of like titles."""
+    rng, t = random.Random(13), 0.5
+    rows = [(i % 2, i, f"https://a/{rng.randint(0, 25)}" if rng.random() < 0.3 else "", " ".join(rng.choice([["a1", "b1", "c1"], ["a1", "b1", "d1"], ["b1", "d1", "e1"], rng.sample(WORDS, 3)])) if rng.random() < 0.95 else "") for i in range(160)]
+    df = spark.createDataFrame(rows, "run_id long, ord long, url string, title string")
+    groups = {}
+    for run in (0, 1):
+        made: list[list[tuple]] = []
+        for _, i, url, title in [r for r in rows if r[0] == run]:
+            s = set(title.split())
+            g = next((g for g in made if any((url and url == u) or (s and x and jac(s, x) >= t) for _, u, x in g)), None)
+            if g is None:
+                made.append([(i, url, s)])
+            else:
+                g.append((i, url, s))
+        groups |= {m[0]: g[0][0] for g in made for m in g}
+    assert {r.ord: r.group for r in dedupe.duplicate_groups(df, t, "first_fit").collect()} == groups
