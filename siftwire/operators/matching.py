@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import deleted, stored
@@ -41,14 +42,47 @@ def numbered(words: DataFrame, order: list[str]) -> DataFrame:
     return words.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("k", F.monotonically_increasing_id())
 
 
+#: Sets of at most so many tokens list all their pairs, and their triples: the work a row stays bounded.
+PAIRS_UP_TO, TRIPLES_UP_TO = 64, 24
+
+
+def subsets(t: Column, c: int) -> Column:
+    """All sets of `c` (1 to 3) tokens of a sorted array, as sorted arrays."""
+    rest = lambda i: F.slice(t, i + 2, F.size(t))
+    if c == 1:
+        return F.transform(t, lambda x: F.array(x))
+    if c == 2:
+        return F.flatten(F.transform(t, lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
+    return F.flatten(F.transform(t, lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(F.slice(t, i + j + 3, F.size(t)), lambda z: F.array(x, y, z))))))
+
+
+def best_of_few(x: DataFrame, y: DataFrame, shared: int) -> DataFrame:
+    """(n, best): the highest similarity of each row of `x` to rows of `y` with which it shares at most `shared` tokens, or more.
+
+    With a given number of shared tokens the smallest set is the most alike. So each set of 1, 2, ... tokens needs only the least size of the
+    rows of `y` that hold it (of two ids, as a row's own is no match), and a row of `x` looks up its own sets: nothing is paired."""
+    found = None
+    for c in range(1, shared + 1):
+        key = F.explode(subsets(F.col("t"), c)).alias("key")
+        least = y.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("rid"), "size", key).groupBy("key", "rid").agg(F.min("size").alias("b"))
+        two = least.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("b", "rid"))).where("r <= 2").select("key", "rid", "b")
+        met = x.select("n", "own", F.col("size").alias("a"), key).join(two, "key").where(~F.col("own").eqNullSafe(F.col("rid")))
+        best = met.select("n", (F.lit(c) / (F.col("a") + F.col("b") - c)).alias("best"))
+        found = best if found is None else found.unionByName(best)
+    return found.groupBy("n").agg(F.max("best").alias("best"))
+
+
 def best_match(mine: DataFrame, theirs: DataFrame, keys: list[str], level: Callable[[Column], Column], thresholds: tuple[float, ...]) -> DataFrame:
     """(keys, node, best): the highest Jaccard similarity of each row of `mine` (keys, node, id, tokens) to rows of `theirs` (keys, id,
     tokens) of equal keys and another id, or any lower value of the same level: `level` gives the level of a similarity,
-    which changes at thresholds only. Rows that share no token with any other are left out.
-
-    One threshold t after the other, the highest first: sets of similarity t share a token among the rarest n - ceil(t n) + 1 of each, so only
-    these tokens are joined, and only for rows that are not settled. A row is settled once what it has found, of whatever similarity, lies on
-    the level just below t, or above: nothing that is still to be found can change that. Tokens that one side lacks take no part."""
+    which may change at thresholds only. Rows that share no token with any other are left out.
+
+    Matches that share few tokens (3; fewer if there are long sets) come from look-ups, see best_of_few. The others share one more at least, and
+    are joined one threshold t after the other, the highest first: sets of similarity t that share s tokens or more share two among the rarest
+    n - max(s, ceil(t n)) + 2 of each (one among one less, if there are long sets), so only pairs of these are joined, and only for rows that are
+    not settled. A row is settled once what it has found,
+    of whatever similarity, lies on the level just below t, or above: nothing still to be found can change that. Tokens that one side
+    lacks take no part."""
     side = lambda df, n, node: df.select(*keys, F.lit(n).alias("side"), node.alias("node"), "id", "tokens")
     kind = mine.schema["node"].dataType
     rows = stored(side(mine, 0, F.col("node")).unionByName(side(theirs, 1, F.lit(None).cast(kind))).withColumn("n", F.monotonically_increasing_id()))
@@ -56,29 +90,46 @@ def best_match(mine: DataFrame, theirs: DataFrame, keys: list[str], level: Calla
     words = each.groupBy(*keys, "w").agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")).where("c0 > 0 and c1 > 0")
     words = stored(numbered(words.select(*keys, "w", (F.col("c0") * F.col("c1")).alias("c")), ["c", *keys, "w"]).select(*keys, "w", "k"))
     coded = each.join(words, [*keys, "w"]).groupBy("side", "n").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("k")).alias("t"))
-    coded = stored(coded.join(rows.select("n", "id"), "n"))
-    x, y, found = coded.where("side = 0"), coded.where("side = 1"), None
+    named = F.struct(F.col("id").isNotNull().alias("some"), "id")
+    there = rows.where("side = 1").select(*keys, "id").distinct().withColumn("there", F.lit(True))
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    met = rows.select("n", "id", *keys).join(there.withColumnsRenamed({c: f"__{c}" for c in [*keys, "id"]}), same, "left")
+    coded = stored(coded.join(met.select("n", F.when(F.col("there"), named).alias("own")), "n"))
+    longest = coded.agg(F.max(F.size("t"))).first()[0] or 0
+    shared = 3 if longest <= TRIPLES_UP_TO else 2 if longest <= PAIRS_UP_TO else 1
+    # Rows alike in all that counts are one: size, tokens, and the id where the other side has it too.
+    like = stored(coded.where("side = 0").groupBy("t", "size", "own").agg(F.min("n").alias("c")))
+    x = stored(like.select(F.col("c").alias("n"), "t", "size", "own"))
+    y = stored(coded.where("side = 1").groupBy("t", "size").agg(F.min("own").alias("low"), F.max("own").alias("high")))
+    found = stored(best_of_few(x, y, shared))
+
+    width = 2 if shared > 1 else 1  # tokens in a key
 
     def heads(df: DataFrame, t: float, names: dict[str, str]) -> DataFrame:
-        """A row a prefix token k (unique to its keys), with its place."""
-        head = F.size("t") - F.ceil(F.lit(t) * F.col("size") - F.lit(1e-9)) + 1
-        some = df.where(head > 0).select("n", "id", "size", "t", F.posexplode(F.slice("t", 1, head.cast("int"))).alias("at", "k"))
+        """A row a key: each set of `width` prefix tokens (which are unique to their `keys`), with its first token's place."""
+        head = F.size("t") - F.greatest(F.lit(shared + 1), F.ceil(F.lit(t) * F.col("size") - F.lit(1e-9))) + width
+        some = df.where(head >= width).select(*[c for c in df.columns if c not in ("t", "size")], "size", "t", F.explode(subsets(F.slice("t", 1, head.cast("int")), width)).alias("k"))
+        some = some.withColumn("at", F.array_position("t", F.col("k")[0]) - 1)
         return some.select("k", *[F.col(a).alias(b) for a, b in names.items()])
 
     for t in thresholds:
-        left = stored(heads(x, t, {"n": "n", "id": "id", "size": "a", "t": "ta", "at": "i"}))
-        right = stored(heads(y, t, {"id": "rid", "size": "b", "t": "tb", "at": "j"}))
-        least = F.lit(t / (1 + t)) * (F.col("a") + F.col("b")) - F.lit(1e-9)
+        below = level(F.lit(t - 1e-9))
+        left = stored(heads(x, t, {"n": "n", "own": "own", "size": "a", "t": "ta", "at": "i"}))
+        right = stored(heads(y, t, {"low": "low", "high": "high", "size": "b", "t": "tb", "at": "j"}))
+        least = F.greatest(F.lit(float(shared + 1)), F.lit(t / (1 + t)) * (F.col("a") + F.col("b")) - F.lit(1e-9))
         can = (F.col("a") >= F.lit(t) * F.col("b") - F.lit(1e-9)) & (F.col("b") >= F.lit(t) * F.col("a") - F.lit(1e-9)) & (F.least(F.size("ta") - F.col("i"), F.size("tb") - F.col("j")) >= least)
         both = F.size(F.array_intersect("ta", "tb"))
-        pairs = block_join(left, right, ["k"]).where(~F.col("id").eqNullSafe(F.col("rid")) & can).select("n", (both / (F.col("a") + F.col("b") - both)).alias("best"))
-        step = pairs.unionByName(found) if found is not None else pairs
-        new = stored(step.groupBy("n").agg(F.max("best").alias("best")))
-        deleted(left, right, *([found] if found is not None else []))
+        other = ~(F.col("own").eqNullSafe(F.col("low")) & F.col("own").eqNullSafe(F.col("high")))
+        pairs = block_join(left, right, ["k"]).where(other & can).select("n", (both / (F.col("a") + F.col("b") - both)).alias("best"))
+        new = stored(pairs.unionByName(found).groupBy("n").agg(F.max("best").alias("best")))
+        deleted(left, right, found)
         found = new
-        below = level(F.lit(t - 1e-9))
-        rest = stored(x.join(found.where((F.col("best") >= t) | (level(F.col("best")) == below)).select("n"), "n", "left_anti"))
-        x = rest
-        if x.isEmpty():
-            break
-    return found.join(rows.where("side = 0").select("n", *keys, "node"), "n").select(*keys, "node", "best")
+        was, x = x, stored(x.join(found.where((F.col("best") >= t) | (level(F.col("best")) == below)).select("n"), "n", "left_anti"))
+        if t != thresholds[0]:
+            deleted(was)
+    of = like.withColumnsRenamed({c: f"__{c}" for c in ("t", "size", "own")})
+    member = coded.where("side = 0").join(of, (F.col("t") == F.col("__t")) & (F.col("size") == F.col("__size")) & F.col("own").eqNullSafe(F.col("__own"))).select("n", "c")
+    best = found.withColumnRenamed("n", "c").join(member, "c").select("n", "best")
+    return best.join(rows.where("side = 0").select("n", *keys, "node"), "n").select(*keys, "node", "best")
