@@ -83,7 +83,7 @@ def candidate_values(items: DataFrame, recent: DataFrame, rules: SelectionRules
     """Adds event_type, source_policy_tier, candidate_category, has_fact, information_gain and candidate_value (0 to 100)."""
     df = items.withColumn("__text", T.item_text(items))
     df = df.withColumn("event_type", event_type(F.col("__text"), rules.event_types)).withColumn("source_policy_tier", policy_tier(items)).withColumn("has_fact", has_fact(F.col("__text")))
-    df = df.withColumn("candidate_category", metadata_category(df)).join(information_gain(items, recent), ["run_id", "ord"])
+    df = metadata_category(df, "candidate_category").join(information_gain(items, recent), ["run_id", "ord"])
     kind, fact = F.col("event_type"), F.col("has_fact")
     authority = T.lookup({"core": 20, "standard": 14, "experimental": 7}, F.col("source_policy_tier"), 7)
     typed = F.when(kind.isin(*fixed.PRIORITY_EVENT_TYPES), 25).when(kind == "company_update", 11).when(kind == "commentary", 6).otherwise(8)

@@ -9,11 +9,15 @@ from ..functions import fixed
 from ..functions import text as T
 
 
-def category_scores(df: DataFrame, metadata_only: bool = False, rules=fixed.CATEGORY_PATTERNS) -> Column:
-    """array<struct<score, place, name>>: .18 a match (1 at most) with .35 for one in the title, and the event type's boost on top."""
+def category_text(df: DataFrame, metadata_only: bool = False) -> Column:
     tags = F.array_join(F.coalesce(T.column_or(df, "tags", None, "array<string>"), F.array().cast("array<string>")), " ")
     parts = ["title", "summary"] + ([] if metadata_only else ["content_excerpt", "body_text"])
-    text = T.clean_text(F.concat_ws(" ", *[T.text_or_empty(T.column_or(df, c, None, "string")) for c in parts], tags))
+    return T.clean_text(F.concat_ws(" ", *[T.text_or_empty(T.column_or(df, c, None, "string")) for c in parts], tags))
+
+
+def category_scores(df: DataFrame, text: Column, rules=fixed.CATEGORY_PATTERNS) -> Column:
+    """array<struct<score, place, name>>: .18 a match in `text`, a column of its own, (1 at most) with .35 for one in the title, and the event
+    type's boost on top."""
     kind, out = F.coalesce(T.column_or(df, "event_type", None, "string"), F.lit("")), []
     for i, (name, p) in enumerate(rules):
         base = F.least(F.lit(1.0), T.count_hits(text, p) * F.lit(0.18) + F.when(T.hits(T.text_or_empty(F.col("title")), p), 0.35).otherwise(0.0))
@@ -32,9 +36,13 @@ def source_fallback(df: DataFrame) -> Column:
     return T.lookup(fixed.SOURCE_CATEGORIES, T.first_filled(T.column_or(df, "source_category", None, "string"), F.col("category"), F.lit("")), "business")
 
 
-def metadata_category(df: DataFrame) -> Column:
-    top = F.get(ranked_scores(category_scores(df, True)), 0)
-    return F.when(top["score"] > 0, top["name"]).otherwise(source_fallback(df))
+def metadata_category(df: DataFrame, name: str) -> DataFrame:
+    """Adds `name`, the category of the best score over title, summary and tags. The text, then the scores are columns, so that each is made
+    once."""
+    scored = df.withColumn("__meta", category_text(df, True))
+    scored = scored.withColumn("__scores", category_scores(scored, F.col("__meta"))).withColumn("__best", ranked_scores(F.col("__scores"))[0])
+    best = F.when(F.col("__best.score") > 0, F.col("__best.name")).otherwise(source_fallback(df))
+    return scored.withColumn(name, best).drop("__meta", "__scores", "__best")
 
 
 def secondary_tags(text: Column, tags: Column, rules=fixed.SECONDARY_TAGS) -> Column:
@@ -52,8 +60,7 @@ def classify_items(items: DataFrame) -> DataFrame:
     """Adds category, secondary_tags, classification (confidence, factors, conflicts, method, status), classification_scores and
     requires_review. Close or weak scores ask for review."""
     tags = T.column_or(items, "tags", None, "array<string>")
-    text = T.clean_text(F.concat_ws(" ", *[T.text_or_empty(T.column_or(items, c, None, "string")) for c in ("title", "summary", "content_excerpt", "body_text")], F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
-    df = items.withColumn("__text", text).withColumn("__s", category_scores(items)).withColumn("__r", ranked_scores(F.col("__s"))).withColumn("__back", source_fallback(items))
+    df = items.withColumn("__text", category_text(items)).withColumn("__s", category_scores(items, F.col("__text"))).withColumn("__r", ranked_scores(F.col("__s"))).withColumn("__back", source_fallback(items))
     df = df.withColumns({"__top": F.col("__r")[0]["score"], "__second": F.col("__r")[1]["score"]})
     top, gap = F.col("__top"), F.col("__top") - F.col("__second")
     df = df.withColumn("source_category", F.coalesce(T.column_or(items, "source_category", None, "string"), F.col("category"))).withColumn("category", F.when(top > 0, F.col("__r")[0]["name"]).otherwise(F.col("__back")))
