@@ -6,7 +6,7 @@ see each stage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwire.llm import bpe, jaccard, mixing, secrets, toxicity
@@ -26,13 +26,22 @@ def columns(docs: DataFrame) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one, `__row`, its fields being named by their places: an operator carries it whatever they are called."""
+    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns(docs))]).alias("__row")
+
+
+def unpacked(docs: DataFrame) -> list:
+    return [F.col("__row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 4 does not call toxic (score under 0.7), learnt from the labels of two thirds of the ids. Documents
     without text stay."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(docs.where(bucket("doc_id", 3) != 1), labels.where(bucket("doc_id", 3) != 1))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
-    return toxicity.score_toxicity(rows, model, keep=("__row",)).where("predicted = 0").select("__row.*")
+    model = toxicity.train(docs.select("doc_id", "text").where(bucket("doc_id", 3) != 1), labels.where(bucket("doc_id", 3) != 1))
+    rows = docs.select("doc_id", "text", packed(docs))
+    return toxicity.score_toxicity(rows, model, keep=("__row",)).where("predicted = 0").select(*unpacked(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,33 +52,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         found = jaccard.jaccard_join(docs, width=5, percent=80, counted=False)
         gone = stored(found.where("component_id < doc_id").select("doc_id"))
         return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    key = fresh(docs, "__row")
+    key, row = fresh(docs, "__key"), fresh(docs, "__row")
     rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
-    found = jaccard.jaccard_join(rows.where("doc_id is not null"), width=5, percent=80, id_col=key, counted=False).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    own = rows.where("doc_id is not null").select(F.col(key), "text")
+    found = jaccard.jaccard_join(own, width=5, percent=80, id_col=key, counted=False).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
     found = stored(found.join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row"))
     first = found.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first"))
-    gone = stored(found.join(first, "component_id").where("row <> first.row").select("row"))
-    return rows.join(gone, rows[key] == gone["row"], "left_anti").select(*columns(docs))
+    gone = stored(found.join(first, "component_id").where("row <> first.row").select(F.col("row").alias(row)))
+    return rows.join(gone, rows[key] == gone[row], "left_anti").select(*columns(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span that operator 1 finds being replaced by [SECRET]; n_chars follows. Null texts stay null."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
-    out = secrets.scan_secrets(rows, secrets.train(docs), redact="[SECRET]", keep=("__row",))
-    text = F.when(F.col("__row.text").isNotNull(), F.col("redacted"))
-    found = F.col("spans") != ""
-    new = {"text": text.alias("text"), "n_chars": F.when(found, F.length(text)).otherwise(F.col("__row.n_chars")).cast("long").alias("n_chars")}
-    return out.select(*[new[c] if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
+    out = secrets.scan_secrets(docs.select("doc_id", "text", packed(docs)), secrets.train(docs.select("doc_id", "text")), redact="[SECRET]", keep=("__row",))
+    row, found = dict(zip(docs.columns, unpacked(docs), strict=True)), F.col("spans") != ""
+    text = F.when(row["text"].isNotNull(), F.col("redacted"))
+    new = {"text": text.alias("text"), "n_chars": F.when(found, F.length(text)).otherwise(row["n_chars"]).cast("long").alias("n_chars")}
+    return out.select(*[new.get(c, row[c]) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as operator 10 takes it (0 to 2 times). Null and empty texts count no words and are taken by their
-    place in the sample, as all rows are."""
-    key = fresh(docs, "__row")
+    place in the sample, as all rows are. Columns of `docs` may have any names: those added here have others."""
+    key, row, times, copy = (fresh(docs, f"__{c}") for c in ("key", "row", "times", "copy"))
     rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
-    copies = mixing.mix_sources(rows, row_col=key).where("copies > 0").select(F.col(key).alias("row"), F.col("copies").cast("int").alias("times"))
-    out = rows.join(copies, rows[key] == copies["row"])
-    return out.select(*columns(docs), F.explode(F.sequence(F.lit(1), F.col("times"))).alias(fresh(docs, "__copy"))).drop(fresh(docs, "__copy"))
+    taken = mixing.mix_sources(rows.select("doc_id", "text", "source", key), row_col=key).where("copies > 0")
+    copies = taken.select(F.col(key).alias(row), F.col("copies").cast("int").alias(times))
+    out = rows.join(copies, rows[key] == copies[row])
+    return out.select(*columns(docs), F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
