@@ -111,16 +111,16 @@ def least_count(counts: DataFrame, col: str, most: int, least: int = 2, read: in
     return last if len(shares) == read else least
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of `edges` (a, b): component is the smallest node of the connected component.
 
-    Smallest label of the neighbours, then one pointer jump, until nothing changes; each round is stored, so that plans stay
+    Smallest label of the neighbours, then one pointer jump, until nothing changes, which labels that only fall must reach; each round is stored, so that plans stay
     small, and the one before it deleted. Aggregates combine before the shuffle, and the joins are plain equi-joins that adaptive
     execution splits on hot nodes."""
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     old = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
+    while True:
         labels = old.select("node", "component")
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
@@ -131,7 +131,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new.where("was <> component").isEmpty():
             dropped(both)
             return new.select("node", "component")
-    raise RuntimeError(f"components: still changing after {rounds} rounds")
 
 
 class Forest:

@@ -274,3 +274,21 @@ def test_pipeline_stages(spark, tmp_path):
     none = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named like those the stages add, nulls, repeated ids and a very long text, through all five stages."""
+    extra = ["row", "times", "__row", "__key", "__copy", "a.b", "toxic", "predicted", "score", "spans", "redacted", "copies", "size", "component_id", "gone", "id", "ids"]
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(40)), "s" if i % 2 else None) for i in range(30)]
+    texts += [(40, "w1 w2 " * 20_000, "s"), (41, None, None), (42, "", "s"), (None, "w7 w8 w9 w7 w8 w9", "s"), (3, "another text of its own here", "s"), (3, texts[3][1], "s"), (43, texts[5][1] + " token=abcdEFGH123456", "s")]
+    rows = [(i, t, None, s, None if t is None else len(t), *[f"{c}{k}" for c in extra]) for k, (i, t, s) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOC + "".join(f", `{c}` string" for c in extra))
+    spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert {r[5:] for r in got} <= {r[5:] for r in rows} and len(got) >= 25, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
