@@ -29,12 +29,6 @@ def stream_dedupe(items: DataFrame, *keys: str) -> DataFrame:
     return items.dropDuplicatesWithinWatermark(list(keys or ("url",)))
 
 
-def fetch_session_windows(attempts: DataFrame, minutes: int = 30, late: str = "1 hour") -> DataFrame:
-    """Sessions of attempts with gaps under `minutes`, and each source's last attempt in one."""
-    df = attempts.withWatermark("fetched_at", late)
-    return df.groupBy(F.session_window("fetched_at", f"{minutes} minutes").alias("session"), "source").agg(F.count("*").alias("attempts"), F.max_by("ok", "fetched_at").alias("last_ok"), F.max("fetched_at").alias("last_at"))
-
-
 def daily_counts(items: DataFrame, late: str = "48 hours") -> DataFrame:
     return items.withWatermark("published_at", late).groupBy(F.window("published_at", "1 day").alias("day"), "source").agg(F.count("*").alias("items"))
 
@@ -51,48 +45,134 @@ def cache_expiry(records: DataFrame, now: str, max_age_hours: float = 48) -> Dat
     return records.withColumn("cache_expires_at", at).withColumn("expired", F.col("cache_expires_at") < F.lit(now).cast("timestamp"))
 
 
-def stream_policy(metrics: DataFrame) -> DataFrame:
-    """The policy's transitions over a stream of (source, generated_at, m): m holds the window metrics of a run as JSON, as the batch job
-    makes them. State is one status a source, a dimension, so it needs no timeout."""
+TTL_DAYS = 35
+DAY_MS = 86_400_000
 
-    def step(key, batches, state):
-        import pandas as pd
 
-        rows = pd.concat(list(batches)).sort_values("generated_at")
-        status = state.get[0] if state.exists else "active"
-        out = []
-        for m in rows["m"]:
-            status, reason = next_status(status, json.loads(m))
-            out.append((status, reason))
-        state.update((status,))
-        yield rows[["source", "generated_at"]].assign(status=[s for s, _ in out], reason=[r for _, r in out])
+class Fold:
+    """What in_order does with the rows of a key, one after the other in time. State is plain JSON."""
+
+    def add(self, state: dict | None, at: int, row: dict) -> tuple[dict, list[dict]]:
+        """The state after `row` of time `at` (milliseconds), and the rows it gives."""
+        raise NotImplementedError
 
-    return metrics.groupBy("source").applyInPandasWithState(step, "source string, generated_at timestamp, status string, reason string", "status string", "append", "NoTimeout")
+    def ends(self, state: dict) -> int:
+        """From which watermark on the state is closed if nothing more comes."""
+        return state["at"] + TTL_DAYS * DAY_MS
 
+    def close(self, state: dict) -> list[dict]:
+        """The rows that closing gives; the state is gone then."""
+        return []
 
-def stream_health(results: DataFrame, grace: int = 0) -> DataFrame:
-    """Health of each result of a stream (source, fetched_at, ok, item_count) in time order a source, as source_health gives it over a table: status,
-    failure_count, last_success_at. State is one row a source, a dimension, so it needs no timeout."""
 
-    def step(key, batches, state):
+def in_order(rows: DataFrame, key: str, time: str, late: str, fold: Fold, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """A stateful fold over each key's rows in the order of time (then `ties`), however they arrive: rows wait in the key's state until the
+    watermark, `late` behind the latest time seen, has passed them, so none can come before them any more; rows behind the watermark are dropped. An
+    event-time timer wakes a key for its next waiting row, or to close and delete a state that has ended. State holds the waiting rows
+    of one key, which `late` bounds, and the fold's own."""
+    names = [f.name for f in rows.schema if f.name != key]
+
+    def step(name, batches, state):
         import pandas as pd
 
-        rows = pd.concat(list(batches)).sort_values("fetched_at")
-        failures, success, before = state.get if state.exists else (0, None, None)
-        out = []
-        for at, ok, n in zip(rows["fetched_at"], rows["ok"], rows["item_count"], strict=True):
-            good = bool(ok) if ok is not None and ok == ok else False
-            own = "failed" if not good else "healthy" if n == n and n is not None and n > 0 else "empty"
-            failures = failures + 1 if own == "failed" else 0
-            success = at.value // 1000 if own == "healthy" else success
-            before = own if own != "failed" else before
-            kept = before if own == "failed" and failures <= grace and before else own
-            out.append((kept, failures, None if success is None else pd.Timestamp(success, unit="us")))
-        state.update((failures, success, before))
-        yield rows[["source", "fetched_at"]].assign(status=[x for x, _, _ in out], failure_count=[x for _, x, _ in out], last_success_at=pd.Series([x for _, _, x in out], index=rows.index, dtype="datetime64[us]"))
-
-    schema = "source string, fetched_at timestamp, status string, failure_count long, last_success_at timestamp"
-    return results.select("source", "fetched_at", "ok", "item_count").groupBy("source").applyInPandasWithState(step, schema, "failures long, success long, before string", "append", "NoTimeout")
+        held = json.loads(state.get[0]) if state.exists else {"fold": None, "rows": []}
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for pdf in batches:
+                for r in pdf[names].to_dict("records"):
+                    at = r[time].value
+                    own = {c: None if pd.isna(v) else v.item() if hasattr(v, "item") else v for c, v in r.items() if c != time}
+                    held["rows"].append([at // 1000, own])
+        ready = [r for r in held["rows"] if r[0] <= mark * 1000]
+        held["rows"] = [r for r in held["rows"] if r[0] > mark * 1000]
+        made: list[dict] = []
+        for us, r in sorted(ready, key=lambda r: (r[0], [str(type(r[1][t])) for t in ties], [r[1][t] for t in ties])):
+            now = held["fold"]
+            if now is not None and fold.ends(now) < us // 1000:
+                made += fold.close(now)
+                now = None
+            held["fold"], rows_ = fold.add(now, us // 1000, r | {time: us})
+            made += rows_
+        if held["fold"] is not None and fold.ends(held["fold"]) < mark:
+            made += fold.close(held["fold"])
+            held["fold"] = None
+        if held["fold"] is None and not held["rows"]:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(held),))
+            due = [r[0] // 1000 for r in held["rows"]] + ([fold.ends(held["fold"])] if held["fold"] is not None else [])
+            state.setTimeoutTimestamp(max(min(due), mark + 1))
+        if made:
+            pdf = pd.DataFrame(made)
+            pdf.insert(0, key, name[0])
+            for c in times:
+                pdf[c] = pd.to_datetime(pdf[c], unit="us")
+            yield pdf[columns]
+
+    from pyspark.sql.types import StructType, TimestampType
+
+    shape = StructType.fromDDL(out)
+    columns, times = shape.names, [f.name for f in shape if isinstance(f.dataType, TimestampType)]
+    return rows.withWatermark(time, late).groupBy(key).applyInPandasWithState(step, out, "held string", "append", "EventTimeTimeout")
+
+
+class PolicyFold(Fold):
+    def add(self, state, at, row):
+        status, reason = next_status(state["status"] if state else "active", json.loads(row["m"]))
+        return {"status": status, "at": at}, [{"generated_at": row["generated_at"], "status": status, "reason": reason}]
+
+
+def stream_policy(metrics: DataFrame, late: str = "1 day") -> DataFrame:
+    """The policy's transitions over a stream of (source, generated_at, m): m holds the window metrics of a run as JSON, as the batch job
+    makes them. Runs that come late, but within `late`, take their place in time; a source without runs for 35 days starts anew."""
+    return in_order(metrics.select("source", "generated_at", "m"), "source", "generated_at", late, PolicyFold(), "source string, generated_at timestamp, status string, reason string")
+
+
+class HealthFold(Fold):
+    def __init__(self, grace: int) -> None:
+        self.grace = grace
+
+    def add(self, state, at, row):
+        failures, success, before = (state["failures"], state["success"], state["before"]) if state else (0, None, None)
+        own = "failed" if not row["ok"] else "healthy" if (row["item_count"] or 0) > 0 else "empty"
+        failures = failures + 1 if own == "failed" else 0
+        success = row["fetched_at"] if own == "healthy" else success
+        before = own if own != "failed" else before
+        kept = before if own == "failed" and failures <= self.grace and before else own
+        state = {"failures": failures, "success": success, "before": before, "at": at}
+        return state, [{"fetched_at": row["fetched_at"], "status": kept, "failure_count": failures, "last_success_at": success}]
+
+
+def stream_health(results: DataFrame, grace: int = 0, late: str = "1 hour") -> DataFrame:
+    """Health of each result of a stream (source, fetched_at, ok, item_count, perhaps attempt_id) in time order a source, as source_health gives it
+    over a table: status, failure_count, last_success_at. A source without results for 35 days starts anew."""
+    ties = tuple(c for c in ("attempt_id",) if c in results.columns)
+    out = "source string, fetched_at timestamp, status string, failure_count long, last_success_at timestamp"
+    return in_order(results.select("source", "fetched_at", "ok", "item_count", *ties), "source", "fetched_at", late, HealthFold(grace), out, ties)
+
+
+class SessionFold(Fold):
+    def __init__(self, gap_ms: int) -> None:
+        self.gap = gap_ms
+
+    def add(self, state, at, row):
+        state = state or {"start": row["fetched_at"], "last": {}}
+        state["last"][row["source"]] = [row["attempt_id"], row["fetched_at"]]
+        return state | {"at": at}, []
+
+    def ends(self, state):
+        return state["at"] + self.gap
+
+    def close(self, state):
+        return [{"session_start": state["start"], "source": s, "attempt_id": i, "fetched_at": t} for s, (i, t) in state["last"].items()]
+
+
+def stream_sessions(attempts: DataFrame, minutes: int = 30, late: str = "1 hour") -> DataFrame:
+    """fetch_sessions over a stream of (stream, source, attempt_id, fetched_at): attempts no more than `minutes` apart, of whatever sources, are one
+    session, and it gives the last attempt of each source once the watermark has passed its end. State is one row a source of the open session."""
+    rows = attempts.select("stream", "source", "attempt_id", "fetched_at")
+    return in_order(rows, "stream", "fetched_at", late, SessionFold(minutes * 60_000), "stream string, session_start timestamp, source string, attempt_id long, fetched_at timestamp", ("attempt_id",))
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

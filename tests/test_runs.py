@@ -230,30 +230,60 @@ def test_stream_items_dedupe_and_policy(spark, tmp_path):
     assert len(got) == 1 and got[0].url == "https://e.com/1"
     day = lambda i: dt.datetime(2026, 6, 1) + dt.timedelta(days=i)
     m = audit.rolling_source_metrics(runs(spark, *[("low", day(i), 10, 0, 0, 9, False, False) for i in range(6)])).select("source", "generated_at", F.to_json(F.struct("d14", "d30", "p14", "five_failed", "probes_good"), {"ignoreNullFields": "false"}).alias("m"))
+    m = m.unionByName(m.limit(1).withColumn("source", F.lit("z")).withColumn("generated_at", F.lit(day(90))))  # the watermark passes all before it
     m.write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema(m.schema).parquet(str(tmp_path / "m"))
     jobs.run_available(jobs.stream_policy(stream), str(tmp_path / "p"), str(tmp_path / "pck"))
     batch = audit.source_policy(runs(spark, *[("low", day(i), 10, 0, 0, 9, False, False) for i in range(6)]))
-    order = lambda df: [(r.generated_at, r.status) for r in df.orderBy("generated_at").collect()]
-    assert order(spark.read.parquet(str(tmp_path / "p")))[-1][1] == order(batch)[-1][1] == "reduced"
+    order = lambda df: [(r.generated_at, r.status, r.reason) for r in df.orderBy("generated_at").collect()]
+    assert order(spark.read.parquet(str(tmp_path / "p"))) == order(batch) and order(batch)[-1][1] == "reduced"
 
 
 def test_every_query_with_sql_is_registered():
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) >= 60
 
 
-def test_stream_health_equals_the_batch(spark, tmp_path):
+def shuffled_files(spark, rows, kinds, path, jitter=12, each=12):
+    """Rows in files that do not follow their time, and a last row far ahead that lets the watermark pass all others."""
+    rng = random.Random(5)
+    order = sorted(range(len(rows)), key=lambda i: i + rng.uniform(0, jitter))
+    for k in range(0, len(rows), each):
+        spark.createDataFrame([rows[i] for i in order[k : k + each]], kinds).coalesce(1).write.mode("append").parquet(path)
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_stream_health_equals_the_batch_in_any_order(spark, tmp_path):
     rng, at = random.Random(4), dt.datetime(2026, 7, 1)
-    rows = [(i, f"s{i % 3}", at + dt.timedelta(minutes=i), rng.random() < 0.5, rng.choice([0, 0, 3])) for i in range(60)]
-    df = spark.createDataFrame(rows, "attempt_id long, source string, fetched_at timestamp, ok boolean, item_count int")
-    df.where("attempt_id < 30").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = lambda: jobs.stream_health(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2)
-    jobs.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
-    df.where("attempt_id >= 30").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = [(i, f"s{i % 3}", at + dt.timedelta(minutes=i - i % 2), rng.random() < 0.5, rng.choice([0, 0, 3, None])) for i in range(60)]
+    kinds = "attempt_id long, source string, fetched_at timestamp, ok boolean, item_count int"
+    df = shuffled_files(spark, rows, kinds, str(tmp_path / "in"))
+    stream = lambda: jobs.stream_health(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 2)
     jobs.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
     cols = ["source", "fetched_at", "status", "failure_count", "last_success_at"]
+    assert spark.read.parquet(str(tmp_path / "out")).count() < len(rows)  # the last ones wait
+    for k, day in enumerate((3, 60)):
+        spark.createDataFrame([(100 + k, "far", at + dt.timedelta(days=day), True, 1)], kinds).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
+        held = spark.read.format("statestore").load(str(tmp_path / "ck")).count()
+        assert held == (4 if day == 3 else 1)  # sources without results for 35 days are forgotten
     want = audit.source_health(df, 2).select(*cols)
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*cols).collect())) == sorted(map(str, want.collect()))
+    got = spark.read.parquet(str(tmp_path / "out")).where("source <> 'far'").select(*cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_sessions_equal_the_batch_in_any_order(spark, tmp_path):
+    rng, at, minute, rows = random.Random(6), dt.datetime(2026, 7, 1), 0, []
+    for i in range(60):
+        minute += rng.choice([0, 1, 5, 10, 30, 31])
+        rows.append((i, rng.choice("pq"), rng.choice("abc"), at + dt.timedelta(minutes=minute)))
+    kinds = "attempt_id long, stream string, source string, fetched_at timestamp"
+    df = shuffled_files(spark, rows, kinds, str(tmp_path / "in"), jitter=4)
+    spark.createDataFrame([(99, "far", "a", at + dt.timedelta(days=60))], kinds).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.run_available(jobs.stream_sessions(source, 30, "3 hours"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    cols = ["stream", "session_start", "source", "attempt_id", "fetched_at"]
+    want, got = audit.fetch_sessions(df, 30).select(*cols), spark.read.parquet(str(tmp_path / "out")).select(*cols)
+    assert want.count() > 12 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_clusters_of_a_long_chain(spark):
