@@ -48,16 +48,56 @@ def near_rows(group: np.ndarray, x: np.ndarray, window: int, least: float, start
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def enough_passes(most: int, window: int, least: float, recall: float = 0.999, at_most: int = 40) -> int:
-    """Passes that find a pair of cosine `least` with this chance in a label of `most` vectors of random directions: signs of one projection
-    agree with chance 1 - angle / pi, and the pair meets in a window when about log2(most / window) signs agree."""
-    agree = (1 - np.arccos(least) / np.pi) ** max(0.0, np.log2(max(most, 1) / window))
-    return 1 if agree >= recall else int(min(at_most, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
+def enough_passes(most: int, window: int, agree: float, recall: float = 0.999) -> float:
+    """Passes that find a pair with this chance in a label of `most` vectors, if the signs of one projection agree with chance `agree`: the pair
+    meets in a window when about log2(most / window) signs agree."""
+    met = agree ** max(0.0, np.log2(max(most, 1) / window))
+    return 1.0 if met >= recall else float(np.ceil(np.log(1 - recall) / np.log1p(-met)))
 
 
-def pass_edges(classes: DataFrame, number: int, window: int, least: float, bits: int, seed: int) -> DataFrame:
-    """Verified edges (a, b) of one pass, which orders the vectors of a label by the signs of `bits` random projections,
-    most significant first, and compares each with the `window` before it. Sorted range partitions hold the order, so a
+def densities(classes: DataFrame, least: float, window: int, most: int) -> DataFrame:
+    """(label, dim, n, mean, passes, whole), stored: of each label's classes the number and the mean of their unit vectors, the passes that find a pair
+    of cosine `least`, and whether these would be more than `most`.
+
+    Seen from the mean, vectors of mean squared length s2 lie all around, and a pair at cosine `least` is apart by an angle whose cosine is 1 - (1 -
+    least) / s2: the closer the label, the wider the angle, and the more passes. A task gives one sum a label that it meets."""
+
+    def part(batches):
+        sums: dict = {}
+        for b in batches:
+            dims, labels = b.column("dim").to_numpy(), b.column("label").dictionary_encode()
+            index, names = labels.indices.to_numpy(), labels.dictionary.to_pylist()
+            for dim in np.unique(dims):
+                where = np.flatnonzero(dims == dim)
+                x = unit(b.column("vec").take(pa.array(where)).to_pylist(), int(dim))
+                for i in np.unique(index[where]):
+                    mine = x[index[where] == i]
+                    n, total = sums.get((names[i], int(dim)), (0, 0.0))
+                    sums[names[i], int(dim)] = (n + len(mine), total + mine.sum(0))
+            if len(sums) > 10_000:
+                yield rows(sums)
+                sums = {}
+        if sums:
+            yield rows(sums)
+
+    def rows(sums):
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tobytes() for _, t in sums.values()], pa.binary())], ["label", "dim", "n", "sum"])
+
+    def total(t):
+        n = sum(t.column("n").to_pylist())
+        mean = np.sum([np.frombuffer(x) for x in t.column("sum").to_pylist()], axis=0) / n
+        around = max(1e-12, 1.0 - float(mean @ mean))
+        agree = 1 - np.arccos(np.clip(1 - (1 - least) / around, 0.0, 1.0)) / np.pi
+        need = enough_passes(n, window, agree)
+        return pa.table({"label": t.column("label")[:1], "dim": t.column("dim")[:1], "n": pa.array([n], pa.int64()), "mean": pa.array([mean.tobytes()], pa.binary()), "passes": pa.array([int(min(need, most))], pa.int32()), "whole": pa.array([bool(need > most)])})
+
+    found = classes.select("label", "dim", "vec").mapInArrow(part, "label string, dim int, n long, sum binary")
+    return stored(found.groupBy("label", "dim").applyInArrow(total, "label string, dim int, n long, mean binary, passes int, whole boolean"))
+
+
+def pass_edges(classes: DataFrame, known: DataFrame, number: int, window: int, least: float, bits: int, seed: int) -> DataFrame:
+    """Verified edges (a, b) of one pass, which orders the vectors of a label by the signs of `bits` random projections
+    of what they differ from the label's mean, most significant first, and compares each with the `window` before it. Sorted range partitions hold the order, so a
     large label spreads; rows at a partition's ends meet the next partition's in a job of their own. The vectors are shuffled once a pass, and
     a pass's files go before the next one starts."""
 
@@ -71,10 +111,12 @@ def pass_edges(classes: DataFrame, number: int, window: int, least: float, bits:
                 where = np.flatnonzero(dims == dim)
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim), number]).standard_normal((dim, bits))
-                codes[where] = (unit(b.column("vec").take(pa.array(where)).to_pylist(), int(dim)) @ planes[dim] >= 0) @ weights
+                mean = np.frombuffer(b"".join(b.column("mean").take(pa.array(where)).to_pylist())).reshape(-1, int(dim))
+                codes[where] = ((unit(b.column("vec").take(pa.array(where)).to_pylist(), int(dim)) - mean) @ planes[dim] >= 0) @ weights
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), b.column("dim"), b.column("vec"), pa.array(codes)], ["rep", "label", "dim", "vec", "code"])
 
-    rows = map_arrow(classes.select("rep", "label", "dim", "vec"), coded, "rep long, label string, dim int, vec binary, code long")
+    going = known.where(~F.col("whole") & (F.col("passes") > number)).select("label", "dim", "mean")
+    rows = map_arrow(classes.join(going, ["label", "dim"]).select("rep", "label", "dim", "vec", "mean"), coded, "rep long, label string, dim int, vec binary, code long")
 
     def scan(batches):
         import pyspark
@@ -128,36 +170,20 @@ def pass_edges(classes: DataFrame, number: int, window: int, least: float, bits:
     return out
 
 
-def counted(members: DataFrame, least: float, block: int = 128, most_blocks: int = 24) -> DataFrame:
-    """(rep, links, root): in each component all pairs are compared, in pairs of blocks of bounded size, so that links outside
-    every window count too. members: (rep, comp, label, dim, copies, vec)."""
+def in_blocks(members: DataFrame, columns: list[str], done, schema: str, block: int = 128, most_blocks: int = 24) -> DataFrame:
+    """`done` of each pair of blocks of a component's members (comp, rep, ...), as tables with `side` (0 or 1) and whether the two blocks differ. So
+    all pairs of a component are met, in tasks of bounded size."""
     per = members.groupBy("comp").agg(F.count("*").alias("c"))
     k = F.greatest(F.least(F.ceil(F.col("c") / block), F.lit(most_blocks)), F.ceil(F.col("c") / 8192)).cast("int")
     rows = members.join(per.where(F.col("c") > block).select("comp", k.alias("k")), "comp", "left").withColumn("b", F.pmod(F.xxhash64("rep"), F.coalesce("k", F.lit(1))).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), lambda y: F.struct(F.least("b", y).alias("x"), F.greatest("b", y).alias("y"), (F.col("b") > y).cast("int").alias("side")))
-    rows = rows.withColumn("e", F.explode(pairs)).select("comp", "e.x", "e.y", "e.side", "rep", "label", "dim", "copies", "vec")
+    rows = rows.withColumn("e", F.explode(pairs)).select("comp", "e.x", "e.y", "e.side", *columns)
     rows = rows.withColumn("h", F.xxhash64("comp", "x", "y"))
 
     def compare(batches):
-        def done(parts):
+        def whole(parts):
             t = pa.Table.from_batches(parts)
-            dim = int(t.column("dim")[0].as_py())  # edges join vectors of one label and dimension only
-            x, side = unit(t.column("vec").to_pylist(), dim), t.column("side").to_numpy()
-            rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-            cross = t.column("x")[0].as_py() != t.column("y")[0].as_py()
-            one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(x)),) * 2
-            near = np.zeros((0, 0), bool)
-            links = np.zeros(len(x), np.int64)
-            for at in range(0, len(one), 512):
-                some = one[at : at + 512]
-                near = x[some] @ x[two].T >= least
-                if not cross:
-                    near[np.arange(len(some)), some] = False
-                links[some] += near @ copies[two]
-                if cross:
-                    links[two] += copies[some] @ near
-            keep = links > 0
-            return pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(links[keep])], ["rep", "links"])
+            return done(t, t.column("x")[0].as_py() != t.column("y")[0].as_py())
 
         held, last = [], None
         for b in batches:
@@ -165,39 +191,94 @@ def counted(members: DataFrame, least: float, block: int = 128, most_blocks: int
             cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]).tolist() if len(h) else []
             for a, e in zip(cuts, [*cuts[1:], len(h)], strict=True):
                 if h[a] != last and held:
-                    yield done(held)
+                    yield whole(held)
                     held = []
                 last = h[a]
                 held.append(b.slice(a, e - a))
         if held:
-            yield done(held)
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-
-
-def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int | None = None, window: int = 64, bits: int = 62, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+            yield whole(held)
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, schema)
+
+
+def near_blocks(t: pa.Table, cross: bool, least: float):
+    """(rows, other rows, which are near) of a pair of blocks, 512 rows at a time; a row is not near itself."""
+    dim = int(t.column("dim")[0].as_py())  # one label and dimension
+    x, side = unit(t.column("vec").to_pylist(), dim), t.column("side").to_numpy()
+    one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(x)),) * 2
+    for at in range(0, len(one), 512):
+        some = one[at : at + 512]
+        near = x[some] @ x[two].T >= least
+        if not cross:
+            near[np.arange(len(some)), some] = False
+        yield some, two, near
+
+
+def counted(members: DataFrame, least: float) -> DataFrame:
+    """(rep, links): in each component all pairs are compared, so that links outside every window count too. members: (rep, comp, label, dim,
+    copies, vec)."""
+
+    def done(t, cross):
+        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        links = np.zeros(len(rep), np.int64)
+        for some, two, near in near_blocks(t, cross, least):
+            links[some] += near @ copies[two]
+            if cross:
+                links[two] += copies[some] @ near
+        keep = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(links[keep])], ["rep", "links"])
+
+    found = in_blocks(members, ["rep", "label", "dim", "copies", "vec"], done, "rep long, links long")
+    return found.groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def whole_edges(classes: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that join all linked vectors of the labels marked `whole`: all their pairs are compared in blocks, and each pair of blocks gives
+    one edge a vector at most."""
+    marked = known.where("whole").select("label", "dim")
+    some = classes.join(marked, ["label", "dim"])
+    firsts = some.groupBy("label", "dim").agg(F.min("rep").alias("comp"))
+
+    def done(t, cross):
+        rep, root = t.column("rep").to_numpy(), np.arange(t.num_rows)
+        for rows, two, near in near_blocks(t, cross, least):
+            for i, hits in zip(rows, near, strict=True):
+                if hits.any():
+                    tops = np.unique(np.append(root[two[hits]], root[i]))
+                    if len(tops) > 1:
+                        root[np.isin(root, tops)] = tops[0]
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(rep[root[far]]), pa.array(rep[far])], ["a", "b"])
+
+    return stored(in_blocks(some.join(firsts, ["label", "dim"]), ["rep", "label", "dim", "vec"], done, "a long, b long", block=2048))
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int = 40, window: int = 64, bits: int = 62, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal label whose cosine in double precision is `least` or more.
 
-    Equal vectors of a label become one class first. Each of `passes` passes (their number follows from the largest label if not given, see
-    enough_passes) sorts the classes of a label by the concatenated signs of `bits` random projections and compares each with its `window`
+    Equal vectors of a label become one class first. Sorted passes, as many as a label's size and density ask for (see densities), order the
+    classes of a label by the concatenated signs of `bits` random projections from its mean and compare each with its `window`
     neighbours; verified pairs of all passes are joined into components, in which all pairs are then counted in blocks. A pair is missed
-    only if no chain of window neighbours joins it in any pass; more passes or wider windows lower that chance, and labels whose vectors
-    all lie close together raise it. A label of at most `window` vectors is compared whole.
+    only if no chain of window neighbours joins it in any pass, with a chance of about 0.001. A label so dense that it would take more than `passes`
+    passes is compared whole, in blocks, which is exact and costs its square in CPU. A label of at most `window` vectors is compared whole anyhow.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or whose label is null, link with nothing, as do
-    vectors of different lengths. Repeated rows are copies of each other; an empty table gives no rows; other columns
+    vectors of different lengths. Repeated rows are copies of each other; ties do not matter; an empty table gives no rows; other columns
     are not read. Returns vec_id, n_links, component_id (least id reachable), kept."""
     every = prepared(vectors, id_col, vector_col, label_col).withColumn("h", F.md5("vec"))
     rows = stored(every.drop("vec"))
     classes = stored(every.where("vec is not null").groupBy("label", "dim", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
-    if passes is None:
-        passes = enough_passes(classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, window, least)
-    edges = [pass_edges(classes, i, window, least, bits, seed) for i in range(passes)]
+    table_ = densities(classes, least, window, passes)
+    known = F.broadcast(table_) if table_.count() <= 20_000 else table_
+    most, dense = table_.agg(F.max(F.when(~F.col("whole"), F.col("passes"))), F.bool_or("whole")).first()
+    edges = [pass_edges(classes, known, i, window, least, bits, seed) for i in range(most or (0 if dense else 1))]
+    if dense:
+        edges.append(whole_edges(classes, known, least))
     found = edges[0]
     for e in edges[1:]:
         found = found.unionByName(e)
     comps = components(found)
-    dropped(*edges)
+    dropped(*edges, table_)
     members = stored(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(classes, "rep"))
     links = counted(members, least)
     known = classes.select("label", "dim", "h", "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
