@@ -145,15 +145,30 @@ def duplicate_groups(items: DataFrame, threshold: float = 0.82, mode: str = "com
     return duplicate_components(items, threshold).withColumnRenamed("component", "group")
 
 
-def dedupe_items(items: DataFrame, threshold: float = 0.82, mode: str = "components") -> DataFrame:
-    """The best item of each group (credibility, then time, then input order), with duplicates (the others, but those of its own id) and
-    duplicate_count."""
-    groups = duplicate_groups(items, threshold, mode)
-    df = items.join(groups, ["run_id", "ord"])
+def ranked_groups(items: DataFrame, threshold: float, mode: str) -> DataFrame:
+    """`items` with group and __r, their place in it: credibility, then time, then input order."""
     best = W.partitionBy("run_id", "group").orderBy(F.desc(F.coalesce("credibility", F.lit(0.0))), F.desc_nulls_last("published_at"), "ord")
-    df = df.withColumn("__r", F.row_number().over(best))
+    return items.join(duplicate_groups(items, threshold, mode), ["run_id", "ord"]).withColumn("__r", F.row_number().over(best))
+
+
+def duplicate_rows(items: DataFrame, threshold: float = 0.82, mode: str = "components") -> DataFrame:
+    """(run_id, best_ord, ord, id, title, url, source, published_at): a row for each item that another stands for, but those of its own id. The
+    same as `duplicates` of dedupe_items, without an array a group."""
+    df = stored(ranked_groups(items, threshold, mode))
+    heads = df.where("__r = 1").select("run_id", "group", F.col("ord").alias("best_ord"), F.col("id").alias("__best"))
+    rest = df.where("__r > 1").join(heads, ["run_id", "group"]).where("id <> __best")
+    return rest.select("run_id", "best_ord", "ord", "id", "title", "url", "source", "published_at")
+
+
+def dedupe_items(items: DataFrame, threshold: float = 0.82, mode: str = "components", arrays: bool = True) -> DataFrame:
+    """The best item of each group (credibility, then time, then input order), with duplicate_count and, if `arrays`, duplicates (the others, but
+    those of its own id). A group's array is one value of one row: where groups may be huge, leave it out and take duplicate_rows."""
+    df = ranked_groups(items, threshold, mode)
     heads = df.where("__r = 1").drop("__r")
     rest = df.where("__r > 1").join(heads.select("run_id", "group", F.col("id").alias("__best")), ["run_id", "group"]).where("id <> __best")
+    if not arrays:
+        counts = rest.groupBy("run_id", "group").agg(F.count("*").cast("int").alias("duplicate_count"))
+        return heads.join(counts, ["run_id", "group"], "left").withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(0))).drop("group")
     lists = rest.groupBy("run_id", "group").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct("id", "title", "url", "source", "published_at").alias("d")))).alias("l"))
     none = F.array().cast("array<struct<id:string,title:string,url:string,source:string,published_at:timestamp>>")
     out = heads.join(lists, ["run_id", "group"], "left").withColumn("duplicates", F.coalesce(F.transform("l", lambda x: x["d"]), none))

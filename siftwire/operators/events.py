@@ -42,12 +42,12 @@ def event_sources(members: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "event_id", "url").agg(F.min("__r").alias("o"), F.max_by("n", "__r").alias("name"))
 
 
-def daily_events(items: DataFrame, limit: int = 5) -> DataFrame:
+def daily_events(items: DataFrame, limit: int = 5, arrays: bool = True) -> DataFrame:
     """The 3 to 5 most important events of each run: items of a key, ranked.
 
     Facts (6), watch variables (6) and entities (8) come from the members in rank order. related_item_ids and supporting_sources are whole:
-    only members of the chosen events are gathered, and event_members and event_sources give the same as rows. source_count is
-    exact: one count a distinct address."""
+    only members of the chosen events are gathered, and event_members and event_sources give the same as rows. Each is one value of one row:
+    where events may be huge, leave them out (`arrays`) and take these. source_count is exact: one count a distinct address."""
     keys = ["run_id", "event_id"]
     have = lambda c, k="string": T.column_or(items, c, None, k)
     facts_given = F.coalesce(have("confirmed_facts", NONE), F.array().cast(NONE))
@@ -75,12 +75,15 @@ def daily_events(items: DataFrame, limit: int = 5) -> DataFrame:
 
     sources = src.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "url", "name"))), lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url"))).alias("sources"))
     ids = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "id"))), lambda x: x["id"]).alias("related_item_ids"))
-    for part in (firsts("__f", 6, "confirmed_facts"), firsts("__e", 8, "entities"), firsts("__w", 6, "watch_variables"), sources, ids):
+    if not arrays:
+        named = F.struct(F.col("name"), F.col("url"))
+        sources = src.groupBy(*keys).agg(F.array(F.min_by(named, F.struct("o", "url"))).alias("sources"))
+    for part in (firsts("__f", 6, "confirmed_facts"), firsts("__e", 8, "entities"), firsts("__w", 6, "watch_variables"), sources, *([ids] if arrays else [])):
         out = out.join(part, keys, "left")
     gaps = F.array_compact(F.array(F.when(F.col("source_count") < 2, "single-source"), F.when(F.col("metadata_only"), "metadata-only")))
     every = F.coalesce("sources", F.array().cast("array<struct<name:string,url:string>>"))
     out = out.withColumns({"summary": F.coalesce(F.get("confirmed_facts", F.lit(0)), F.lit("")), "evidence_gaps": gaps, "primary_source": F.get("sources", F.lit(0)), "supporting_sources": F.slice(every, 2, F.greatest(F.size(every), F.lit(1)))})
-    names = [c for c in out.columns if c not in ("sources", "metadata_only", "rank")]
+    names = [c for c in out.columns if c not in ("sources", "metadata_only", "rank", *(() if arrays else ("supporting_sources",)))]
     return out.select(*names, "rank")
 
 
@@ -161,9 +164,9 @@ def channel_coverage(feed: DataFrame) -> DataFrame:
     return agg.join(top, ["run_id", "display_channel"]).withColumn("flags", flags)
 
 
-def event_candidates(items: DataFrame, least: float = 85, limit: int = 12) -> DataFrame:
+def event_candidates(items: DataFrame, least: float = 85, limit: int = 12, arrays: bool = True) -> DataFrame:
     """The first `limit` events of each run in the order of their best items: timelines, and single items of importance `least` or more
-    (else of that score), with the ids of all their items, priority (high from 90) and status."""
+    (else of that score), with the ids of all their items (their number, without `arrays`), priority (high from 90) and status."""
     timeline = T.column_or(items, "timeline_event_id", None, "string")
     weight = F.coalesce(F.when(T.column_or(items, "importance_score", None, "double") != 0, T.column_or(items, "importance_score", None, "double")), F.col("score"), F.lit(0.0))
     df = items.withColumn("__w", weight).withColumn("__k", F.coalesce(timeline, F.when(F.col("__w") >= least, F.concat(F.lit("candidate-"), "id")))).withColumn("__line", timeline.isNotNull()).where("__k is not null")
@@ -172,7 +175,8 @@ def event_candidates(items: DataFrame, least: float = 85, limit: int = 12) -> Da
     first = df.where("__r = 1").withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy(*ranking()))).where(F.col("rank") <= limit)
     first = stored(first.select("run_id", F.col("__k").alias("event_key"), F.col("id").alias("lead_id"), "category", F.when(F.col("__w") >= 90, "high").otherwise("medium").alias("priority"), F.when(F.col("__line"), "linked").otherwise("to-confirm").alias("status"), "rank"))
     ids = df.withColumnRenamed("__k", "event_key").join(first.select("run_id", "event_key"), ["run_id", "event_key"], "left_semi")
-    ids = ids.groupBy("run_id", "event_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "id"))), lambda x: x["id"]).alias("related_item_ids"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__r", "id"))), lambda x: x["id"]).alias("related_item_ids")
+    ids = ids.groupBy("run_id", "event_key").agg(listed if arrays else F.count("*").alias("related_items"))
     return first.join(ids, ["run_id", "event_key"])
 
 

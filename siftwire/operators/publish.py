@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from . import scan
 
 NONE = "array<string>"
 
@@ -71,10 +72,12 @@ def channel_feed(published: DataFrame, limits: dict[str, int] | None = None, def
 
 
 def latest_or_previous(runs: DataFrame, feed: DataFrame) -> DataFrame:
-    """(run_id, from_run): the run whose feed stands at each run: its own, or the last one before it that was not empty."""
+    """(run_id, from_run): the run whose feed stands at each run: its own, or the last one before it that was not empty. Runs are scanned in
+    chunks (see scan)."""
     filled = feed.select("run_id").distinct().withColumn("filled", F.col("run_id"))
-    w = W.orderBy("run_id").rowsBetween(W.unboundedPreceding, 0)
-    return runs.select("run_id").distinct().join(filled, "run_id", "left").select("run_id", F.last("filled", ignorenulls=True).over(w).alias("from_run"))
+    every = runs.select("run_id").distinct().join(filled, "run_id", "left").withColumn("all", F.lit(0))
+    found = scan.last_values(scan.chunked(every, ["all"], ["run_id"]), ["all"], ["run_id"], {"from_run": F.col("filled")})
+    return found.select("run_id", "from_run")
 
 
 def archive_items(feed: DataFrame, limit: int = 20) -> DataFrame:

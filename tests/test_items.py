@@ -251,6 +251,8 @@ def test_daily_events_keep_all_members_and_sources(spark):
     df = frame(spark, *({"id": f"i{i:03}", "url": f"https://a/{i:03}"} for i in range(450)))
     df = df.withColumn("event_cluster_key", F.lit("k")).withColumn("score", F.lit(900.0) - F.col("ord"))
     (a,) = events.daily_events(df).collect()
+    (b,) = events.daily_events(df, arrays=False).collect()
+    assert b.primary_source == a.primary_source and b.source_count == a.source_count and "related_item_ids" not in b and "supporting_sources" not in b
     assert a.related_item_ids == [f"i{i:03}" for i in range(450)] and a.source_count == 450
     assert [a.primary_source.url, *[x.url for x in a.supporting_sources]] == [f"https://a/{i:03}" for i in range(450)]
     members = events.event_members(df)

@@ -35,6 +35,8 @@ def test_dedupe_keeps_the_better_and_lists_the_other(spark):
     df = items(spark, [row(0, "Fed cuts rate again", "https://e.com/x?utm_source=a"), row(1, "Something else entirely", "https://e.com/x", 90.0), row(2, "Unrelated tax law vote", cred=50.0), row(3, "", "https://e.com/y"), row(4, "", "https://e.com/z")])
     out = {r.id: r for r in dedupe.dedupe_items(df).collect()}
     assert set(out) == {"i1", "i2", "i3", "i4"} and [d.id for d in out["i1"].duplicates] == ["i0"] and out["i1"].duplicate_count == 1
+    assert {r.id: r.duplicate_count for r in dedupe.dedupe_items(df, arrays=False).collect()} == {k: r.duplicate_count for k, r in out.items()}
+    assert [(r.id, r.best_ord) for r in dedupe.duplicate_rows(df).collect()] == [("i0", out["i1"].ord)]
 
 
 def test_pairs_components_and_first_fit_equal_brute_force(spark):
