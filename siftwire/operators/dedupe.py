@@ -13,22 +13,25 @@ from .matching import block_join
 from .storage import deleted, stored
 
 
-def token_pairs(df: DataFrame, keys: list[str], node: str, tokens: str, threshold: float) -> DataFrame:
-    """Pairs (keys, a, b), a < b, of rows whose token sets have Jaccard similarity of `threshold` or more. Exact.
+def token_pairs(df: DataFrame, keys: list[str], node: str, tokens: str, threshold: float, fresh: str | None = None) -> DataFrame:
+    """Pairs (keys, a, b), a < b, of rows whose token sets have Jaccard similarity of `threshold` or more. Exact. With `fresh`, a boolean column,
+    only pairs with a fresh row: the others are not met.
 
     Tokens are ordered by how many rows have them, rarest first; two such sets share a token within their first
     n - ceil(t n) + 1 (the prefix filter). Rows with equal sets must have been joined into one before, so frequent titles do not
     meet themselves; sizes must fit before the sets are compared. Tokens that very many rows have are joined in blocks (block_join)."""
-    base = df.select(*keys, F.col(node).alias("n"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
-    ranked = base.select(*keys, "n", F.explode("t").alias("w"))
+    new = F.col(fresh) if fresh else F.lit(True)
+    base = df.select(*keys, F.col(node).alias("n"), F.array_distinct(tokens).alias("t"), new.alias("fresh")).where(F.size("t") > 0)
+    ranked = base.select(*keys, "n", "fresh", F.explode("t").alias("w"))
     df_counts = ranked.groupBy(*keys, "w").count()
-    order = ranked.join(df_counts, [*keys, "w"]).groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("s"))
+    order = ranked.join(df_counts, [*keys, "w"]).groupBy(*keys, "n", "fresh").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("s"))
     size = F.size("s")
-    order = stored(order.select(*keys, "n", F.transform("s", lambda x: x["w"]).alias("t"), size.alias("size"), (size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1).cast("int").alias("prefix")))
-    heads = order.select(*keys, "n", "size", F.explode(F.slice("t", 1, F.greatest("prefix", F.lit(1)))).alias("w"))
-    other = heads.select(*keys, "w", F.col("n").alias("m"), F.col("size").alias("size2"))
-    fits = (F.col("n") < F.col("m")) & (F.col("size") >= F.lit(threshold) * F.col("size2") - F.lit(1e-9)) & (F.col("size2") >= F.lit(threshold) * F.col("size") - F.lit(1e-9))
-    pairs = block_join(heads, other, [*keys, "w"]).where(fits).select(*keys, "n", "m").distinct()
+    order = stored(order.select(*keys, "n", "fresh", F.transform("s", lambda x: x["w"]).alias("t"), size.alias("size"), (size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1).cast("int").alias("prefix")))
+    heads = order.select(*keys, "n", "fresh", "size", F.explode(F.slice("t", 1, F.greatest("prefix", F.lit(1)))).alias("w"))
+    other = heads.select(*keys, "w", F.col("n").alias("m"), F.col("fresh").alias("fresh2"), F.col("size").alias("size2"))
+    fits = ((F.col("n") < F.col("m")) | (~F.col("fresh2") & (F.col("n") != F.col("m")))) & (F.col("size") >= F.lit(threshold) * F.col("size2") - F.lit(1e-9)) & (F.col("size2") >= F.lit(threshold) * F.col("size") - F.lit(1e-9))
+    found = block_join(heads.where("fresh"), other, [*keys, "w"]).where(fits)
+    pairs = found.select(*keys, F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()
     left = order.select(*keys, "n", F.col("t").alias("ta"))
     right = order.select(*keys, F.col("n").alias("m"), F.col("t").alias("tb"))
     both = pairs.join(left, [*keys, "n"]).join(right, [*keys, "m"])
@@ -113,26 +116,36 @@ def chain(rows: DataFrame, keys: list[str], side: str | None = None) -> DataFram
     return got.select(*keys, F.col("__last.ord").alias("a"), F.col("ord").alias("b"))
 
 
-def first_fit(items: DataFrame, threshold: float) -> DataFrame:
-    """(run_id, ord, group): in input order each item joins the earliest group with a member of its address or of a like title, else it
-    opens one; group is the group's first item.
+def fit(t: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """(keys, ord, group) of the rows of `t` (keys, ord, u, tokens, group; stored) whose group is null: in order each joins the earliest group
+    with a member of its address u or of alike tokens, else it opens one; group is the group's first row. Rows with a group keep it.
 
-    The earliest such group is the least among those of the earlier items it is like, so a group is the least item that can be reached by
-    steps to earlier like items (least_before). Items of one address, or of one token set, form chains; where two token sets are alike, the
-    items of both in order need an edge only where they change from one set to the other, as the chains lead on from there."""
-    keys = ["run_id"]
-    t = stored(items.select(*keys, "ord", T.canonical_url(F.col("url")).alias("u"), F.sort_array(T.title_tokens(F.col("title"))).alias("tokens")))
+    The earliest such group is the least among those of the earlier rows it is like, so a group is the least row that can be reached by
+    steps to earlier like rows (least_before). Rows of one address, or of one token set, form chains; where two token sets are alike, the
+    rows of both in order need an edge only where they change from one set to the other, as the chains lead on from there."""
     urls = chain(t.where("u <> ''").select(*keys, "u", "ord"), [*keys, "u"]).select(*keys, "a", "b")
     full = t.where(F.size("tokens") > 0)
-    firsts = stored(full.groupBy(*keys, "tokens").agg(F.min("ord").alias("c")))
+    firsts = stored(full.groupBy(*keys, "tokens").agg(F.min("ord").alias("c"), F.bool_or(F.col("group").isNull()).alias("fresh")))
     members = stored(full.join(firsts, [*keys, "tokens"]).select(*keys, "c", "ord"))
     same = chain(members, [*keys, "c"]).select(*keys, "a", "b")
-    like = stored(token_pairs(firsts, keys, "c", "tokens", threshold).withColumnsRenamed({"a": "p", "b": "q"}))
+    like = stored(token_pairs(firsts, keys, "c", "tokens", threshold, "fresh").withColumnsRenamed({"a": "p", "b": "q"}))
     sides = [like.select(*keys, "p", "q", F.col(c).alias("c"), F.lit(c == "q").alias("side")) for c in ("p", "q")]
     mixed = block_join(sides[0].unionByName(sides[1]), members, [*keys, "c"]).select(*keys, "p", "q", "side", "ord")
     across = chain(mixed, [*keys, "p", "q"], "side").select(*keys, "a", "b")
-    found = least_before(urls.unionByName(same).unionByName(across), keys).withColumnsRenamed({"node": "ord", "least": "group"})
-    return t.select(*keys, "ord").join(found, [*keys, "ord"], "left").select(*keys, "ord", F.coalesce("group", "ord").alias("group"))
+    edges = urls.unionByName(same).unionByName(across)
+    # What a settled row reaches is its group.
+    edges = edges.join(t.where("group is null").select(*keys, F.col("ord").alias("b")), [*keys, "b"], "left_semi")
+    edges = edges.join(t.where("group is not null").select(*keys, F.col("ord").alias("a"), "group"), [*keys, "a"], "left").select(*keys, F.coalesce("group", "a").alias("a"), "b")
+    found = least_before(edges, keys).withColumnsRenamed({"node": "ord", "least": "__least"})
+    return t.where("group is null").select(*keys, "ord").join(found, [*keys, "ord"], "left").select(*keys, "ord", F.coalesce("__least", "ord").alias("group"))
+
+
+def first_fit(items: DataFrame, threshold: float) -> DataFrame:
+    """(run_id, ord, group): in input order each item joins the earliest group with a member of its address or of a like title, else it
+    opens one. See fit."""
+    none = F.lit(None).cast(items.schema["ord"].dataType)
+    t = items.select("run_id", "ord", T.canonical_url(F.col("url")).alias("u"), F.sort_array(T.title_tokens(F.col("title"))).alias("tokens"), none.alias("group"))
+    return fit(stored(t), threshold, ["run_id"])
 
 
 def duplicate_groups(items: DataFrame, threshold: float = 0.82, mode: str = "components") -> DataFrame:

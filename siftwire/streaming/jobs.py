@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.audit import next_status
+from ..operators.dedupe import fit
+from ..operators.storage import stored
 from ..sources.records import RECORD, explode_records
 
 
@@ -29,6 +31,29 @@ def stream_dedupe(items: DataFrame, *keys: str) -> DataFrame:
     return items.dropDuplicatesWithinWatermark(list(keys or ("url",)))
 
 
+def stream_similar(items: DataFrame, index: str, checkpoint: str, threshold: float = 0.82, days: int = 7) -> None:
+    """Takes what has landed of (ord, url, title, published_at) and gives each item its group among those of the last `days` days: that of the
+    earliest group with a member of its address or of a like title, as first_fit gives it over a table. ord grows as items land.
+
+    The index at `index` holds address, tokens and group of each item, by batch and day. A micro-batch reads the days it needs and is joined with
+    them on its own rarest tokens; groups that are there stay. A batch that runs again replaces its own part."""
+    spark = items.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select(F.lit(0).alias("run_id"), "ord", T.canonical_url(F.col("url")).alias("u"), F.sort_array(T.title_tokens(F.col("title"))).alias("tokens"), F.to_date("published_at").alias("day"))
+        new = stored(new)
+        low = new.agg(F.min("day")).first()[0]
+        kinds = f"run_id int, ord {dict(new.dtypes)['ord']}, u string, tokens array<string>, group {dict(new.dtypes)['ord']}, batch long, day date"
+        old = spark.createDataFrame([], kinds)
+        if number and low is not None:
+            old = spark.read.schema(kinds).option("basePath", index).parquet(index).where((F.col("batch") < number) & (F.col("day") >= F.date_sub(F.lit(low), days)))
+        both = old.select("run_id", "ord", "u", "tokens", "group").unionByName(new.drop("day").withColumn("group", F.lit(None).cast(dict(new.dtypes)["ord"])))
+        groups = fit(stored(both), threshold, ["run_id"])
+        new.join(groups, ["run_id", "ord"]).write.mode("overwrite").partitionBy("day").parquet(f"{index}/batch={number}")
+
+    items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def daily_counts(items: DataFrame, late: str = "48 hours") -> DataFrame:
     return items.withWatermark("published_at", late).groupBy(F.window("published_at", "1 day").alias("day"), "source").agg(F.count("*").alias("items"))
 

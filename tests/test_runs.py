@@ -397,3 +397,15 @@ def test_first_fit_with_copies_addresses_and_bridges_equals_brute_force(spark):
                 g.append((i, url, s))
         groups |= {m[0]: g[0][0] for g in made for m in g}
     assert {r.ord: r.group for r in dedupe.duplicate_groups(df, t, "first_fit").collect()} == groups
+
+
+def test_stream_similarity_gives_the_groups_of_one_batch(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, f"https://a/{rng.randint(0, 40)}" if rng.random() < 0.2 else "", " ".join(rng.sample(WORDS, rng.randint(2, 4))), dt.datetime(2026, 7, 1 + i // 30)) for i in range(90)]
+    kinds = "ord long, url string, title string, published_at timestamp"
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_similar(spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "ck"), 0.5)
+    got = {r.ord: r.group for r in spark.read.parquet(str(tmp_path / "index")).collect()}
+    want = dedupe.first_fit(spark.createDataFrame(rows, kinds).withColumn("run_id", F.lit(0)), 0.5)
+    assert got == {r.ord: r.group for r in want.collect()} and len(set(got.values())) < 60
