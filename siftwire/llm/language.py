@@ -109,9 +109,8 @@ class Guesser:
 
     def guess(self, text: str | None) -> tuple[str, float]:
         words = self.find(text.lower()) if text else ()
-        if not words:
-            return "und", 0.0
-        if not self.langs:
+        # Signs such as ½ or ² are taken for word characters, but are no letters.
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         if len(self.at) > self.keep:
             self.at.clear()
