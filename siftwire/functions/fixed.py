@@ -153,7 +153,7 @@ CLICKBAIT = r"震惊|爆炸|史诗级|重磅突发|必看|狂飙|!{2,}|？{2,}|\
 # Search aliases.
 TERM_ALIASES = {
     "ai": ("人工智能", "大模型", "生成式ai", "artificial intelligence"),
-    "人工智能": ("ai", "大模型", "artificial intelligence", "openai", "nvidia", "nvda", "google", "microsoft"),
+    "人工智能": ("ai", "大模型", "artificial intelligence"),
     "芯片": ("chip", "semiconductor", "gpu", "半导体"),
     "半导体": ("chip", "semiconductor", "芯片"),
     "金融": ("finance", "market", "市场", "监管"),
@@ -162,6 +162,10 @@ TERM_ALIASES = {
     "国际": ("global", "world", "international", "外交", "地缘", "制裁"),
     "政策": ("policy", "regulation", "监管"),
     "监管": ("regulation", "policy", "sec", "csrc", "证监会"),
+}
+
+# Further search aliases.
+DECISION_TERM_ALIASES = {
     "spacex": ("space x", "starship", "starlink", "tsla", "tesla", "elon musk", "musk", "nasa", "faa", "fcc", "马斯克", "特斯拉"),
     "马斯克": ("elon musk", "musk", "spacex", "starship", "starlink", "tsla", "tesla", "nasa", "faa", "fcc"),
     "musk": ("elon musk", "spacex", "starship", "starlink", "tsla", "tesla"),
@@ -171,6 +175,7 @@ TERM_ALIASES = {
     "nvda": ("nvidia", "英伟达", "gpu", "chip", "semiconductor", "smh"),
     "英伟达": ("nvidia", "nvda", "gpu", "chip", "semiconductor", "smh"),
     "openai": ("ai", "artificial intelligence", "microsoft", "msft", "人工智能", "大模型"),
+    "人工智能": ("ai", "artificial intelligence", "openai", "nvidia", "nvda", "google", "microsoft"),
     "国务院": ("中国政府网", "政策", "落地"),
     "证监会": ("csrc", "sec", "监管", "美股", "中国政策"),
     "人民银行": ("pbc", "central bank", "央行", "政策", "利率"),
@@ -181,6 +186,9 @@ TERM_ALIASES = {
 }
 AUTHORITATIVE = ("official-agency", "official-market", "official-media", "financial-media")
 
+# A day named in a watch row.
+DATED = r"\d{4}[-年/]\d{1,2}|\d{1,2}月\d{1,2}日|明日|下周[一二三四五六日]"
+
 # Weekly data labels.
 SIGNAL_LEVELS = ("strong", "medium", "weak", "unconfirmed")
 

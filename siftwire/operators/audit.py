@@ -134,7 +134,7 @@ def next_status(status: str, m: dict) -> tuple[str, str]:
 
 def source_policy(runs: DataFrame) -> DataFrame:
     """(source, generated_at, status, reason) at each run: a fold over a source's runs in time order, of metrics that windows have made.
-    Groups are one source's runs of at most 35 days' history, a few columns wide."""
+    A group is one source's runs, two columns wide: a few runs a day."""
     m = rolling_source_metrics(runs).select("source", "generated_at", F.to_json(F.struct("d14", "d30", "p14", "five_failed", "probes_good"), {"ignoreNullFields": "false"}).alias("m"))
 
     def fold(pdf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..functions import text as T
@@ -189,8 +190,8 @@ def event_brief_inputs(items: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def theme_first_events(events: DataFrame, themes: list[list[str]], limit: int = 5) -> DataFrame:
-    """The best event of each theme in turn (each event once), then the best of the rest. Only each run's best 200 events, and those that
-    hold a theme's words, are looked at in turn: one pass a theme over a bounded set."""
+    """The best event of each theme in turn (each event once), then the best of the rest: one pass a theme over all events, which are a few rows
+    a run and day."""
     order = [F.desc("importance_score"), F.asc("event_id")]
     text = F.lower(F.concat_ws(" ", "event_id", "title", "summary", F.array_join(F.coalesce("entities", F.array().cast(NONE)), " ")))
     df = events.withColumn("__t", text)
@@ -210,7 +211,8 @@ def theme_first_events(events: DataFrame, themes: list[list[str]], limit: int =
 
 def daily_brief_rows(events: DataFrame) -> DataFrame:
     """Each run's five lead events with their place, the categories they cover (3 at most), their distinct primary sources, complete rows
-    of key data (8 at most) and watch rows (8 at most), in the events' order."""
+    of key data (8 at most), watch rows (8 at most) and those of these that name a day (4 at most), in the events' order. watch_variables are
+    texts, or structs with variable and perhaps time_window, in which a day counts too."""
     place = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc(F.coalesce("importance_score", F.lit(0.0))), "event_id"))
     top = stored(events.withColumn("brief_rank", place).where("brief_rank <= 5"))
 
@@ -228,6 +230,13 @@ def daily_brief_rows(events: DataFrame) -> DataFrame:
         full = F.forall(F.array(*[T.text_or_empty(F.col(f"d.{c}")) for c in ("metric", "value", "comparison", "meaning")]), lambda x: T.trim_ws(x) != "")
         out = out.join(firsts(d.where(full).select("run_id", order("p"), "d"), "d", 8, "brief_key_data"), "run_id", "left")
     if "watch_variables" in events.columns:
-        w = top.select("run_id", "brief_rank", F.posexplode("watch_variables").alias("p", "w")).select("run_id", order("p"), T.clean_text(F.col("w")).alias("w")).where("w <> ''")
-        out = out.join(firsts(w, "w", 8, "watch_rows"), "run_id", "left")
+        kind = events.schema["watch_variables"].dataType.elementType
+        named = F.col("w.variable") if isinstance(kind, StructType) else F.col("w")
+        window = F.col("w.time_window") if isinstance(kind, StructType) and "time_window" in kind.names else F.lit("")
+        w = top.select("run_id", "brief_rank", F.posexplode("watch_variables").alias("p", "w"))
+        row = F.struct(T.clean_text(named).alias("variable"), T.clean_text(F.concat_ws(" ", window, named)).rlike(fixed.DATED).alias("dated"))
+        w = w.select("run_id", order("p"), row.alias("w")).where("w.variable <> ''")
+        out = out.join(firsts(w, "w", 8, "__w"), "run_id", "left")
+        dated = F.slice(F.filter("__w", lambda x: x["dated"]), 1, 4)
+        out = out.withColumns({"watch_rows": F.transform("__w", lambda x: x["variable"]), "dated_rows": F.transform(dated, lambda x: x["variable"])}).drop("__w")
     return out

@@ -12,6 +12,10 @@ from .matching import block_join
 from .storage import stored
 
 
+#: All aliases of a term, those of the first table first.
+ALIASES = {t: tuple(dict.fromkeys((*fixed.TERM_ALIASES.get(t, ()), *fixed.DECISION_TERM_ALIASES.get(t, ())))) for t in (*fixed.TERM_ALIASES, *fixed.DECISION_TERM_ALIASES)}
+
+
 def fields(df: DataFrame) -> dict[str, Column]:
     have = lambda c: T.column_or(df, c, None, "string")
     listed = lambda c: F.array_join(F.coalesce(T.column_or(df, c, None, "array<string>"), F.array().cast("array<string>")), " ")
@@ -22,7 +26,7 @@ def fields(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def expanded(keyword: Column, aliases: dict = fixed.TERM_ALIASES) -> Column:
+def expanded(keyword: Column, aliases: dict = ALIASES) -> Column:
     """array<array<string>>: each term of the keyword with its aliases."""
     terms = F.filter(F.split(F.lower(T.clean_text(keyword)), T.WS + "+"), lambda t: t != "")
     table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(a) for a in x]) for kv in aliases.items() for x in kv])

@@ -259,7 +259,7 @@ def search_frame(spark, sf_dir):
 
 def search_sql(limit: int = 20) -> str:
     """Hits of the query rows, ranked; terms are lists of a word and its aliases."""
-    terms = lambda k: "[" + ", ".join(sql.listed((t, *fixed.TERM_ALIASES.get(t, ()))) for t in k.lower().split()) + "]::varchar[][]"
+    terms = lambda k: "[" + ", ".join(sql.listed((t, *search.ALIASES.get(t, ()))) for t in k.lower().split()) + "]::varchar[][]"
     rows = ", ".join(f"('{q}', '{c}', '{s}', {terms(k)}, {m}::double)" for q, c, s, k, m in QUERYROWS)
     some = lambda c: f"len(list_filter(terms, lambda a: len(list_filter(a, lambda x: {c})) > 0))"
     low = lambda x: f"lower({sql.cleaned(x)})"

@@ -257,3 +257,18 @@ def test_daily_events_keep_all_members_and_sources(spark):
     assert [a.primary_source.url, *[x.url for x in a.supporting_sources]] == [f"https://a/{i:03}" for i in range(450)]
     members = events.event_members(df)
     assert members.count() == 450 and events.event_sources(members).count() == 450
+
+
+def test_daily_brief_key_data_watch_and_dated_rows(spark):
+    data = "array<struct<metric:string,value:string,comparison:string,meaning:string,source_url:string>>"
+    watch = "array<struct<variable:string,time_window:string>>"
+    full = lambda i: (f"m{i}", "1", "2", "why", "u")
+    rows = [(1, f"e{i}", 90.0 - i, "tech" if i % 2 else "news", [full(i), ("m", "", "c", "w", "u"), full(i + 50)], [(f"w{i}", None), (f" {i + 1}月2日 vote", ""), ("talks", "2026-07-10"), ("", "明日")]) for i in range(6)]
+    df = spark.createDataFrame([(*r, (None, f"https://s/{r[1]}")) for r in rows], f"run_id long, event_id string, importance_score double, category string, key_data {data}, watch_variables {watch}, primary_source struct<name:string,url:string>")
+    out = events.daily_brief_rows(df).orderBy("brief_rank").collect()
+    assert [r.event_id for r in out] == [f"e{i}" for i in range(5)] and out[0].categories == ["news", "tech"] and len(out[0].sources) == 5
+    assert [d.metric for d in out[0].brief_key_data] == ["m0", "m50", "m1", "m51", "m2", "m52", "m3", "m53"]
+    assert out[0].watch_rows == ["w0", "1月2日 vote", "talks", "w1", "2月2日 vote", "w2", "3月2日 vote", "w3"]
+    assert out[0].dated_rows == ["1月2日 vote", "talks", "2月2日 vote", "3月2日 vote"]
+    plain = events.daily_brief_rows(df.drop("key_data").withColumn("watch_variables", F.array(F.lit("a"), F.lit("下周一 b"))))
+    assert plain.first().watch_rows == ["a", "下周一 b"] and plain.first().dated_rows == ["下周一 b"] and "brief_key_data" not in plain.columns
