@@ -225,7 +225,7 @@ def test_lm_probabilities_sum_to_one_and_windows_score_each_piece_once():
 
 
 def test_registry_names():
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_lm_learns_from_all_texts_however_long_or_many(spark):
