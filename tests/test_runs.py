@@ -154,6 +154,17 @@ def test_best_match_levels_equal_brute_force(spark):
     assert {r.ord: r.information_gain for r in candidates.information_gain(df, recent).collect()} == want
 
 
+def test_best_match_of_long_titles_in_blocks_is_exact(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(90)]
+    one, two = [[(run, i, str(i + k * run), rng.sample(words, rng.choice([1, 4, 25, 40]))) for run in (0, 1) for i in range(50)] for k in (0, 3)]
+    mine = spark.createDataFrame(one, "run_id long, node long, id string, tokens array<string>")
+    theirs = spark.createDataFrame([(r, i, t) for r, _, i, t in two], "run_id long, id string, tokens array<string>")
+    want = {(r, n): max(jac(set(t), set(u)) for q, _, j, u in two if q == r and j != i) for r, n, i, t in one}
+    got = {(r.run_id, r.node): r.best for r in matching.best_match(mine, theirs, ["run_id"], most=20).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_block_join_deals_hot_keys_over_tasks(spark):
     left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 10}", i) for i in range(2000)], "w string, a long")
     right = spark.createDataFrame([("hot" if i % 3 else f"k{i % 10}", i) for i in range(900)], "w string, b long")
