@@ -165,6 +165,24 @@ def test_best_match_of_long_titles_in_blocks_is_exact(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_clusters_of_copies_need_no_pairs_of_copies(spark, monkeypatch):
+    met = []
+    leaders = dedupe.leaders
+    monkeypatch.setattr(dedupe, "leaders", lambda rows, edges, keys: met.append(edges.count()) or leaders(rows, edges, keys))
+    texts = ["alpha beta gamma delta", "gamma beta delta alpha", "alpha beta omega sigma", "of", ""]
+    df = items(spark, [row(i, texts[i % 5], kind="a") for i in range(100)])
+    got = {r.ord: r.event_cluster_key for r in dedupe.assign_event_clusters(df).collect()}
+    assert met[0] <= 3 and len(got) == 100
+    for i, k in got.items():
+        assert k == got[0 if i % 5 < 3 else i % 5]
+
+
+def test_low_thresholds_meet_in_blocks_not_on_tokens(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "block_join", None)
+    df = items(spark, [row(i, t) for i, t in enumerate(["the of one two", "the of one six", "the of ten", "of"])])
+    assert {(r.a, r.b) for r in dedupe.title_pairs(df, 0.42).collect()} == {(0, 1)}
+
+
 def test_block_join_deals_hot_keys_over_tasks(spark):
     left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 10}", i) for i in range(2000)], "w string, a long")
     right = spark.createDataFrame([("hot" if i % 3 else f"k{i % 10}", i) for i in range(900)], "w string, b long")
