@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, events, filters, normalize, publish, score
+from ..operators.storage import stored
 from ..sources import html, market, records
 from . import adapters, sql
 from .adapters import ATTEMPTS, NOW, RUNS, table
@@ -113,7 +114,7 @@ def filled(spark, sf_dir):
 union all select id, {BUCKET} from scored union all select id, 'missing-facts,missing-watch-variables,missing-counter-arguments' from scored""".replace("{{", "{").replace("}}", "}"))
 def flags(spark, sf_dir):
     """What each item passes: score floor, summary, events; its source's bucket; what its text lacks."""
-    d = score.score_items(classed(spark, sf_dir), NOW, SCORING).select("id", "title", "url", "score", "source", "source_category", "source_authority", "source_tier")
+    d = stored(score.score_items(classed(spark, sf_dir), NOW, SCORING).select("id", "title", "url", "score", "source", "source_category", "source_authority", "source_tier"))  # scored once, read five times
     d = d.withColumn("translation_status", F.when(F.col("source_category") == "finance", "failed").otherwise("done")).withColumn("source_language", F.lit("en"))
     name = lambda df, c: df.select("id", c.alias("flag"))
     parts = [name(filters.score_floor(d, 70), F.lit("floor")), name(filters.summary_eligible(d, 60), F.lit("summary")), name(filters.event_eligible(d), F.lit("event")), name(d, events.source_bucket(d)), name(events.quality_flags(d), F.array_join("quality_flags", ","))]
