@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from siftwire.functions import fixed
 from siftwire.functions import text as T
 from siftwire.operators import classify, events, filters, normalize, publish, score, search
 from siftwire.sources import html, market, records
@@ -272,3 +273,25 @@ def test_daily_brief_key_data_watch_and_dated_rows(spark):
     assert out[0].dated_rows == ["1月2日 vote", "talks", "2月2日 vote", "3月2日 vote"]
     plain = events.daily_brief_rows(df.drop("key_data").withColumn("watch_variables", F.array(F.lit("a"), F.lit("下周一 b"))))
     assert plain.first().watch_rows == ["a", "下周一 b"] and plain.first().dated_rows == ["下周一 b"] and "brief_key_data" not in plain.columns
+
+
+def test_patterns_look_ahead_and_match_as_before(spark):
+    import re
+
+    rules = [p for _, p in (*fixed.CATEGORY_PATTERNS, *fixed.STAGES, *fixed.FINE_KEYWORDS)] + [fixed.VERIFIABLE_FACTS, fixed.TOPIC_WORDS, fixed.RELEVANT_FACTS, r"x\.com|ab?c", r"(a)(b|c)", r"colou?r", "ſa|b"]
+    texts = ["", "A CHIP and the ſec", "K Kelvin İnc ıBM rumour", "x.com xxcom ac abc", "colr color colour", "人工智能 20日 2024 3.5%", "Plans to; plan to", "éAI AI. SAID", "a b ab", "policy" * 3, "SA Ba", "announced data show"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    for p in rules:
+        plain = T.pattern(p).removeprefix(T.ahead(p))
+        got = df.select(T.hits(F.col("t"), p).alias("a"), F.col("t").rlike(plain).alias("b"), T.count_hits(F.col("t"), p).alias("c"), F.regexp_count("t", F.lit(plain)).alias("d")).collect()
+        assert all(r.a == r.b and r.c == r.d for r in got), p
+    assert T.ahead("ab|cd") and T.ahead(r"\bfed\b|x\.com") and not T.ahead("a{2}b") and not T.ahead("(a)(b|c)|.d") and not T.ahead("ſa|b")
+    assert re.fullmatch(r"\(\?=\[.*\]\[.*\]\)", T.ahead("(ab|cd)"))
+
+
+def test_flags_and_daily_rows_are_scored_once(spark):
+    from siftwire.plans import registry
+
+    for name in ("item_flags", "daily_brief_rows"):
+        files = registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("documents" in f for f in files), name
