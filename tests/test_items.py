@@ -295,3 +295,41 @@ def test_flags_and_daily_rows_are_scored_once(spark):
     for name in ("item_flags", "daily_brief_rows"):
         files = registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert files and not any("documents" in f for f in files), name
+
+
+def test_sieved_text_has_all_matches(spark):
+    rules = [p for _, p in (*fixed.CATEGORY_PATTERNS, *fixed.SECONDARY_TAGS, *fixed.STAGES, *fixed.FINE_KEYWORDS)] + [p for _, _, p in fixed.DERIVED_CATEGORIES] + ["ción", "colou?r"]
+    texts = ["", "ſec Kelvin İnflation", "war" * 30, "a warm cold war. gdpx gdp xgdp " * 5, "The AI chip, aI policy; éAI AI.x" + "z" * 90 + " fed" + "q" * 60 + " feds Fed", "市场份额公司战略 融资" + "x" * 70 + "央行", "COLOR colouR la Ción rumour reportedly plans to", "in progress" * 3, "x" * 50 + "research result paper"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).withColumn("v", T.sieved(F.col("t"), rules))
+    for p in rules:
+        got = df.select(T.count_hits(F.col("t"), p).alias("a"), T.count_hits(F.col("v"), p).alias("b"), F.regexp_extract("t", T.pattern(p), 0).alias("c"), F.regexp_extract("v", T.pattern(p), 0).alias("d")).collect()
+        assert all(r.a == r.b and r.c == r.d for r in got), p
+    assert T.sieve(rules) and not T.sieve(["announces.*product"]) and not T.sieve([r"a\d+"]) and not T.sieve(["[ab]c"])
+    long = spark.createDataFrame([("AI chip " * 40_000, "a b. " * 40_000)], "t string, u string")  # no recursion a match
+    assert long.select(F.length(T.sieved(F.col("t"), rules))).first()[0] > 300_000
+
+
+def test_keywords_and_sentences_of_long_texts(spark):
+    import re
+
+    words = " ".join(["from", "ab"] * 400 + [f"word{i % 30}" for i in range(60)])
+    item = spark.createDataFrame([("1", "t", words, "s"), ("2", "t", "x" * 998 + " kept Kept " + "c" * 40 + " last", "s")], "id string, title string, summary string, source string")
+    got = {r.id: r.k for r in item.select("id", publish.extract_keywords(item).alias("k")).collect()}
+    assert got["1"] == [f"word{i}" for i in range(8)] and got["2"] == ["kept", "last"]
+    text = "One. Two!  three? 四。五！ six <b>. </b> Seven"
+    assert spark.range(1).select(events.split_sentences(F.lit(text))).first()[0] == ["One.", "Two!", "three?", "四。", "五！", "six .", "Seven"]
+    odd = ["　 a \n b\t\t", "\n", " \u0085", "a  b <x\ny> c", "é \u0085 ", "<>a> <"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    want = [re.sub(f"^{WS_PY}+|{WS_PY}+$", "", re.sub(f"{WS_PY}+", " ", re.sub("<[^>]+>", " ", t))) for t in odd]
+    assert sorted(r[0] for r in df.select(T.clean_text(F.col("t"))).collect()) == sorted(want)
+
+
+WS_PY = "[ \\t\\n\\x0b\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
+def test_coverage_and_brief_inputs_are_scored_once(spark):
+    from siftwire.plans import registry
+
+    for name in ("channel_coverage", "event_brief_inputs"):
+        files = registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("documents" in f for f in files), name
