@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -267,8 +268,8 @@ def start(uni: np.ndarray, follow: np.ndarray, cls: np.ndarray, rng: np.random.G
     return {a: x.astype(np.float32) for a, x in p.items()} | {"cls": cls}
 
 
-def fit(p: dict, batches, steps: int, rate: float) -> None:
-    """Fits `p` in place by Adam to batches (inputs, targets) of windows, `steps` at most."""
+def fit(p: dict, batches, steps: int | None, rate: float) -> None:
+    """Fits `p` in place by Adam to batches (inputs, targets) of windows, `steps` at most, with falling steps; to all at one rate without `steps`."""
     names = [a for a in p if a != "cls"]
     m1 = {a: np.zeros_like(p[a]) for a in names}
     m2 = {a: np.zeros_like(p[a]) for a in names}
@@ -277,9 +278,9 @@ def fit(p: dict, batches, steps: int, rate: float) -> None:
     for m in members:
         inside[m] = np.arange(len(m))
     model = Model(p)
-    for step, (x, y) in zip(range(steps), batches, strict=False):
+    for step, (x, y) in enumerate(itertools.islice(batches, steps)):
         g = gradients(model, x, y, members, inside)
-        lr = rate * min(1, (step + 1) / 30) * (1 - 0.9 * step / steps)
+        lr = rate * min(1, (step + 1) / 30) * (1 - 0.9 * step / steps if steps else 1)
         for a in names:
             m1[a] += 0.1 * (g[a] - m1[a])
             m2[a] += 0.01 * (g[a] ** 2 - m2[a])
@@ -334,15 +335,25 @@ def added(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes[cuts], np.add.reduceat(times[order], cuts)
 
 
+def window_hashes(texts: pa.ChunkedArray, count: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each window of the texts, which have `count` windows each."""
+    seed = np.array([zlib.crc32(x) for x in texts.cast(pa.binary()).fill_null(b"").to_pylist()], np.uint64) * np.uint64(0x9E3779B1)
+    z = np.repeat(seed, count) + (np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)).astype(np.uint64) * np.uint64(0x85EBCA6B)
+    z = ((z ^ z >> np.uint64(15)) & np.uint64(0xFFFFFFFF)) * np.uint64(0x2C1B3C6D)
+    return (z ^ z >> np.uint64(28)) & np.uint64(0xFFFFFFFF)
+
+
 def piece_rows(docs: DataFrame, table_: dict, share: int, text_col: str = "text") -> DataFrame:
     """(prev, cur, c): counts of neighbouring pieces of all whole texts, the end standing before a text too; tasks give out partial counts.
-    (h, x, y): one window in `share` of every text, chosen by hash, as bytes of 32-bit pieces."""
+    (h, x, y): one window in `share` of every text, chosen by hash, as bytes of 32-bit pieces: where a fit begins. A last row a task has the
+    number of all its windows as c, without pieces."""
     held = docs.sparkSession.sparkContext.broadcast(table_)
 
     def make(batches):
         pieces = held.value
         n = pieces["n"]
         held_counts: list = []  # (codes, times) of batches, summed now and then
+        seen = 0
 
         def summed_up() -> tuple[np.ndarray, np.ndarray]:
             if not held_counts:
@@ -374,10 +385,8 @@ def piece_rows(docs: DataFrame, table_: dict, share: int, text_col: str = "text"
                     yield counted(*sums)
                     held_counts.clear()
             count = -(-per // CHUNK)
-            seed = np.array([zlib.crc32(x) for x in t.column(0).cast(pa.binary()).fill_null(b"").to_pylist()], np.uint64) * np.uint64(0x9E3779B1)
-            z = np.repeat(seed, count) + (np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)).astype(np.uint64) * np.uint64(0x85EBCA6B)
-            z = ((z ^ z >> np.uint64(15)) & np.uint64(0xFFFFFFFF)) * np.uint64(0x2C1B3C6D)
-            z = (z ^ z >> np.uint64(28)) & np.uint64(0xFFFFFFFF)
+            seen += int(count.sum())
+            z = window_hashes(t.column(0), count)
             pick = np.flatnonzero(z % np.uint64(share) == 0)
             if len(pick):
                 cells = lambda w: pa.array([r.tobytes() for r in w.astype(np.int32)], pa.binary())
@@ -385,6 +394,7 @@ def piece_rows(docs: DataFrame, table_: dict, share: int, text_col: str = "text"
                 k, h = len(pick), (z[pick] // np.uint64(share)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([void(k, pa.int32()), void(k, pa.int32()), void(k, pa.int64()), pa.array(h), cells(x), cells(y)], names)
         yield counted(*summed_up())
+        yield pa.RecordBatch.from_arrays([void(1, pa.int32()), void(1, pa.int32()), pa.array([seen]), void(1, pa.int64()), void(1, pa.binary()), void(1, pa.binary())], names)
 
     return map_arrow(docs.select(text_col), make, "prev int, cur int, c long, h long, x binary, y binary")
 
@@ -395,16 +405,16 @@ def unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
     return cell("x", CONTEXT), cell("y", CHUNK)
 
 
-def learned(learn: DataFrame, table_: dict, words: int, text_col: str = "text", groups: int = 24, steps: int = 1000, batch: int = 144, rate: float = 5e-3, rounds: int = 2, seed: int = 11, most_share: int = 16) -> dict:
+def learned(learn: DataFrame, table_: dict, words: int, text_col: str = "text", groups: int = 24, steps: int = 1000, batch: int = 144, rate: float = 5e-3, rounds: int = 2, seed: int = 11) -> dict:
     """Parameters learned from all texts of `learn`, which has `words` words.
 
-    Piece, pair and class counts cover every text whole. One window in `share` of every text is kept to fit (all in a small table, one in
-    `most_share` in a large one, so their number grows with the input): first about steps * batch of them on the driver, then,
-    if there are more, all of them in `rounds` rounds of tasks that fit on from the same parameters and are averaged."""
+    Piece, pair and class counts cover every text whole. The fit begins on the driver with about steps * batch windows of a large
+    table; then, if there are more, all windows of all texts are fitted in `rounds` rounds of tasks, each text in one round, that fit on
+    from the same parameters and are averaged. Tasks make the windows of their texts as they go, and none is stored."""
     spark, n, rng = learn.sparkSession, table_["n"], np.random.default_rng(seed)
-    share = int(min(most_share, max(1, words // 1_000_000)))
+    share = int(max(1, words // 1_000_000))  # of the windows with which the fit begins
     rows = stored(piece_rows(learn, table_, share, text_col))
-    pairs = stored(rows.where("c is not null").groupBy("prev", "cur").agg(F.sum("c").alias("c")))
+    pairs = stored(rows.where("prev is not null").groupBy("prev", "cur").agg(F.sum("c").alias("c")))
     # Signed hashing of the piece before: a projection of all pairs on 64 columns. One row a piece of the tokenizer reaches the driver.
     h, root = F.xxhash64("prev"), F.sqrt("c")
     signed = F.when(F.pmod(F.shiftright(h, 8), 2) == 0, root).otherwise(-root)
@@ -426,18 +436,19 @@ def learned(learn: DataFrame, table_: dict, words: int, text_col: str = "text",
     p = start(uni, follow, cls, rng)
     first = p["E"].copy()
     kept = rows.where("x is not null").select("h", "x", "y")
-    total = kept.count()
+    total, windows_ = kept.count(), rows.where("c is not null and prev is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     part = kept if total <= steps * batch else kept.where(F.pmod("h", F.lit(1 << 20)) < (steps * batch << 20) // total)
     _, x, y = narrowed(cur, n, *unpacked(part.orderBy("h", "x", "y").select("x", "y").toArrow()))
     if len(x):
         fit(p, drawn(x, y, steps, batch, rng), steps, rate)
-    if total > steps * batch:
+    texts = learn.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.crc32(F.col("t").cast("binary")))
+    if windows_ > len(x) or windows_ > steps * batch:
         for r in range(rounds):
-            some_rows = kept.where(F.pmod(F.shiftright("h", 4), F.lit(rounds)) == r)
-            # Dealt out evenly (Spark does so by the rows' order in each stored part) and put in order: a task that runs again fits to the
-            # same windows in the same way. Every task gives out one set of parameters, so there are no more tasks than windows ask for.
-            dealt = some_rows.repartition(max(1, total // rounds // 20_000)).sortWithinPartitions("h", "x", "y")
-            p = averaged(dealt, p, cur, n, rate / 5 / (r + 1))
+            # Dealt out evenly (Spark does so by the rows' order in each file) and put in order: a task that runs again fits to the same windows in the
+            # same way. Every task gives out one set of parameters, so there are no more tasks than windows ask for.
+            each = windows_ // rounds
+            dealt = texts.where(F.pmod("h", F.lit(rounds)) == r).repartition(max(1, min(each // 20_000, max(32, each // 200_000)))).sortWithinPartitions("h", "t")
+            p = averaged(dealt.select("t"), table_, p, cur, n, rate / 5 / (r + 1))
     still = (p["E"] == first).all(1)  # inputs that no fitted window had
     if still.any() and not still.all():
         p["E"][still] = p["E"][~still].mean(0)
@@ -445,26 +456,35 @@ def learned(learn: DataFrame, table_: dict, words: int, text_col: str = "text",
     return finished(p, some, n)
 
 
-def averaged(rows: DataFrame, p: dict, cur: np.ndarray, n: int, rate: float, batch: int = 512, cell: int = 16_384) -> dict:
-    """`p` fitted on in each task of `rows` to all its windows; the mean over tasks, weighted by their windows. Means are
-    taken in cells of the parameters, so the driver gets one set whatever the number of tasks."""
+def averaged(texts: DataFrame, table_: dict, p: dict, cur: np.ndarray, n: int, rate: float, batch: int = 512, cell: int = 16_384) -> dict:
+    """`p` fitted on in each task of `texts` to all windows of its whole texts, about 4 MB of text at a time, in the order of their hashes; the mean over
+    tasks, weighted by their windows. Means are taken in cells of the parameters, so the driver gets one set whatever the number of tasks."""
     names = [a for a in p if a != "cls"]
-    held = rows.sparkSession.sparkContext.broadcast((p, cur))
+    held = texts.sparkSession.sparkContext.broadcast((p, cur, table_))
 
     def make(batches):
         import pyspark
 
-        old, seen = held.value
-        new, task = {a: x.copy() for a, x in old.items()}, pyspark.TaskContext.get().partitionId()
-        xs = [unpacked(b) for b in batches if b.num_rows]
-        if not xs:
+        old, seen, pieces = held.value
+        new, task, total = {a: x.copy() for a, x in old.items()}, pyspark.TaskContext.get().partitionId(), 0
+
+        def fitting():
+            nonlocal total
+            for t in gathered(batches, 4 << 20):
+                _, which, tokens, ids, first, sizes = coded(t.column(0), pieces)
+                flat, per = text_pieces(which, tokens, ids, first, sizes)
+                _, x, y = narrowed(seen, n, *windows(flat, pieces["n"] - 1, per))
+                order = np.argsort(window_hashes(t.column(0), -(-per // CHUNK)), kind="stable")
+                total += len(order)
+                for i in range(0, len(order), batch):
+                    yield x[order[i : i + batch]], y[order[i : i + batch]]
+
+        fit(new, fitting(), None, rate)
+        if not total:
             return
-        _, x, y = narrowed(seen, n, np.concatenate([x for x, _ in xs]), np.concatenate([y for _, y in xs]))
-        steps = -(-len(x) // batch)
-        fit(new, drawn(x, y, steps, batch, np.random.default_rng(len(x))), steps, rate)
         flat = np.concatenate([new[a].ravel() for a in names])
         cuts = range(0, len(flat), cell)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([task] * len(cuts), pa.int32()), pa.array([len(x)] * len(cuts), pa.int64()), pa.array([flat[i : i + cell].tobytes() for i in cuts], pa.binary())], ["cell", "task", "w", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([task] * len(cuts), pa.int32()), pa.array([total] * len(cuts), pa.int64()), pa.array([flat[i : i + cell].tobytes() for i in cuts], pa.binary())], ["cell", "task", "w", "v"])
 
     def mean(t):
         t = t.sort_by("task")  # sums of floats depend on their order
@@ -472,7 +492,7 @@ def averaged(rows: DataFrame, p: dict, cur: np.ndarray, n: int, rate: float, bat
         total = sum(k * np.frombuffer(v.as_py(), np.float32) for k, v in zip(w, t.column("v"), strict=True)) / w.sum()
         return pa.table({"cell": t.column("cell").slice(0, 1), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    out = stored(map_arrow(rows.select("x", "y"), make, "cell int, task int, w long, v binary")).groupBy("cell").applyInArrow(mean, "cell int, v binary").toArrow().sort_by("cell")
+    out = stored(map_arrow(texts, make, "cell int, task int, w long, v binary")).groupBy("cell").applyInArrow(mean, "cell int, v binary").toArrow().sort_by("cell")
     if not out.num_rows:
         return p
     flat, at, new = np.frombuffer(b"".join(out.column("v").to_pylist()), np.float32), 0, {"cls": p["cls"]}

@@ -250,6 +250,23 @@ def test_lm_rounds_fit_on_from_windows_that_grow_with_the_input(spark):
     assert all(np.array_equal(one[a], again[a]) for a in one)
 
 
+def test_lm_rounds_fit_all_windows_of_large_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"ba be bi bo bu xylo{i} " * 40) for i in range(60)], "doc_id long, text string").repartition(3)
+    t = lm.pieces_table(bpe.tokenizer_path(), 300)
+    rows = lm.piece_rows(docs, t, 1)
+    every = rows.where("x is not null").count()
+    assert rows.where("prev is null and c is not null").agg(F.sum("c")).first()[0] == every
+    fitted = []
+
+    def counting(texts, table_, p, cur, n, rate):
+        fitted.append(sum(-(-(len(lm.pieces_of(r.t.encode().lower().split(), t)[0]) + 1) // lm.CHUNK) for r in texts.collect()))
+        return p
+
+    monkeypatch.setattr(lm, "averaged", counting)
+    lm.learned(docs, t, 50_000_000, steps=5, batch=4)  # a table said to be large: few windows begin the fit
+    assert len(fitted) == 2 and min(fitted) > 0 and sum(fitted) == every
+
+
 def test_toxicity_slope_solves_its_equation():
     share, score = np.array([0.02, 0.01, 0.3]), np.array([1.5, 3.0, -0.4])
     x = toxicity.slope(share, score, 0.2)
