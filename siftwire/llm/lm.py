@@ -87,6 +87,33 @@ def pieces_of(words: list[bytes], table_: dict) -> tuple[np.ndarray, np.ndarray]
     return table_["dense"][sym], n
 
 
+def runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of `sizes` that begin at `first`, one run after the other."""
+    upto = sizes.cumsum()
+    return np.repeat(first - (upto - sizes), sizes) + np.arange(sizes.sum())
+
+
+def merged(words: pa.Array, table_: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces of all words one after the other, words' piece counts)."""
+    k = len(words)
+    off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + k + 1].astype(np.int64) if k else np.zeros(1, np.int64)
+    flat = np.frombuffer(words.buffers()[2], np.uint8) if k and off[-1] else np.zeros(0, np.uint8)
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, k, 60_000):
+        o = off[i : i + 60_001]
+        sym, m = bpe.merge_flat(flat[o[0] : o[-1]], np.diff(o), table_["t"])
+        ids.append(table_["dense"][sym])
+        sizes.append(m)
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def with_words(table_: dict, words: list[bytes]) -> dict:
+    """The table with the pieces of these words at hand, so that `coded` does not merge them again in every batch."""
+    some = pa.array([w for w in words if w != END], pa.binary())
+    ids, sizes = merged(some, table_)
+    return table_ | {"known": (some, ids.astype(np.int32), sizes.cumsum() - sizes, sizes)}
+
+
 def coded(texts: pa.ChunkedArray, table_: dict) -> tuple:
     """(distinct words, the end last; each token's word; texts' token counts; pieces of the distinct words; where each word's begin, and
     how many they are) of whole texts."""
@@ -98,23 +125,25 @@ def coded(texts: pa.ChunkedArray, table_: dict) -> tuple:
     inside = np.ones(len(which), bool)
     inside[tokens.cumsum() - 1] = False
     which[inside] = d.indices.to_numpy()
-    off = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + k + 1].astype(np.int64) if k else np.zeros(1, np.int64)
-    flat = np.frombuffer(some.buffers()[2], np.uint8) if k and off[-1] else np.zeros(0, np.uint8)
-    ids, sizes = [], []
-    for i in range(0, k, 60_000):
-        o = off[i : i + 60_001]
-        sym, m = bpe.merge_flat(flat[o[0] : o[-1]], np.diff(o), table_["t"])
-        ids.append(table_["dense"][sym])
-        sizes.append(m)
-    ids, sizes = np.concatenate([*ids, [table_["n"] - 1]]), np.concatenate([*sizes, [1]])
+    if len(held := table_.get("known", [()])[0]):
+        at = pc.fill_null(pc.index_in(some, value_set=held), -1).to_numpy()
+        _, pieces, first, many = table_["known"]
+        new = at < 0
+        fresh, m = merged(some.filter(pa.array(new)), table_)
+        sizes = np.empty(k, np.int64)
+        sizes[new], sizes[~new] = m, many[at[~new]]
+        ids, old = np.empty(int(sizes.sum()), np.int64), np.repeat(~new, sizes)
+        ids[~old], ids[old] = fresh, pieces[runs(first[at[~new]], sizes[~new])]
+    else:
+        ids, sizes = merged(some, table_)
+    ids, sizes = np.r_[ids, table_["n"] - 1], np.r_[sizes, 1]
     return pa.concat_arrays([some, pa.array([END], pa.binary())]), which, tokens, ids, sizes.cumsum() - sizes, sizes
 
 
 def text_pieces(which: np.ndarray, tokens: np.ndarray, ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pieces of all tokens, texts' piece counts)."""
     k = sizes[which]
-    at = k.cumsum()
-    return ids[np.repeat(first[which] - (at - k), k) + np.arange(at[-1])], np.add.reduceat(k, tokens.cumsum() - tokens)
+    return ids[runs(first[which], k)], np.add.reduceat(k, tokens.cumsum() - tokens)
 
 
 def windows(ids: np.ndarray, end: int, per: np.ndarray | None = None, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,24 +174,6 @@ class Model:
         self.p = p
         self.mask = np.where(np.arange(CONTEXT)[None, :] <= np.arange(BEFORE, CONTEXT)[:, None], 0.0, -1e9).astype(np.float32)
 
-    def hidden(self, ids: np.ndarray, keep: bool = False):
-        p, d = self.p, self.p["E"].shape[1]
-        absent = ids < 0
-        safe = np.where(absent, 0, ids)
-        x = p["E"][safe] + p["P"]
-        xq = x[:, BEFORE:]
-        q, k, v = xq @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(d**-0.5) + self.mask
-        if absent.any():
-            s += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, :]
-        s = np.exp(np.minimum(s, 60))
-        s /= s.sum(2, keepdims=True)
-        o = np.matmul(s, v)
-        h = xq + o @ p["Wo"]
-        a = np.maximum(h @ p["W1"] + p["b1"], 0)
-        z = h + a @ p["W2"]
-        return (z, (safe, absent, x, xq, q, k, v, s, o, h, a)) if keep else z
-
     def fast(self) -> None:
         """Projections of every piece, so that scoring looks them up, and the output tables of each class with its bias as a row."""
         p, d = self.p, self.p["E"].shape[1]
@@ -172,7 +183,7 @@ class Model:
             setattr(self, "p" + n, (p["P"] @ w).astype(np.float32))
         members = [np.flatnonzero(p["cls"] == c) for c in range(p["Wc"].shape[1])]
         self.U = [np.vstack([p["U"][m].T, p["bu"][m][None]]).astype(np.float32) for m in members]
-        self.cls = p["cls"].astype(np.uint8)
+        self.cls = p["cls"].astype(np.uint16)  # sorted by digits
         self.inside = np.zeros(len(p["cls"]), np.int64)
         for m in members:
             self.inside[m] = np.arange(len(m))
@@ -270,21 +281,28 @@ def start(uni: np.ndarray, follow: np.ndarray, cls: np.ndarray, rng: np.random.G
 
 def fit(p: dict, batches, steps: int | None, rate: float) -> None:
     """Fits `p` in place by Adam to batches (inputs, targets) of windows, `steps` at most, with falling steps; to all at one rate without `steps`."""
-    names = [a for a in p if a != "cls"]
-    m1 = {a: np.zeros_like(p[a]) for a in names}
-    m2 = {a: np.zeros_like(p[a]) for a in names}
     members = [np.flatnonzero(p["cls"] == c) for c in range(p["Wc"].shape[1])]
     inside = np.zeros(len(p["cls"]), np.int64)
     for m in members:
         inside[m] = np.arange(len(m))
-    model = Model(p)
+    by_class = np.concatenate(members)
+    now = {a: x for a, x in p.items() if a not in ("cls", "U", "bu")} | {"O": np.hstack([p["U"], p["bu"][:, None]])[by_class]}
+    m1, m2, move = ({a: np.zeros_like(x) for a, x in now.items()} for _ in range(3))
+    cls, ends = p["cls"].astype(np.uint16), np.cumsum([0, *map(len, members)]).tolist()
     for step, (x, y) in enumerate(itertools.islice(batches, steps)):
-        g = gradients(model, x, y, members, inside)
-        lr = rate * min(1, (step + 1) / 30) * (1 - 0.9 * step / steps if steps else 1)
-        for a in names:
-            m1[a] += 0.1 * (g[a] - m1[a])
-            m2[a] += 0.01 * (g[a] ** 2 - m2[a])
-            p[a] -= (lr * (m1[a] / (1 - 0.9 ** (step + 1))) / (np.sqrt(m2[a] / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(np.float32)
+        lr, root = rate * min(1, (step + 1) / 30) * (1 - 0.9 * step / steps if steps else 1) / (1 - 0.9 ** (step + 1)), (1 - 0.99 ** (step + 1)) ** 0.5
+        for a, (rows, g) in gradients(now, x, y, cls, inside, ends).items():
+            one, two, by = m1[a], m2[a], move[a]
+            one *= np.float32(0.9)
+            two *= np.float32(0.99)
+            one[rows] += np.float32(0.1) * g
+            two[rows] += np.float32(0.01) * (g * g)
+            np.sqrt(two, out=by)
+            by += np.float32(1e-8 * root)
+            np.divide(one, by, out=by)
+            by *= np.float32(lr * root)
+            now[a] -= by
+    p["U"][by_class], p["bu"][by_class] = now["O"][:, :-1], now["O"][:, -1]
 
 
 def drawn(inputs: np.ndarray, targets: np.ndarray, steps: int, batch: int, rng: np.random.Generator):
@@ -502,14 +520,29 @@ def averaged(texts: DataFrame, table_: dict, p: dict, cur: np.ndarray, n: int, r
     return new
 
 
-def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values by row, rows counting from the end if negative."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(rows):
-        rows = np.where(rows < 0, rows + n, rows)
-        order = np.argsort(rows, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
-        out[rows[order][cuts]] = np.add.reduceat(values[order], cuts, axis=0)
+def grouped(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that puts equal rows of a table of `n` together, where each begins there, the distinct rows)."""
+    order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")  # short integers are sorted by digits
+    rows = rows[order]
+    cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return order, cuts, rows[cuts]
+
+
+def group_sums(values: np.ndarray, cuts: np.ndarray, large: int = 48) -> np.ndarray:
+    """Sums of groups of rows that begin at `cuts`; those of `large` groups one by one as products, which add many rows faster."""
+    sizes = np.diff(np.r_[cuts, len(values)])
+    big = sizes >= large
+    out = np.empty((len(cuts), values.shape[1]), np.float32)
+    if big.all():
+        small = np.zeros(0, np.int64)
+    else:
+        rest = values[np.repeat(~big, sizes)] if big.any() else values
+        small = np.flatnonzero(~big)
+        out[small] = np.add.reduceat(rest, sizes[small].cumsum() - sizes[small], axis=0)
+    ones = np.ones(int(sizes.max()), np.float32)
+    for i in np.flatnonzero(big).tolist():
+        at, k = cuts[i], sizes[i]
+        np.dot(ones[:k], values[at : at + k], out=out[i])
     return out
 
 
@@ -530,59 +563,105 @@ def finished(p: dict, some: np.ndarray, n: int) -> dict:
     return out
 
 
-def gradients(model: Model, ids: np.ndarray, targets: np.ndarray, members: list, inside: np.ndarray) -> dict:
-    """Mean-loss gradients of a batch of windows."""
-    p, d = model.p, model.p["E"].shape[1]
-    z3, (safe, absent, x, xq, q, k, v, s, o, h, a) = model.hidden(ids, keep=True)
-    live = (targets >= 0).ravel()
-    z, y, prev = z3.reshape(-1, d)[live], targets.ravel()[live], safe[:, BEFORE:].ravel()[live]
-    prev2 = ids[:, BEFORE - 1 : -1].ravel()[live]  # -1 stands for the last row, whose piece (the end) is never there else
-    n = np.float32(1 / max(len(y), 1))
-    g: dict = {}
-    cls = p["cls"][y]
-    logit = z @ p["Wc"] + p["B"][prev] + p["B2"][prev2]
-    pr = np.exp(logit - logit.max(1, keepdims=True))
-    pr /= pr.sum(1, keepdims=True)
-    pr[np.arange(len(y)), cls] -= 1
-    pr *= n
-    g["Wc"] = z.T @ pr
-    g["B"], g["B2"] = summed(prev, pr, len(p["B"])), summed(prev2, pr, len(p["B2"]))
-    dz = pr @ p["Wc"].T
-    g["U"], g["bu"] = np.zeros_like(p["U"]), np.zeros_like(p["bu"])
-    for c, m in enumerate(members):
-        rows = np.flatnonzero(cls == c)
-        if len(rows):
-            e = z[rows] @ p["U"][m].T + p["bu"][m]
-            e = np.exp(e - e.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(rows)), inside[y[rows]]] -= 1
-            e *= n
-            g["U"][m] = e.T @ z[rows]
-            g["bu"][m] = e.sum(0)
-            dz[rows] += e @ p["U"][m]
-    full = np.zeros((live.size, d), np.float32)
-    full[live] = dz
-    dz = full.reshape(z3.shape)
+def gradients(p: dict, ids: np.ndarray, targets: np.ndarray, cls: np.ndarray, inside: np.ndarray, ends: list[int]) -> dict:
+    """Mean-loss gradients of a batch of windows, as (rows, gradient of these rows) of each table. `O` has the output rows and biases
+    in the order of classes, which begin and end at `ends`; `inside` is a piece's place in its class. Logits are bounded as in scoring."""
+    d, w, n, whole = p["E"].shape[1], len(ids), targets.size, slice(None)
+    last, scale, ones = len(p["E"]) - 1, np.float32(d**-0.5), np.ones(max(n, len(p["E"]), CONTEXT, p["Wc"].shape[1]), np.float32)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    da = (dz @ p["W2"].T) * (a > 0)
-    g["W2"] = flat(a).T @ flat(dz)
-    g["W1"], g["b1"] = flat(h).T @ flat(da), flat(da).sum(0)
-    dh = dz + da @ p["W1"].T
-    g["Wo"] = flat(o).T @ flat(dh)
-    do = dh @ p["Wo"].T
+    first = np.flatnonzero(ids[:, 0] < 0)  # texts' first windows: nothing stands before their start
+    absent = ids[first] < 0
+    ids = np.where(ids < 0, last, ids)  # as piece before, -1 stands for the last row, whose piece (the end) is never there else
+    x = p["E"].take(ids, axis=0)
+    x += p["P"]
+    xq = np.ascontiguousarray(x[:, BEFORE:])
+    q = (flat(xq) @ (p["Wq"] * scale)).reshape(xq.shape)
+    k, v = (flat(x) @ p["Wk"]).reshape(x.shape), (flat(x) @ p["Wv"]).reshape(x.shape)
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += np.where(np.arange(CONTEXT)[None, :] <= np.arange(BEFORE, CONTEXT)[:, None], np.float32(0), np.float32(-1e9))
+    s[first] += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, :]
+    bounded(s)
+    s /= (flat(s) @ ones[:CONTEXT]).reshape(w, CHUNK, 1)
+    o = np.matmul(s, v)
+    h = flat(o) @ p["Wo"]
+    h += flat(xq)
+    a = h @ p["W1"]
+    a += p["b1"]
+    np.maximum(a, 0, out=a)
+    z = np.ones((n, d + 1), np.float32)
+    np.add(h, a @ p["W2"], out=z[:, :d])
+    y, prev, prev2 = targets.ravel(), ids[:, BEFORE:].ravel(), ids[:, BEFORE - 1 : -1].ravel()
+    share = (y >= 0).astype(np.float32)
+    share /= max(1, np.count_nonzero(share))
+    own = cls.take(y, mode="wrap")
+    g: dict = {}
+    # Classes, positions standing by the piece before.
+    order, cuts, rows = grouped(prev, last + 1)
+    zs, prev2, part = z[order, :d], prev2[order], share[order]
+    e = zs @ p["Wc"]
+    e += p["B"].take(prev[order], axis=0)
+    e += p["B2"].take(prev2, axis=0)
+    bounded(e)
+    e *= (part / (e @ ones[: e.shape[1]]))[:, None]
+    e[np.arange(n), own[order]] -= part
+    g["Wc"], g["B"] = (whole, zs.T @ e), (rows, group_sums(e, cuts))
+    dz = np.empty((n, d), np.float32)
+    dz[order] = e @ p["Wc"].T
+    order, cuts, rows = grouped(prev2, last + 1)
+    g["B2"] = rows, group_sums(e.take(order, axis=0), cuts)
+    # Pieces in their classes, positions standing by class.
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(len(ends))).tolist()
+    zs, part = z[order], share[order]
+    sizes = np.diff(ends)[own[order]]
+    at = sizes.cumsum() - sizes
+    chosen = at + inside.take(y[order], mode="wrap")
+    e = np.empty(int(sizes.sum()), np.float32)
+    at = [*at.tolist(), len(e)]
+    blocks = [(i, j, u, e[at[i] : at[j]].reshape(j - i, -1), p["O"][u]) for i, j, u in zip(cuts[:-1], cuts[1:], map(slice, ends[:-1], ends[1:]), strict=True) if i < j]
+    for i, j, _, block, rows in blocks:
+        np.matmul(zs[i:j], rows.T, out=block)
+    bounded(e)
+    for i, j, _, block, rows in blocks:
+        block *= (part[i:j] / (block @ ones[: len(rows)]))[:, None]
+    e[chosen] -= part
+    out, ds = np.zeros_like(p["O"]), np.empty((n, d), np.float32)
+    for i, j, u, block, rows in blocks:
+        np.matmul(block.T, zs[i:j], out=out[u])
+        np.matmul(block, rows[:, :d], out=ds[i:j])
+    g["O"] = whole, out
+    dz[order] += ds
+    # Back through the layers.
+    da = dz @ p["W2"].T
+    da *= a > 0
+    g["W2"], g["W1"], g["b1"] = (whole, a.T @ dz), (whole, h.T @ da), (whole, ones[:n] @ da)
+    dz += da @ p["W1"].T
+    g["Wo"] = whole, flat(o).T @ dz
+    do = (dz @ p["Wo"].T).reshape(o.shape)
     ds = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(s.transpose(0, 2, 1), do)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    g["Wq"], g["Wk"], g["Wv"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-    dx[:, BEFORE:] += dh + dq @ p["Wq"].T
-    dx *= ~absent[:, :, None]
-    g["P"] = dx.sum(0)
-    g["E"] = summed(safe.ravel(), flat(dx), len(p["E"]))
+    ds -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
+    ds *= s
+    dv, dk, dq = flat(np.matmul(s.transpose(0, 2, 1), do)), flat(np.matmul(ds.transpose(0, 2, 1), q)), flat(np.matmul(ds, k))
+    g["Wq"], g["Wk"], g["Wv"] = (whole, flat(xq).T @ dq * scale), (whole, flat(x).T @ dk), (whole, flat(x).T @ dv)
+    dx = dk @ p["Wk"].T
+    dx += dv @ p["Wv"].T
+    dx = dx.reshape(x.shape)
+    dz += dq @ (p["Wq"].T * scale)
+    dx[:, BEFORE:] += dz.reshape(xq.shape)
+    dx[first] *= ~absent[:, :, None]
+    g["P"] = whole, (ones[:w] @ dx.reshape(w, -1)).reshape(CONTEXT, d)
+    order, cuts, rows = grouped(ids.ravel(), last + 1)
+    g["E"] = rows, group_sums(flat(dx).take(order, axis=0), cuts)
     return g
 
 
+def bounded(e: np.ndarray) -> None:
+    """exp of the logits in place, at most e^60."""
+    if e.max(initial=0) > 60:
+        np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+
+
 # Scoring -------------------------------------------------------------------------------------------------------------
 
 
@@ -598,8 +677,8 @@ def score_texts(docs: DataFrame, learn: DataFrame, path: str | None = None, merg
     counts = stored(word_counts(learn, text_col))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, space = int(totals.n), int(totals.n + totals.v + 1)
-    table_ = pieces_table(path or bpe.tokenizer_path(), merges)
     known, least = frequent(counts, max_frequent)
+    table_ = with_words(pieces_table(path or bpe.tokenizer_path(), merges), list(known))
     held = spark.sparkContext.broadcast((learned(learn, table_, n, text_col), table_, known))
 
     def make(batches):

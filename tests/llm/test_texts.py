@@ -354,3 +354,69 @@ def test_lm_codes_whole_batches_as_single_texts():
 def test_lm_sums_of_codes():
     codes, times = lm.added(np.array([5, 1, 5, 9, 1]), np.array([1, 2, 3, 4, 5]))
     assert codes.tolist() == [1, 5, 9] and times.tolist() == [7, 4, 4]
+
+
+def test_lm_words_at_hand_are_not_merged_again(monkeypatch):
+    t = lm.pieces_table(bpe.tokenizer_path(), 300)
+    texts = pa.chunked_array([pa.array(["ba zebra be", None, "", "Xylophon ba ba bo", "é ba"])])
+    plain, merge, seen = lm.coded(texts, t), bpe.merge_flat, []
+    for known in ([lm.END], [lm.END, b"ba", b"never", b"zebra", b""], [b"ba", b"be", b"bo", b"zebra", b"xylophon", "é".encode()]):
+        held = lm.with_words(t, known)
+        monkeypatch.setattr(bpe, "merge_flat", lambda flat, sizes, table_: (seen.append(len(sizes)), merge(flat, sizes, table_))[1])
+        got = lm.coded(texts, held)
+        monkeypatch.undo()
+        assert got[0].equals(plain[0]) and all(np.array_equal(a, b) for a, b in zip(got[1:], plain[1:], strict=True))
+        assert sum(seen) == 6 - len({b"ba", b"be", b"bo", b"zebra", b"xylophon", "é".encode()} & set(known))
+        seen.clear()
+
+
+@pytest.mark.parametrize(("classes", "count"), [(4, 6), (1, 1)])  # the last: a class with more pieces than the batch has places
+def test_lm_gradients_equal_differences_of_the_loss(classes, count):
+    """All tables, over windows with absent inputs and targets, against the loss as scored."""
+    t = lm.pieces_table(bpe.tokenizer_path(), 200)
+    rng, n = np.random.default_rng(3), 40
+    cls = rng.integers(0, classes, n)
+    members = [np.flatnonzero(cls == c) for c in range(classes)]
+    inside = np.zeros(n, np.int64)
+    for m in members:
+        inside[m] = np.arange(len(m))
+    p = lm.start(rng.integers(1, 50, n).astype(float), rng.integers(0, 9, (n, classes)).astype(float), cls, rng)
+    p["B2"] += rng.standard_normal(p["B2"].shape).astype(np.float32) * 0.1
+    per = np.array([37, 1, 20])
+    ids = rng.integers(0, n - 1, per.sum())
+    ids[per.cumsum() - 1] = n - 1
+    x, y = (w[:count] for w in lm.windows(ids, n - 1, per))
+    some = np.arange(n)
+
+    def loss(q):
+        m = lm.Model(lm.finished(q, some, n))
+        m.fast()
+        return -m.score(x, y).sum() * np.log(10) / (y >= 0).sum()
+
+    by_class = np.concatenate(members)
+    now = {a: v for a, v in p.items() if a not in ("cls", "U", "bu")} | {"O": np.hstack([p["U"], p["bu"][:, None]])[by_class]}
+    g = lm.gradients(now, x, y, cls.astype(np.uint16), inside, np.cumsum([0, *map(len, members)]).tolist())
+    assert set(g) == set(now)
+    for a, (rows, values) in g.items():
+        full = np.zeros_like(now[a])
+        full[rows] = values
+        way = full / (np.linalg.norm(full) or 1)
+        ends = []
+        for step in (0.02, -0.02):
+            q = {b: v.copy() for b, v in now.items()}
+            q[a] += np.float32(step) * way
+            q["U"], q["bu"] = np.empty_like(p["U"]), np.empty_like(p["bu"])
+            q["U"][by_class], q["bu"][by_class] = q["O"][:, :-1], q["O"][:, -1]
+            ends.append(loss(q | {"cls": cls}))
+        assert math.isclose((ends[0] - ends[1]) / 0.04, np.linalg.norm(full), rel_tol=0.02, abs_tol=2e-4), a
+
+
+def test_lm_group_sums():
+    rng = np.random.default_rng(5)
+    for rows, large in ((rng.integers(0, 9, 400), 40), (np.zeros(100, np.int64), 48), (np.arange(30), 48), (rng.zipf(1.5, 900) % 50, 20)):
+        values = rng.standard_normal((len(rows), 7)).astype(np.float32)
+        for n in (int(rows.max()) + 1, 1 << 17):
+            order, cuts, named = lm.grouped(rows, n)
+            want = np.zeros((int(rows.max()) + 1, 7))
+            np.add.at(want, rows, values)
+            assert named.tolist() == np.unique(rows).tolist() and np.allclose(lm.group_sums(values[order], cuts, large), want[named], atol=1e-4)
