@@ -438,3 +438,21 @@ def test_stream_similarity_gives_the_groups_of_one_batch(spark, tmp_path):
     got = {r.ord: r.group for r in spark.read.parquet(str(tmp_path / "index")).collect()}
     want = dedupe.first_fit(spark.createDataFrame(rows, kinds).withColumn("run_id", F.lit(0)), 0.5)
     assert got == {r.ord: r.group for r in want.collect()} and len(set(got.values())) < 60
+
+
+def test_like_pairs_meet_at_shared_tokens_and_equal_brute_force(spark):
+    """Hot tokens in blocks, several tasks, rows that are not fresh; rows of tokens that no other has meet none, however many blocks they would be."""
+    rng = random.Random(19)
+    words = [f"w{k}" for k in range(40)]
+    sets = [{*rng.sample(WORDS, rng.randint(0, 4)), *rng.sample(words, rng.randint(0, 5))} for _ in range(150)]
+    sets = sorted({frozenset(s) for s in sets if s}, key=sorted)
+    rng.shuffle(sets)
+    fresh = [rng.random() < 0.7 for _ in sets]
+    df = spark.createDataFrame([(i % 2, i, matching.SEP.join(sorted(s)), f) for i, (s, f) in enumerate(zip(sets, fresh, strict=True))], "k int, n long, t string, fresh boolean")
+    for t, overlap in ((0.3, False), (0.5, True)):
+        like = lambda a, b: len(a & b) / (min(len(a), len(b)) if overlap else len(a | b)) >= t  # noqa: E731, B023
+        want = [(a % 2, a, b) for a, b in itertools.combinations(range(len(sets)), 2) if a % 2 == b % 2 and (fresh[a] or fresh[b]) and like(sets[a], sets[b])]
+        got = matching.like_pairs(df, ["k"], t, overlap, most=6, dealt=100).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+    lone = spark.createDataFrame([(0, i, matching.SEP.join(["the", *(f"{i}-{k}" for k in range(9))]), True) for i in range(400)], "k int, n long, t string, fresh boolean")
+    assert matching.meetings(lone, ["k"], 0.42, most=10).count() == 0 and matching.like_pairs(lone, ["k"], 0.42, most=10).count() == 0
