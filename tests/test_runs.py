@@ -456,3 +456,15 @@ def test_like_pairs_meet_at_shared_tokens_and_equal_brute_force(spark):
         assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
     lone = spark.createDataFrame([(0, i, matching.SEP.join(["the", *(f"{i}-{k}" for k in range(9))]), True) for i in range(400)], "k int, n long, t string, fresh boolean")
     assert matching.meetings(lone, ["k"], 0.42, most=10).count() == 0 and matching.like_pairs(lone, ["k"], 0.42, most=10).count() == 0
+
+
+def test_first_fit_takes_as_many_rounds_for_many_copies_as_for_few(spark, monkeypatch):
+    """Copies of a title behind one that led them to an earlier group: the first copy's own group is a dead end for their labels."""
+    count: list[int] = []
+    stored = dedupe.stored
+    monkeypatch.setattr(dedupe, "stored", lambda df: count.append(1) or stored(df))
+    texts = ["aa bb cc dd", "cc dd ee ff", "bb cc dd ee", *["ff ee dd cc"] * 70, "zz yy xx"]
+    df = items(spark, [row(i, t) for i, t in enumerate(texts)])
+    got = {r.ord: r.group for r in dedupe.duplicate_groups(df, 0.5, "first_fit").collect()}
+    assert got == {i: i if i in (0, 1, 73) else 0 for i in range(74)}
+    assert len(count) < 20
